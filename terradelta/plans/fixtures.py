@@ -127,7 +127,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Run fixture SQL (``{table}`` placeholders) over the tables of ``sf_dir``."""
     used = {t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in sql}
-    return spark.sql(sql, **used)
+    escaped = sql.replace("{", "{{").replace("}", "}}")  # other braces are text, e.g. JSON
+    for t in used:
+        escaped = escaped.replace("{{" + t + "}}", "{" + t + "}")
+    return spark.sql(escaped, **used)
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -143,7 +146,9 @@ def with_fixtures(body: str, *names: str) -> str:
     """``body`` preceded by the named fixtures as common table expressions (body may start with its own WITH)."""
     ctes = ", ".join(f"{n} AS ({oracle_text(SQL[n])})" for n in names)
     body = body.strip()
+    if not names:
+        return body
     own = re.match(r"(?is)with\s+(recursive\s+)?", body)
     if own:
         return f"WITH {'RECURSIVE ' if own.group(1) else ''}{ctes}, {body[own.end():]}"
-    return f"WITH {ctes} {body}" if ctes else body
+    return f"WITH {ctes} {body}"

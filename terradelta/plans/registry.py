@@ -1,8 +1,8 @@
 """All registered queries and their check SQL, gathered from the topic modules."""
 
-from terradelta.plans import q_physics
+from terradelta.plans import q_geo, q_physics, q_results, q_scenes
 
-MODULES = (q_physics,)
+MODULES = (q_physics, q_scenes, q_results, q_geo)
 
 QUERIES, ORACLES = {}, {}
 for _m in MODULES:
