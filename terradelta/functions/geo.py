@@ -89,34 +89,6 @@ def with_utm(df: DataFrame, lon: str, lat: str, epsg: str, x: str, y: str) -> Da
     return df.drop(*[f"{p}{n}" for n in ("tau", "lam", "conf", "xi", "eta")])
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with value evaluated once: usable inside higher-order functions, where no layers exist."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def utm_point(lon: Column, lat: Column, epsg: Column) -> Column:
-    """struct(x, y) in UTM metres, for the few vertices of a polygon. Pixel tables use :func:`with_utm`."""
-    lam = F.radians(lon) - _central(epsg)
-
-    def curvilinear(conf):
-        return F.struct(F.atan2(conf, F.cos(lam)).alias("xi"),
-                        F.asinh(F.sin(lam) / F.sqrt(conf * conf + F.cos(lam) * F.cos(lam))).alias("eta"))
-
-    def metres(p):
-        xi, eta = p["xi"], p["eta"]
-        north = sum((a * F.sin(2 * j * xi) * F.cosh(2 * j * eta) for j, a in enumerate(ALPHA, 1)), xi)
-        east = sum((a * F.cos(2 * j * xi) * F.sinh(2 * j * eta) for j, a in enumerate(ALPHA, 1)), eta)
-        return F.struct((FALSE_EASTING + SCALE * RECTIFYING * east).alias("x"),
-                        (_south(epsg) + SCALE * RECTIFYING * north).alias("y"))
-
-    return _let(_let(_let(F.tan(F.radians(lat)), _conformal), curvilinear), metres)
-
-
-def utm_polygons(polys: Column, epsg: Column) -> Column:
-    """Nested polygons with every vertex projected."""
-    return F.transform(polys, lambda p: F.transform(p, lambda ring: F.transform(ring, lambda v: utm_point(v["x"], v["y"], epsg))))
-
-
 def with_lonlat(df: DataFrame, x: str, y: str, epsg: str, lon: str, lat: str) -> DataFrame:
     """Add geographic ``lon``/``lat`` of UTM coordinates: inverse series, then Newton steps that converge quadratically
     (three reach machine precision from the conformal start value)."""

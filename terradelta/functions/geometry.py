@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 POLYGONS = "ARRAY<ARRAY<ARRAY<STRUCT<x: DOUBLE, y: DOUBLE>>>>"
@@ -16,37 +16,48 @@ WKT_PAIR = r"(-?\d+(?:\.\d+)?) (-?\d+(?:\.\d+)?)"
 # --------------------------------------------------------------------------------------------------------
 
 
-def _vertices(polys: Column) -> Column:
-    to_xy = lambda v: F.struct(F.get(v, F.lit(0)).alias("x"), F.get(v, F.lit(1)).alias("y"))
-    return F.transform(polys, lambda p: F.transform(p, lambda ring: F.transform(ring, to_xy)))
-
-
 def _ring_error(ring: Column) -> Column:
     first, last = F.get(ring, F.lit(0)), F.get(ring, F.size(ring) - 1)
     open_ring = (F.size(ring) < 4) | ~first.eqNullSafe(last)
-    inside = lambda v: v["x"].between(-180, 180) & v["y"].between(-90, 90)
+    inside = lambda v: F.get(v, F.lit(0)).between(-180, 180) & F.get(v, F.lit(1)).between(-90, 90)
     return F.when(open_ring, F.lit(ERR_RING)).when(~F.coalesce(F.forall(ring, inside), F.lit(False)), F.lit(ERR_RANGE))
 
 
-def aoi_parse(json: Column) -> tuple[Column, Column]:
-    """(polygons, error) of a GeoJSON geometry, Feature or one-feature FeatureCollection; exactly one of them is NULL."""
-    kind = F.get_json_object(json, "$.type")
-    n = F.coalesce(F.json_array_length(F.get_json_object(json, "$.features")), F.lit(0))
-    feature = F.when(kind == "FeatureCollection", F.get_json_object(json, "$.features[0]")).otherwise(json)
-    geom = F.when(F.get_json_object(feature, "$.type") == "Feature", F.get_json_object(feature, "$.geometry")).otherwise(feature)
-    gtype = F.get_json_object(geom, "$.type")
-    coords = F.get_json_object(geom, "$.coordinates")
-    one = F.array(F.from_json(coords, "ARRAY<ARRAY<ARRAY<DOUBLE>>>"))
-    many = F.from_json(coords, "ARRAY<ARRAY<ARRAY<ARRAY<DOUBLE>>>>")
-    polys = _vertices(F.when(gtype == "Polygon", one).when(gtype == "MultiPolygon", many))
-    ring_errors = F.filter(F.transform(F.flatten(polys), _ring_error), lambda e: e.isNotNull())
-    error = (
-        F.when((kind == "FeatureCollection") & (n != 1), F.lit(ERR_COLLECTION))
+def with_aoi(df: DataFrame, json: str, polys: str = "polys", error: str = "aoi_error") -> DataFrame:
+    """Add polygons and error of a GeoJSON geometry, Feature or one-feature FeatureCollection; one of them is NULL.
+
+    The text is parsed once, into one struct that covers all accepted shapes; coordinates stay text until the type is
+    known.
+    """
+    geom = "STRUCT<type: STRING, coordinates: STRING>"
+    feature = f"STRUCT<type: STRING, coordinates: STRING, geometry: {geom}>"
+    shape = f"type STRING, coordinates STRING, geometry {geom}, features ARRAY<{feature}>"
+    df = df.withColumn("__j", F.from_json(json, shape))
+    j, only = F.col("__j"), F.get(F.col("__j.features"), F.lit(0))
+    is_coll = F.col("__j.type") == "FeatureCollection"
+    plain = lambda f: F.when(f["type"] == "Feature", f["geometry"]).otherwise(
+        F.struct(f["type"].alias("type"), f["coordinates"].alias("coordinates")))
+    df = df.withColumns(
+        {"__g": F.when(is_coll, plain(only)).otherwise(plain(j)),
+         "__bad": is_coll & (F.coalesce(F.size("__j.features"), F.lit(0)) != 1)}
+    ).drop("__j")
+    gtype, coords = F.col("__g.type"), F.col("__g.coordinates")
+    df = df.withColumn(
+        "__p",
+        F.when(gtype == "Polygon", F.array(F.from_json(coords, "ARRAY<ARRAY<ARRAY<DOUBLE>>>")))
+        .when(gtype == "MultiPolygon", F.from_json(coords, "ARRAY<ARRAY<ARRAY<ARRAY<DOUBLE>>>>")),
+    )
+    ring_errors = F.filter(F.transform(F.flatten("__p"), _ring_error), lambda e: e.isNotNull())
+    df = df.withColumn(
+        error,
+        F.when(F.col("__bad"), F.lit(ERR_COLLECTION))
         .when(~F.coalesce(gtype.isin("Polygon", "MultiPolygon"), F.lit(False)), F.lit(ERR_TYPE))
-        .when(polys.isNull(), F.lit(ERR_RING))
-        .otherwise(F.get(ring_errors, F.lit(0)))
+        .when(F.flatten("__p").isNull(), F.lit(ERR_RING))
+        .otherwise(F.get(ring_errors, F.lit(0))),
     )
-    return F.when(error.isNull(), polys), error
+    to_xy = lambda v: F.struct(F.get(v, F.lit(0)).alias("x"), F.get(v, F.lit(1)).alias("y"))
+    vertices = F.transform("__p", lambda p: F.transform(p, lambda ring: F.transform(ring, to_xy)))
+    return df.withColumn(polys, F.when(F.col(error).isNull(), vertices)).drop("__g", "__bad", "__p")
 
 
 def bounds(polys: Column) -> Column:

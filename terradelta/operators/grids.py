@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terradelta.functions import geo, geometry
@@ -10,15 +10,20 @@ from terradelta.functions import geo, geometry
 EDGE_POINTS = 21  # extra points per box edge when its projected bounds are taken
 
 
-def ring_edges(df: DataFrame, key: str, polys: str, *keep: str) -> DataFrame:
-    """One row per polygon edge: ``poly``, ``ring`` (0 = outer), end points x0, y0, x1, y1."""
-    rings = df.select(key, *keep, F.posexplode(polys).alias("poly", "rings"))
-    rings = rings.select(key, *keep, "poly", F.posexplode("rings").alias("ring", "pts"))
-    n = F.size("pts") - 1
-    pairs = F.arrays_zip(F.slice("pts", 1, n).alias("p"), F.slice("pts", F.lit(2), n).alias("q"))
-    edges = rings.select(key, *keep, "poly", "ring", F.explode(pairs).alias("e"))
-    return edges.select(key, *keep, "poly", "ring", F.col("e.p.x").alias("x0"), F.col("e.p.y").alias("y0"),
-                        F.col("e.q.x").alias("x1"), F.col("e.q.y").alias("y1"))
+def projected_edges(df: DataFrame, key: str, polys: str, *keep: str) -> DataFrame:
+    """One row per polygon edge in UTM metres: ``poly``, ``ring`` (0 = outer), end points x0, y0, x1, y1.
+
+    Needs column ``epsg``. Vertices become rows, are projected in generated code and meet their successor in a window
+    over one ring, whose size is that of the ring.
+    """
+    rings = df.select(key, "epsg", *keep, F.posexplode(polys).alias("poly", "rings"))
+    rings = rings.select(key, "epsg", *keep, "poly", F.posexplode("rings").alias("ring", "pts"))
+    pts = rings.select(key, "epsg", *keep, "poly", "ring", F.posexplode("pts").alias("pos", "v"))
+    pts = pts.select(key, "epsg", *keep, "poly", "ring", "pos", F.col("v.x").alias("lon"), F.col("v.y").alias("lat"))
+    pts = geo.with_utm(pts, "lon", "lat", "epsg", "x0", "y0")
+    along = Window.partitionBy(key, "poly", "ring").orderBy("pos")
+    edges = pts.withColumns({"x1": F.lead("x0").over(along), "y1": F.lead("y0").over(along)})
+    return edges.where(F.col("x1").isNotNull()).select(key, *keep, "poly", "ring", "x0", "y0", "x1", "y1")
 
 
 def local_epsg(df: DataFrame, polys: str) -> DataFrame:
@@ -33,8 +38,7 @@ def polygon_area_km2(df: DataFrame, key: str, polys: str) -> DataFrame:
 
     The shoelace sum is an ordinary aggregate over edges, so partial sums are made where the polygon is read.
     """
-    local = local_epsg(df.select(key, polys), polys)
-    edges = ring_edges(local.withColumn(polys, geo.utm_polygons(F.col(polys), F.col("epsg"))), key, polys)
+    edges = projected_edges(local_epsg(df.select(key, polys), polys), key, polys)
     # Relative to the zone's false easting the products stay small, which keeps precision.
     ex0, ex1 = F.col("x0") - geo.FALSE_EASTING, F.col("x1") - geo.FALSE_EASTING
     ring = edges.groupBy(key, "poly", "ring").agg((F.abs(F.sum(ex0 * F.col("y1") - ex1 * F.col("y0"))) / 2).alias("a"))
@@ -113,8 +117,7 @@ def aoi_spans(aois: DataFrame, grids: DataFrame, key: str, polys: str) -> DataFr
     polygon edges. A pixel lies inside when an odd number of crossings is to its left. Work is edges x rows they cross.
     """
     tagged = aois.select(key, polys).join(grids.withColumnsRenamed({"x0": "gx", "y0": "gy"}), key)
-    tagged = tagged.withColumn(polys, geo.utm_polygons(F.col(polys), F.col("epsg")))
-    edges = ring_edges(tagged, key, polys, "res", "gy", "height")
+    edges = projected_edges(tagged, key, polys, "res", "gy", "height")
     top, bottom = F.greatest("y0", "y1"), F.least("y0", "y1")
     # Row r has its centre at gy - (r + 0.5) res; keep rows with bottom <= centre < top.
     r0 = F.floor((F.col("gy") - top) / F.col("res") - 0.5).cast("int") + 1

@@ -105,15 +105,13 @@ _AOIERR = f"""CASE kind WHEN 4 THEN '{geometry.ERR_TYPE}' WHEN 5 THEN '{geometry
 
 @book.query("aoi_parse", f"WITH {AOI_CTE} SELECT request_id, {_AOIERR} AS error, CASE WHEN kind < 4 THEN 5 END AS vertices FROM aj", "requests")
 def q_aoi(spark, sf):
-    polys, error = geometry.aoi_parse(F.col("aoi"))
-    out = aoi_json(spark, sf).select("request_id", polys.alias("p"), error.alias("error"))
+    out = geometry.with_aoi(aoi_json(spark, sf), "aoi", "p", "error")
     return out.select("request_id", "error", F.size(F.flatten(F.flatten("p"))).alias("vertices"))
 
 
 @book.query("geom_bounds", f"WITH {AOI_CTE} SELECT request_id, CAST(w AS DOUBLE) AS w, CAST(s AS DOUBLE) AS s, CAST(e AS DOUBLE) AS e, CAST(n AS DOUBLE) AS n FROM aj WHERE kind < 4", "requests")
 def q_bounds(spark, sf):
-    polys, _ = geometry.aoi_parse(F.col("aoi"))
-    df = aoi_json(spark, sf).select("request_id", polys.alias("p")).where("p IS NOT NULL")
+    df = geometry.with_aoi(aoi_json(spark, sf).where("kind < 4"), "aoi", "p", "error")
     return df.select("request_id", geometry.bounds(F.col("p")).alias("b")).select("request_id", "b.*")
 
 
