@@ -15,8 +15,14 @@ def sigmoid(x: Column) -> Column:
     return F.when(x.isNotNull(), 1.0 / (1.0 + F.exp(-F.greatest(F.least(x, F.lit(30.0)), F.lit(-30.0)))))
 
 
+def logistic(x: Column) -> Column:
+    """Logistic function without the limit: in double precision that changes results by less than 1e-13. NULL stays
+    NULL by itself, and the short expression keeps a whole map inside one method the JVM still compiles."""
+    return 1.0 / (1.0 + F.exp(-x))
+
+
 def norm_diff(a: Column, b: Column) -> Column:
-    return (a - b) / (a + b + F.lit(1e-6))
+    return F.try_divide(a - b, a + b + F.lit(1e-6))
 
 
 def mndwi(green: Column, swir1: Column) -> Column:
@@ -33,6 +39,9 @@ def nbr(nir: Column, swir2: Column) -> Column:
 
 def sensor_mean(*maps: Column) -> Column:
     """Mean over the sensors that observed the pixel; NULL when none did."""
+    if len(maps) == 2:
+        a, b = maps
+        return F.coalesce((a + b) * 0.5, a, b)
     total = reduce(lambda a, b: a + b, [F.coalesce(m, F.lit(0.0)) for m in maps])
     n = reduce(lambda a, b: a + b, [m.isNotNull().cast("int") for m in maps])
     return F.when(n > 0, total / n)
@@ -54,28 +63,28 @@ def burn_severity(dnbr: Column) -> Column:
 
 def sar_water(vv: Column, vv_pre: Column | None = None) -> Column:
     """Open-water probability from VV; with the earlier VV, a strong drop into a low range counts as water too."""
-    low = sigmoid((K.VV_WATER_DB - vv) / 1.5)
+    low = logistic((K.VV_WATER_DB - vv) / 1.5)
     if vv_pre is None:
         return low
-    drop = sigmoid(vv_pre - vv - K.VV_DROP_DB) * sigmoid((K.VV_DROP_CEILING_DB - vv) / 1.5)
+    drop = logistic(vv_pre - vv - K.VV_DROP_DB) * logistic((K.VV_DROP_CEILING_DB - vv) / 1.5)
     return F.greatest(low, drop)
 
 
 def optical_water(mndwi_value: Column) -> Column:
-    return sigmoid((mndwi_value - K.MNDWI_WATER) / 0.05)
+    return logistic((mndwi_value - K.MNDWI_WATER) / 0.05)
 
 
 def vh_drop(vh_pre: Column, vh_post: Column) -> Column:
     """Loss of canopy volume scattering, only where the pixel looked vegetated before."""
-    return sigmoid((vh_pre - vh_post - K.VH_DROP_DB) / 0.6) * sigmoid(vh_pre - K.VH_CANOPY_DB)
+    return logistic((vh_pre - vh_post - K.VH_DROP_DB) / 0.6) * logistic(vh_pre - K.VH_CANOPY_DB)
 
 
 def optical_burn(dnbr: Column, ndvi_pre: Column) -> Column:
-    return sigmoid((dnbr - K.DNBR_BURN) / 0.025) * sigmoid((ndvi_pre - K.NDVI_FUEL) / 0.03)
+    return logistic((dnbr - K.DNBR_BURN) / 0.025) * logistic((ndvi_pre - K.NDVI_FUEL) / 0.03)
 
 
 def optical_disturbance(ndvi_pre: Column, ndvi_post: Column) -> Column:
-    return sigmoid((ndvi_pre - ndvi_post - K.NDVI_DROP) / 0.04) * sigmoid((ndvi_pre - K.NDVI_CANOPY) / 0.05)
+    return logistic((ndvi_pre - ndvi_post - K.NDVI_DROP) / 0.04) * logistic((ndvi_pre - K.NDVI_CANOPY) / 0.05)
 
 
 def largest_abs(*deltas: Column) -> Column:
@@ -85,11 +94,11 @@ def largest_abs(*deltas: Column) -> Column:
 
 
 def sar_change(vv_pre: Column, vv_post: Column, vh_pre: Column, vh_post: Column) -> Column:
-    return sigmoid((largest_abs(vv_post - vv_pre, vh_post - vh_pre) - K.CHANGE_DB) / 0.5)
+    return logistic((largest_abs(vv_post - vv_pre, vh_post - vh_pre) - K.CHANGE_DB) / 0.5)
 
 
 def optical_change(*index_deltas: Column) -> Column:
-    return sigmoid((largest_abs(*index_deltas) - K.CHANGE_INDEX) / 0.05)
+    return logistic((largest_abs(*index_deltas) - K.CHANGE_INDEX) / 0.05)
 
 
 def pre_water(sar_pre: Column, optical_pre: Column, threshold: float = K.PRE_WATER_THRESHOLD) -> Column:

@@ -433,7 +433,7 @@ def q_baseline(spark, sf):
     return rounded(X.baseline_tile_scores(X.normalize_inputs(pix(spark, sf)), "vegetation").select("pixel_id", "p"))
 
 
-_TEMPS = ", ".join(f"({i}, {t!r})" for i, t in enumerate(E.temperatures()))
+_TEMPS = ", ".join(f"({i}, {t!r}::DOUBLE)" for i, t in enumerate(E.temperatures()))
 
 
 @book.query("fit_temperature", f"""WITH t AS (SELECT * FROM (VALUES {_TEMPS}) v(i, t)), n AS (SELECT i, t, avg({_BCE('(z / t)', 'y')}) AS nll FROM (SELECT ln(p / (1 - p)) * 1.7e0 AS z, y FROM predictions) p, t GROUP BY ALL)
