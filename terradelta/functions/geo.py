@@ -148,9 +148,14 @@ def haversine_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Colu
 KM_PER_LON, KM_PER_LAT = 111.32, 110.574
 
 
-def box_around(lon: Column, lat: Column, w_km: Column, h_km: Column, digits: int | None = 5) -> Column:
-    """struct(w, s, e, n) of a w_km x h_km box around a point; unrounded when ``digits`` is None."""
+def box_columns(lon: Column, lat: Column, w_km: Column, h_km: Column, digits: int | None = 5) -> dict[str, Column]:
+    """w, s, e, n of a w_km x h_km box around a point; unrounded when ``digits`` is None."""
     dx = w_km / 2 / (KM_PER_LON * F.cos(F.radians(lat)))
     dy = h_km / 2 / KM_PER_LAT
     near = (lambda c: c) if digits is None else (lambda c: F.round(c, digits))
-    return F.struct(near(lon - dx).alias("w"), near(lat - dy).alias("s"), near(lon + dx).alias("e"), near(lat + dy).alias("n"))
+    return {"w": near(lon - dx), "s": near(lat - dy), "e": near(lon + dx), "n": near(lat + dy)}
+
+
+def box_around(lon: Column, lat: Column, w_km: Column, h_km: Column, digits: int | None = 5) -> Column:
+    """:func:`box_columns` as one struct(w, s, e, n)."""
+    return F.struct(*[v.alias(k) for k, v in box_columns(lon, lat, w_km, h_km, digits).items()])

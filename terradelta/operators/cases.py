@@ -32,7 +32,7 @@ def case_windows(df: DataFrame, today: Column) -> DataFrame:
 
 
 def study_area(df: DataFrame) -> DataFrame:
-    """Add ``area`` struct(w, s, e, n): the extent held to 5-30 km sides, else 15 x 15 km around the point."""
+    """Add the study area aoi_w, aoi_s, aoi_e, aoi_n: the extent held to 5-30 km sides, else 15 x 15 km around the point."""
     c = F.col
     b = c("bbox")
     lat = (b["s"] + b["n"]) / 2
@@ -49,7 +49,8 @@ def study_area(df: DataFrame) -> DataFrame:
             "__h": F.when(known, hold(h_km)).otherwise(F.lit(K.POINT_KM)),
         }
     )
-    return df.withColumn("area", geo.box_around(c("__cx"), c("__cy"), c("__w"), c("__h"))).drop("__cx", "__cy", "__w", "__h")
+    box = geo.box_columns(c("__cx"), c("__cy"), c("__w"), c("__h"))
+    return df.withColumns({f"aoi_{k}": v for k, v in box.items()}).drop("__cx", "__cy", "__w", "__h")
 
 
 def case_title(df: DataFrame) -> Column:
@@ -66,7 +67,7 @@ def plan_case(cases: DataFrame, today: Column, key: str = "id") -> DataFrame:
     """
     c = F.col
     planned = study_area(case_windows(cases, today)).withColumn("title", case_title(cases))
-    planned = planned.withColumn("polys", geometry.box_polygon(c("area.w"), c("area.s"), c("area.e"), c("area.n")))
+    planned = planned.withColumn("polys", geometry.box_polygon(*[c(f"aoi_{k}") for k in "wsen"]))
     area = grids.polygon_area_km2(planned, key, "polys").withColumnRenamed("aoi_km2", "km2")
     planned = planned.join(area, key)
     recent = c("before_start").isNull()
@@ -78,7 +79,7 @@ def plan_case(cases: DataFrame, today: Column, key: str = "id") -> DataFrame:
     checked = requests.validate_request(req).select(key, "error")
     out = planned.join(checked, key)
     return out.select(
-        *cases.columns, "title", c("hazard").alias("task"), "area", F.when(~recent, F.round("km2", 3)).alias("aoi_km2"), "before_start", "before_end",
+        *cases.columns, "title", c("hazard").alias("task"), *[f"aoi_{k}" for k in "wsen"], F.when(~recent, F.round("km2", 3)).alias("aoi_km2"), "before_start", "before_end",
         "after_start", "after_end", F.when(recent, "too recent").alias("status"), F.when(~recent, c("error")).alias("error"))
 
 
