@@ -68,7 +68,14 @@ def seam_edges(labelled: DataFrame, key: str, tile: int = TILE) -> DataFrame:
     return right.unionByName(below).join(first, [key, "r", "c", "value"]).select(key, "a", "b").distinct()
 
 
-def join_labels(edges: DataFrame, key: str) -> DataFrame:
+def _join_low(edges: DataFrame, key: str, low: DataFrame, salts: int) -> DataFrame:
+    """Edges with the value ``low`` has for their node u; the edges of a node with very many are spread over salts."""
+    many = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int"))
+    few = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return many.join(few, [key, "u", "salt"]).drop("salt")
+
+
+def join_labels(edges: DataFrame, key: str, salts: int = 8) -> DataFrame:
     """(key, node, label): smallest node of every connected set of ``edges(key, a, b)``.
 
     Alternates two steps on the edge list until it is a set of stars: every node hands its larger neighbours to its
@@ -81,9 +88,9 @@ def join_labels(edges: DataFrame, key: str) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(key, c("v").alias("u"), c("u").alias("v")))
         low = both.groupBy(key, "u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(low, [key, "u"]).where("v > u").select(key, c("v").alias("u"), c("m").alias("v")).where("u <> v").distinct()
+        large = _join_low(both, key, low, salts).where("v > u").select(key, c("v").alias("u"), c("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy(key, "u").agg(F.min("v").alias("m"))
-        small = large.join(low, [key, "u"]).select(key, F.explode(F.array(
+        small = _join_low(large, key, low, salts).select(key, F.explode(F.array(
             F.struct(c("u").alias("u"), c("m").alias("v")), F.struct(c("v").alias("u"), c("m").alias("v")))).alias("e"))
         edges = persist_table(small.select(key, "e.u", "e.v").where("u <> v").distinct(), "seams")
         h = F.xxhash64("u", "v")
@@ -109,7 +116,7 @@ def sieve(mask: DataFrame, key: str, min_pixels: int = K.SIEVE_PIXELS, tile: int
     """
     c = F.col
     px = persist_table(connected_components(mask, key, tile), "regions")
-    size = px.groupBy(key, "label").agg(F.count("*").alias("pixels"), F.first("value").alias("value"))
+    size = px.groupBy(key, "label").agg(F.count("*").alias("pixels"), F.max("value").alias("value"))
     small = size.where(c("pixels") < min_pixels)
     around = F.array(*[F.struct((c("r") + dr).alias("r"), (c("c") + dc).alias("c")) for dr, dc in ((0, 1), (0, -1), (1, 0), (-1, 0))])
     rim = px.join(small.select(key, "label"), [key, "label"], "left_semi").select(key, c("label").alias("me"), F.explode(around).alias("p"))
@@ -139,9 +146,9 @@ def extent_features(regions: DataFrame, grids: DataFrame, key: str) -> DataFrame
     x = F.col("x0") + (F.col("c") + 0.5) * F.col("res")
     y = F.col("y0") - (F.col("r") + 0.5) * F.col("res")
     agg = px.groupBy(key, "label").agg(
-        F.round(F.count("*") * F.first("res") * F.first("res") / 1e6, 5).alias("area_km2"), F.count("*").alias("pixels"),
+        F.round(F.count("*") * F.max("res") * F.max("res") / 1e6, 5).alias("area_km2"), F.count("*").alias("pixels"),
         F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"),
-        F.avg(x).alias("x"), F.avg(y).alias("y"), F.first("epsg").alias("epsg"))
+        F.avg(x).alias("x"), F.avg(y).alias("y"), F.max("epsg").alias("epsg"))
     out = geo.with_lonlat(agg, "x", "y", "epsg", "lon", "lat")
     return out.withColumns({"lon": F.round("lon", 6), "lat": F.round("lat", 6)}).drop("x", "y", "epsg")
 

@@ -162,15 +162,20 @@ def daily_counts(catalog: DataFrame, max_cloud: float = K.MAX_S2_CLOUD) -> DataF
     )
 
 
-def imagery_counts(cases: DataFrame, catalog: DataFrame, limit: int = K.SEARCH_LIMIT, cell_deg: float = 1.0,
-                   bucket_days: int = 32) -> DataFrame:
+def imagery_counts(cases: DataFrame, catalog: DataFrame, limit: int = K.SEARCH_LIMIT) -> DataFrame:
     """Scenes per sensor before and after each case, ``cases(id, w, s, e, n, before_start, ... after_end)``.
 
     The catalog is first reduced to daily counts per footprint, so a case meets few rows however many scenes a popular
     footprint has. Each count is capped at the search limit, as a search would return no more.
     """
+    return imagery_counts_from_days(cases, daily_counts(catalog), limit)
+
+
+def imagery_counts_from_days(cases: DataFrame, days: DataFrame, limit: int = K.SEARCH_LIMIT, cell_deg: float = 1.0,
+                             bucket_days: int = 32) -> DataFrame:
+    """:func:`imagery_counts` from daily counts (several rows of a day and footprint add up)."""
     epoch = F.lit("1970-01-01").cast("date")
-    days = daily_counts(catalog).withColumns(
+    days = days.withColumns(
         {
             "cell": F.explode(cells_of(F.col("w"), F.col("s"), F.col("e"), F.col("n"), cell_deg)),
             "bucket": F.floor(F.datediff("day", epoch) / bucket_days),
