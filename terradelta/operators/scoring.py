@@ -53,23 +53,26 @@ def exact_median(df: DataFrame, keys, value: str, widths=(1.0, 1.0 / 1024)) -> D
     The middle ranks are located in buckets of shrinking width. Each level counts rows per bucket with map-side combine
     and keeps only the rows of the bucket that holds a middle rank; the last level counts equal values.
     """
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
-    n = F.col("n")
+    c = F.col
+    rows = df.where(c(value).isNotNull()).select(*keys, c(value).alias("__v"))
+    n = c("__n")
     mids = F.array(F.struct(F.lit(0).alias("mid"), F.floor((n + 1) / 2).alias("rank")),
                    F.struct(F.lit(1).alias("mid"), (F.floor(n / 2) + 1).alias("rank")))
-    want = rows.groupBy(*keys).agg(F.count("*").alias("n")).select(*keys, F.explode(mids).alias("m")).select(*keys, "m.*")
+    want = rows.groupBy(*keys).agg(F.count("*").alias("__n")).select(*keys, F.explode(mids).alias("__m"))
+    want = want.select(*keys, c("__m.mid").alias("__mid"), c("__m.rank").alias("__rank"))
     path = []
     for i, width in enumerate([*widths, None]):
         name = f"__b{i}"
-        rows = rows.withColumn(name, F.col("__v") if width is None else F.floor(F.col("__v") / width))
-        found = want if not path else want.select(*keys, "mid", *path, "rank")
-        counts = rows.groupBy(*keys, *path, name).agg(F.count("*").alias("k")) if not path else (
-            rows.join(found.select(*keys, *path).distinct(), [*keys, *path], "left_semi").groupBy(*keys, *path, name).agg(F.count("*").alias("k")))
+        rows = rows.withColumn(name, c("__v") if width is None else F.floor(c("__v") / width))
+        if path:
+            rows = rows.join(want.select(*keys, *path).distinct(), [*keys, *path], "left_semi")
+        counts = rows.groupBy(*keys, *path, name).agg(F.count("*").alias("__k"))
         upto = Window.partitionBy(*keys, *path).orderBy(name).rowsBetween(Window.unboundedPreceding, 0)
-        counts = counts.withColumn("upto", F.sum("k").over(upto))
-        want = found.join(counts, [*keys, *path]).where((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("k")))
+        counts = counts.withColumn("__upto", F.sum("__k").over(upto))
+        start = c("__upto") - c("__k")
+        want = want.join(counts, [*keys, *path]).where((c("__rank") <= c("__upto")) & (c("__rank") > start))
         path = [*path, name]
-        want = want.select(*keys, "mid", *path, (F.col("rank") - (F.col("upto") - F.col("k"))).alias("rank"))
+        want = want.select(*keys, "__mid", *path, (c("__rank") - start).alias("__rank"))
     return want.groupBy(*keys).agg(F.avg(path[-1]).alias("median"))
 
 
