@@ -71,11 +71,9 @@ def plan_case(cases: DataFrame, today: Column, key: str = "id") -> DataFrame:
     area = grids.polygon_area_km2(planned, key, "polys").withColumnRenamed("aoi_km2", "km2")
     planned = planned.join(area, key)
     recent = c("before_start").isNull()
-    text = lambda a, b: F.concat_ws("/", c(a).cast("string"), c(b).cast("string"))
     req = planned.select(
         key, c("hazard").alias("task"), F.array(F.lit("s1"), F.lit("s2")).alias("sensors"), F.lit(None).cast("string").alias("aoi_error"),
-        c("km2").alias("aoi_km2"), text("before_start", "before_end").alias("before"), text("after_start", "after_end").alias("after"),
-        F.lit(10.0).alias("resolution"))
+        c("km2").alias("aoi_km2"), "before_start", "before_end", "after_start", "after_end", F.lit(10.0).alias("resolution"))
     checked = requests.validate_request(req).select(key, "error")
     out = planned.join(checked, key)
     return out.select(

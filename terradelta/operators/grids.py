@@ -16,7 +16,9 @@ def projected_edges(df: DataFrame, key: str, polys: str, *keep: str) -> DataFram
     Needs column ``epsg``. Vertices become rows, are projected in generated code and meet their successor in a window
     over one ring, whose size is that of the ring.
     """
-    rings = df.select(key, "epsg", *keep, F.posexplode(polys).alias("poly", "rings"))
+    # Geometries are spread by key while they are still one row each: the window and the sums per key that follow find
+    # their rows in place, and one file of geometries does not keep one task busy.
+    rings = df.repartition(key).select(key, "epsg", *keep, F.posexplode(polys).alias("poly", "rings"))
     rings = rings.select(key, "epsg", *keep, "poly", F.posexplode("rings").alias("ring", "pts"))
     pts = rings.select(key, "epsg", *keep, "poly", "ring", F.posexplode("pts").alias("pos", "v"))
     pts = pts.select(key, "epsg", *keep, "poly", "ring", "pos", F.col("v.x").alias("lon"), F.col("v.y").alias("lat"))
@@ -49,8 +51,10 @@ def polygon_area_km2(df: DataFrame, key: str, polys: str) -> DataFrame:
 def make_grid(df: DataFrame, key: str, box: str = "box", res: str = "res") -> DataFrame:
     """Grid of every box struct(w, s, e, n): (key, epsg, res, x0, y0, width, height), edges snapped to the resolution.
 
-    Box edges are densified, projected and reduced to bounds by one aggregate with map-side combine.
+    Boxes are spread by key before their edges are densified, so the 88 points of a box are made, projected and reduced
+    where the box is: one shuffle, of one row per box.
     """
+    df = df.repartition(key)
     b = lambda f: F.col(f"{box}.{f}")
     base = df.select(key, box, F.col(res).alias("res"), geo.utm_epsg((b("w") + b("e")) / 2, (b("s") + b("n")) / 2).alias("epsg"))
     steps = base.withColumn("t", F.explode(F.transform(F.sequence(F.lit(0), F.lit(EDGE_POINTS + 1)),

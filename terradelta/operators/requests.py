@@ -43,12 +43,18 @@ def seasonal_warning(task: Column, gap: Column) -> Column:
 def validate_request(df: DataFrame, max_km2: float = K.MAX_AOI_KM2) -> DataFrame:
     """Check ``request(task, sensors ARRAY, aoi_error, aoi_km2, before, after, resolution)`` in the order of the rules.
 
-    Adds ``error`` (the first broken rule, NULL = valid), the parsed window dates, ``sensor_keys`` and ``warnings``.
+    Adds ``error`` (the first broken rule, NULL = valid), the parsed window dates, ``sensor_keys`` and ``warnings``. A table
+    that has the four dates already (before_start ... after_end) needs no window texts.
     """
-    b0, b1 = parse_window(F.col("before"))
-    a0, a1 = parse_window(F.col("after"))
-    df = df.withColumns({"before_start": b0, "before_end": b1, "after_start": a0, "after_end": a1,
-                         "sensor_keys": scenes.sensor_alias(F.col("sensors")), "bad_sensor": scenes.unknown_sensor(F.col("sensors"))})
+    dated = "before_start" in df.columns
+    if dated:
+        text = lambda w: F.concat_ws("/", F.col(f"{w}_start").cast("string"), F.col(f"{w}_end").cast("string"))
+        df = df.withColumns({"before": text("before"), "after": text("after")})
+    else:
+        b0, b1 = parse_window(F.col("before"))
+        a0, a1 = parse_window(F.col("after"))
+        df = df.withColumns({"before_start": b0, "before_end": b1, "after_start": a0, "after_end": a1})
+    df = df.withColumns({"sensor_keys": scenes.sensor_alias(F.col("sensors")), "bad_sensor": scenes.unknown_sensor(F.col("sensors"))})
     c = F.col
     km2 = c("aoi_km2")
     supported = "[" + ", ".join(f"'{t}'" for t in K.TASKS) + "]"

@@ -33,6 +33,19 @@ def cells_of(w: Column, s: Column, e: Column, n: Column, size: float) -> Column:
     return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(x.alias("cx"), y.alias("cy")))))
 
 
+_EPOCH = "DATE '1970-01-01'"
+
+
+def _touch(a: str, b: str, cell_deg: float) -> str:
+    """SQL condition: boxes of two tables meet, reported in the cell of the common box's south-west corner only."""
+    return (f"{a}.cell = {b}.cell AND {a}.w <= {b}.e AND {b}.w <= {a}.e AND {a}.s <= {b}.n AND {b}.s <= {a}.n "
+            f"AND {a}.cell.cx = floor(greatest({a}.w, {b}.w) / {cell_deg!r}D) AND {a}.cell.cy = floor(greatest({a}.s, {b}.s) / {cell_deg!r}D)")
+
+
+def _celled(df: DataFrame, cell_deg: float) -> DataFrame:
+    return df.withColumn("cell", F.explode(cells_of(F.col("w"), F.col("s"), F.col("e"), F.col("n"), cell_deg)))
+
+
 def search(
     catalog: DataFrame,
     areas: DataFrame,
@@ -46,49 +59,37 @@ def search(
     A scene matches when the boxes intersect, its time lies in the inclusive day window (terrain ignores time) and, for
     optical scenes, its cloud cover is below ``max_cloud``. At most ``limit`` scenes per search, oldest first.
 
-    The interval join runs as an equi-join on (sensor, degree cell, time bucket); a pair is kept only in the cell that
-    holds the south-west corner of the common box, so nothing is reported twice. The limit is a ranked window, which
-    Spark evaluates as a partial top-k before the shuffle.
+    Only the oldest matter, so a search first meets the scene *counts* per footprint and day and learns the day on which
+    its limit is full; then it is joined, by (sensor, degree cell, day), to the scenes up to that day. However crowded a
+    footprint is, a search reads little more than ``limit`` scenes. The rest is a ranked window.
     """
-    day = F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date"))
-    timeless = F.col("sensor") == "dem"
+    day = F.expr(f"datediff(to_date(ts), {_EPOCH})")
     scenes = catalog
     if max_cloud is not None:
         scenes = scenes.where((F.col("sensor") != "s2") | (F.col("cloud") < max_cloud))
-    scenes = scenes.withColumns(
-        {
-            "bucket": F.when(timeless, F.lit(0).cast("bigint")).otherwise(F.floor(day / bucket_days)),
-            "cell": F.explode(cells_of(F.col("w"), F.col("s"), F.col("e"), F.col("n"), cell_deg)),
-        }
-    )
-    d0, d1 = [F.datediff(F.col(x), F.lit("1970-01-01").cast("date")) for x in ("start", "end")]
-    asked = areas.withColumns(
-        {
-            "cell": F.explode(cells_of(F.col("w"), F.col("s"), F.col("e"), F.col("n"), cell_deg)),
-        }
-    ).withColumn(
-        "bucket",
-        F.explode(F.when(timeless, F.array(F.lit(0).cast("bigint")))
-                  .otherwise(F.sequence(F.floor(d0 / bucket_days), F.floor(d1 / bucket_days)))),
-    )
-    a, b = asked.alias("a"), scenes.alias("b")
-    cx, cy = F.floor(F.greatest("a.w", "b.w") / cell_deg), F.floor(F.greatest("a.s", "b.s") / cell_deg)
-    hit = (
-        (F.col("a.sensor") == F.col("b.sensor"))
-        & (F.col("a.cell") == F.col("b.cell"))
-        & (F.col("a.bucket") == F.col("b.bucket"))
-        & (F.col("a.w") <= F.col("b.e")) & (F.col("b.w") <= F.col("a.e"))
-        & (F.col("a.s") <= F.col("b.n")) & (F.col("b.s") <= F.col("a.n"))
-        & (F.col("a.cell.cx") == cx) & (F.col("a.cell.cy") == cy)
-        & ((F.col("a.sensor") == "dem")
-           | ((F.col("b.ts") >= F.col("a.start").cast("timestamp"))
-              & (F.col("b.ts") < F.date_add(F.col("a.end"), 1).cast("timestamp"))))
-    )
-    keep = [c for c in areas.columns if c not in ("w", "s", "e", "n")]
-    found = a.join(b, hit).select(*[F.col(f"a.{c}") for c in keep],
-                                  *[F.col(f"b.{c}") for c in catalog.columns if c not in ("sensor", "w", "s", "e", "n")])
+    scenes = scenes.withColumn("day", day)
+    counts = scenes.groupBy("sensor", "w", "s", "e", "n", "day").agg(F.count("*").alias("k"))
+    asked = areas.selectExpr(
+        "search_id", "sensor", "w", "s", "e", "n", f"CASE WHEN sensor <> 'dem' THEN datediff(start, {_EPOCH}) END AS d0",
+        f"CASE WHEN sensor <> 'dem' THEN datediff(end, {_EPOCH}) END AS d1")
+    # Terrain has no window: it searches the whole time span, which its bucket 0 stands for.
+    bucket = f"CASE WHEN sensor = 'dem' THEN 0L ELSE floor(day / {bucket_days}) END AS bucket"
+    buckets = f"explode(CASE WHEN sensor = 'dem' THEN array(0L) ELSE sequence(floor(d0 / {bucket_days}), floor(d1 / {bucket_days})) END) AS bucket"
+    a, c = _celled(asked, cell_deg).selectExpr("*", buckets).alias("a"), _celled(counts, cell_deg).selectExpr("*", bucket).alias("c")
+    in_time = "(a.sensor = 'dem' OR c.day BETWEEN a.d0 AND a.d1)"
+    daily = a.join(c, F.expr(f"a.sensor = c.sensor AND a.bucket = c.bucket AND {in_time} AND {_touch('a', 'c', cell_deg)}"))
+    daily = daily.groupBy("a.search_id", "a.sensor", "c.day").agg(F.sum("c.k").alias("k"))
+    so_far = Window.partitionBy("search_id", "sensor").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    needed = daily.withColumn("before", F.coalesce(F.sum("k").over(so_far), F.lit(0))).where(F.col("before") < limit)
+    # One row per search and day that can still contribute, joined to that day's scenes.
+    days = needed.select("search_id", "sensor", "day").join(asked.select("search_id", "sensor", "w", "s", "e", "n"), ["search_id", "sensor"])
+    d, b = _celled(days, cell_deg).alias("a"), _celled(scenes, cell_deg).alias("b")
+    found = d.join(b, F.expr(f"a.sensor = b.sensor AND a.day = b.day AND {_touch('a', 'b', cell_deg)}"))
+    found = found.select("a.search_id", "a.sensor", *[f"b.{c}" for c in catalog.columns if c not in ("sensor", "w", "s", "e", "n")])
     rank = Window.partitionBy("search_id", "sensor").orderBy("ts", "scene_id")
-    return found.withColumn("seq", F.row_number().over(rank)).where(F.col("seq") <= limit)
+    best = found.withColumn("seq", F.row_number().over(rank)).where(F.col("seq") <= limit)
+    keep = [n for n in areas.columns if n not in ("w", "s", "e", "n")]
+    return best.join(areas.select(*keep), ["search_id", "sensor"])
 
 
 def describe(items: DataFrame) -> DataFrame:
