@@ -34,23 +34,23 @@ def case_windows(df: DataFrame, today: Column) -> DataFrame:
 def study_area(df: DataFrame) -> DataFrame:
     """Add the study area aoi_w, aoi_s, aoi_e, aoi_n: the extent held to 5-30 km sides, else 15 x 15 km around the point."""
     c = F.col
-    b = c("bbox")
-    lat = (b["s"] + b["n"]) / 2
-    w_km = (b["e"] - b["w"]) * geo.KM_PER_LON * F.cos(F.radians(lat))
-    h_km = (b["n"] - b["s"]) * geo.KM_PER_LAT
+    df = df.withColumns({f"__{k}": c("bbox")[k] for k in "wsen"})
+    df = df.withColumn("__lat", (c("__s") + c("__n")) / 2)
+    df = df.withColumns({"__wkm": (c("__e") - c("__w")) * geo.KM_PER_LON * F.cos(F.radians("__lat")),
+                         "__hkm": (c("__n") - c("__s")) * geo.KM_PER_LAT})
     hold = lambda v: F.least(F.greatest(v, F.lit(K.MIN_SIDE_KM)), F.lit(K.MAX_SIDE_KM))
-    inside = lambda v, lo, hi: F.least(F.greatest(v, lo), hi)
-    known = b.isNotNull()
+    inside = lambda v, lo, hi: F.least(F.greatest(c(v), c(lo)), c(hi))
+    known = c("__lat").isNotNull()
     df = df.withColumns(
         {
-            "__cx": F.when(known & (w_km <= K.MAX_SIDE_KM), (b["w"] + b["e"]) / 2).when(known, inside(c("lon"), b["w"], b["e"])).otherwise(c("lon")),
-            "__cy": F.when(known & (h_km <= K.MAX_SIDE_KM), lat).when(known, inside(c("lat"), b["s"], b["n"])).otherwise(c("lat")),
-            "__w": F.when(known, hold(w_km)).otherwise(F.lit(K.POINT_KM)),
-            "__h": F.when(known, hold(h_km)).otherwise(F.lit(K.POINT_KM)),
+            "__cx": F.when(c("__wkm") <= K.MAX_SIDE_KM, (c("__w") + c("__e")) / 2).when(known, inside("lon", "__w", "__e")).otherwise(c("lon")),
+            "__cy": F.when(c("__hkm") <= K.MAX_SIDE_KM, c("__lat")).when(known, inside("lat", "__s", "__n")).otherwise(c("lat")),
+            "__bw": F.when(known, hold(c("__wkm"))).otherwise(F.lit(K.POINT_KM)),
+            "__bh": F.when(known, hold(c("__hkm"))).otherwise(F.lit(K.POINT_KM)),
         }
     )
-    box = geo.box_columns(c("__cx"), c("__cy"), c("__w"), c("__h"))
-    return df.withColumns({f"aoi_{k}": v for k, v in box.items()}).drop("__cx", "__cy", "__w", "__h")
+    box = geo.box_columns(c("__cx"), c("__cy"), c("__bw"), c("__bh"))
+    return df.withColumns({f"aoi_{k}": v for k, v in box.items()}).drop(*[f"__{n}" for n in ("w", "s", "e", "n", "lat", "wkm", "hkm", "cx", "cy", "bw", "bh")])
 
 
 def case_title(df: DataFrame) -> Column:

@@ -18,7 +18,9 @@ def projected_edges(df: DataFrame, key: str, polys: str, *keep: str) -> DataFram
     """
     # Geometries are spread by key while they are still one row each: the window and the sums per key that follow find
     # their rows in place, and one file of geometries does not keep one task busy.
-    rings = df.repartition(key).select(key, "epsg", *keep, F.posexplode(polys).alias("poly", "rings"))
+    # The outer form is on purpose: the inner one adds a filter on the array's size, which the optimiser copies, with
+    # everything the polygon is computed from, down to the scan. Rows without polygons fall out one line later.
+    rings = df.repartition(key).select(key, "epsg", *keep, F.posexplode_outer(polys).alias("poly", "rings"))
     rings = rings.select(key, "epsg", *keep, "poly", F.posexplode("rings").alias("ring", "pts"))
     pts = rings.select(key, "epsg", *keep, "poly", "ring", F.posexplode("pts").alias("pos", "v"))
     pts = pts.select(key, "epsg", *keep, "poly", "ring", "pos", F.col("v.x").alias("lon"), F.col("v.y").alias("lat"))
