@@ -36,19 +36,21 @@ def to_db(power: Column) -> Column:
     return 10 * F.log10(power)
 
 
-def _slot(value: Column, k: int, where: Column | None = None) -> Column:
-    at = F.col("scene_rank") == k
-    return F.max(F.when(at if where is None else at & where, value))
-
-
-def slots(bands, max_scenes: int = K.MAX_SCENES, where: Column | None = None, prefix: str = "") -> list[Column]:
-    """Aggregates that hold every band of every ranked scene: columns ``{prefix}{band}__{k}``, plus ``{prefix}__{k}``
-    (true when all bands of scene k are valid)."""
+def _with_slots(df: DataFrame, bands, slot: Column) -> DataFrame:
+    """Add the number of the stack slot a row fills and whether the row is valid in all ``bands``: once per row, so the
+    many aggregates that follow compare one integer each."""
     full = F.lit(True)
     for b in bands:
         full = full & F.col(b).isNotNull()
-    out = [_slot(F.col(b), k, where).alias(f"{prefix}{b}__{k}") for b in bands for k in range(1, max_scenes + 1)]
-    return out + [_slot(full, k, where).alias(f"{prefix}__{k}") for k in range(1, max_scenes + 1)]
+    return df.withColumns({"__slot": slot, "__full": full})
+
+
+def slots(bands, max_scenes: int = K.MAX_SCENES, first_slot: int = 0, prefix: str = "") -> list[Column]:
+    """Aggregates that hold every band of every ranked scene: columns ``{prefix}{band}__{k}``, plus ``{prefix}__{k}``
+    (true when all bands of scene k are valid). Scene k fills slot ``first_slot + k``."""
+    pick = lambda value, k, name: F.expr(f"max(CASE WHEN __slot = {first_slot + k} THEN {value} END) AS `{name}`")
+    out = [pick(b, k, f"{prefix}{b}__{k}") for b in bands for k in range(1, max_scenes + 1)]
+    return out + [pick("__full", k, f"{prefix}__{k}") for k in range(1, max_scenes + 1)]
 
 
 def median_of(values: list[Column]) -> Column:
@@ -76,7 +78,7 @@ def first_from_slots(bands, max_scenes: int = K.MAX_SCENES, prefix: str = "") ->
 
 def composite(df: DataFrame, keys, bands, method: str, max_scenes: int = K.MAX_SCENES, db: bool = False) -> DataFrame:
     """One row per ``keys`` from rows ranked by ``scene_rank`` (1..max_scenes)."""
-    folded = df.groupBy(*keys).agg(*slots(bands, max_scenes))
+    folded = _with_slots(df, bands, F.col("scene_rank")).groupBy(*keys).agg(*slots(bands, max_scenes))
     make = median_from_slots if method == "median" else first_from_slots
     out = folded.select(*keys, *[v.alias(k) for k, v in make(bands, max_scenes).items()])
     return out.withColumns({b: to_db(F.col(b)) for b in bands}) if db else out
@@ -97,14 +99,21 @@ def prepare_inputs(scene_pixels: DataFrame, keys, methods=("median", "first"), m
     composites of all sensors. A stack valid in under 1 % of a request's pixels is dropped by :func:`drop_empty_stacks`.
     """
     aggs, picks = [], {}
+    slot, full, first = F.lit(None).cast("int"), F.lit(False), 0
     for sensor, bands in K.BANDS.items():
+        valid = F.lit(True)
+        for b in bands:
+            valid = valid & F.col(b).isNotNull()
+        full = F.when(F.col("sensor") == sensor, valid).otherwise(full)
         for period, method in zip(K.PERIODS, methods):
-            here = (F.col("sensor") == sensor) & (F.col("period") == period)
             prefix = f"{sensor}_{period}_"
-            aggs += slots(bands, max_scenes, here, prefix)
+            slot = F.when((F.col("sensor") == sensor) & (F.col("period") == period), F.col("scene_rank") + first).otherwise(slot)
+            aggs += slots(bands, max_scenes, first, prefix)
             made = (median_from_slots if method == "median" else first_from_slots)(bands, max_scenes, prefix)
             picks |= {k: to_db(v) if sensor == "s1" else v for k, v in made.items()}
-    return scene_pixels.groupBy(*keys).agg(*aggs).select(*keys, *[v.alias(k) for k, v in picks.items()])
+            first += max_scenes
+    rows = scene_pixels.withColumns({"__slot": slot, "__full": full})
+    return rows.groupBy(*keys).agg(*aggs).select(*keys, *[v.alias(k) for k, v in picks.items()])
 
 
 def drop_empty_stacks(wide: DataFrame, request_keys, pixel_count: Column | None = None) -> DataFrame:

@@ -14,16 +14,18 @@ from terradelta.functions import physics as P
 
 
 
-def _c(df: DataFrame, name: str) -> Column:
-    """A band column, or NULL when the table has no such stack."""
-    return F.col(name) if name in df.columns else F.lit(None).cast("double")
+def _bands(df: DataFrame, *names: str) -> list[Column]:
+    """Band columns, NULL where the table has no such stack (the table's columns are looked up once)."""
+    have = set(df.columns)
+    return [F.col(n) if n in have else F.lit(None).cast("double") for n in names]
 
 
 def with_indices(df: DataFrame) -> DataFrame:
     """Add mndwi/ndvi/nbr per period and their differences (post - pre), plus dNBR (pre - post)."""
-    per = {}
-    for t in K.PERIODS:
-        b = {x: _c(df, f"s2_{t}_{x}") for x in ("b03", "b04", "b08", "b11", "b12")}
+    per, need = {}, ("b03", "b04", "b08", "b11", "b12")
+    found = _bands(df, *[f"s2_{t}_{x}" for t in K.PERIODS for x in need])
+    for i, t in enumerate(K.PERIODS):
+        b = dict(zip(need, found[i * len(need):]))
         per[f"mndwi_{t}"] = P.mndwi(b["b03"], b["b11"])
         per[f"ndvi_{t}"] = P.ndvi(b["b08"], b["b04"])
         per[f"nbr_{t}"] = P.nbr(b["b08"], b["b12"])
@@ -33,8 +35,7 @@ def with_indices(df: DataFrame) -> DataFrame:
 
 def with_evidence(df: DataFrame) -> DataFrame:
     """Add per-sensor probabilities: water (pre, post), burn, disturbance and generic change."""
-    vv0, vv1 = _c(df, "s1_pre_vv"), _c(df, "s1_post_vv")
-    vh0, vh1 = _c(df, "s1_pre_vh"), _c(df, "s1_post_vh")
+    vv0, vv1, vh0, vh1 = _bands(df, "s1_pre_vv", "s1_post_vv", "s1_pre_vh", "s1_post_vh")
     c = F.col
     return df.withColumns(
         {
@@ -84,9 +85,11 @@ def with_maps(df: DataFrame, task: str | Column, has_pair: Column | None = None)
 
 def restrict_sensors(df: DataFrame, sensors) -> DataFrame:
     """Hide every band of the sensors outside ``sensors`` (a list of names, or an array column)."""
-    hide = {}
+    if not isinstance(sensors, Column) and set(K.SENSORS) <= set(sensors):
+        return df
+    hide, columns = {}, df.columns
     for s in K.SENSORS:
-        names = [n for n in df.columns if n.startswith((f"{s}_pre_", f"{s}_post_"))]
+        names = [n for n in columns if n.startswith((f"{s}_pre_", f"{s}_post_"))]
         if isinstance(sensors, Column):
             hide |= {n: F.when(F.array_contains(sensors, s), F.col(n)) for n in names}
         elif s not in sensors:
