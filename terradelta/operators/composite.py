@@ -95,25 +95,19 @@ def valid_fraction(df: DataFrame, keys, bands) -> DataFrame:
 def prepare_inputs(scene_pixels: DataFrame, keys, methods=("median", "first"), max_scenes: int = K.MAX_SCENES) -> DataFrame:
     """Wide before/after pixels from one long table ``keys + (sensor, period, scene_rank, vv, vh, b02 ... b12)``.
 
-    Every sensor, period, band and scene rank is a buffer of one hash aggregate: the pixels are shuffled once for all
-    composites of all sensors. A stack valid in under 1 % of a request's pixels is dropped by :func:`drop_empty_stacks`.
+    Each stack (sensor and period) is composited on its own from its own rows: with sensor and period as partition
+    columns only its files are read, and the aggregate stays small enough to be compiled. All four come out partitioned
+    by the same keys, so the joins that put them side by side move nothing: every row is shuffled once.
+    A stack valid in under 1 % of a request's pixels is dropped by :func:`drop_empty_stacks`.
     """
-    aggs, picks = [], {}
-    slot, full, first = F.lit(None).cast("int"), F.lit(False), 0
+    wide = None
     for sensor, bands in K.BANDS.items():
-        valid = F.lit(True)
-        for b in bands:
-            valid = valid & F.col(b).isNotNull()
-        full = F.when(F.col("sensor") == sensor, valid).otherwise(full)
         for period, method in zip(K.PERIODS, methods):
-            prefix = f"{sensor}_{period}_"
-            slot = F.when((F.col("sensor") == sensor) & (F.col("period") == period), F.col("scene_rank") + first).otherwise(slot)
-            aggs += slots(bands, max_scenes, first, prefix)
-            made = (median_from_slots if method == "median" else first_from_slots)(bands, max_scenes, prefix)
-            picks |= {k: to_db(v) if sensor == "s1" else v for k, v in made.items()}
-            first += max_scenes
-    rows = scene_pixels.withColumns({"__slot": slot, "__full": full})
-    return rows.groupBy(*keys).agg(*aggs).select(*keys, *[v.alias(k) for k, v in picks.items()])
+            rows = scene_pixels.where((F.col("sensor") == sensor) & (F.col("period") == period))
+            one = composite(rows, keys, bands, method, max_scenes, db=sensor == "s1")
+            one = one.withColumnsRenamed({b: f"{sensor}_{period}_{b}" for b in bands})
+            wide = one if wide is None else wide.join(one, keys, "full")
+    return wide
 
 
 def drop_empty_stacks(wide: DataFrame, request_keys, pixel_count: Column | None = None) -> DataFrame:
