@@ -1,8 +1,8 @@
 """All registered queries and their check SQL, gathered from the topic modules."""
 
-from terradelta.plans import q_bench, q_extents, q_geo, q_physics, q_results, q_scenes, q_scout, q_streams
+from terradelta.plans import q_bench, q_extents, q_geo, q_physics, q_results, q_scenes, q_events, q_streams
 
-MODULES = (q_physics, q_scenes, q_results, q_extents, q_geo, q_bench, q_scout, q_streams)
+MODULES = (q_physics, q_scenes, q_results, q_extents, q_geo, q_bench, q_events, q_streams)
 
 QUERIES, ORACLES = {}, {}
 for _m in MODULES:
