@@ -3,11 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-
-from terradelta.llm import licenses, line_rules, mixing
-from terradelta.llm.common import WORD, documents
 from pyspark.sql import functions as F
 
+from terradelta.llm import licenses, line_rules, mil, mixing, parity_join, token_bits, toxicity
+from terradelta.llm.common import documents
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mil.score(documents(spark, sf_dir), labels(spark, sf_dir))
+
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
@@ -17,6 +31,18 @@ def op4_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.line_quality(documents(spark, sf_dir))
 
 
+def op7_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.jaccard_components(documents(spark, sf_dir))
+
+
+def op8_token_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_bits.packed_corpus(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), end=2, vocab_size=49_408)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(documents(spark, sf_dir))
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
@@ -38,5 +64,5 @@ SELECT doc_id, size, source_size, round(target, 6) AS target, (CASE WHEN source_
   floor(floor(target) / source_size) * size + greatest(0, least(size, floor(target) - floor(floor(target) / source_size) * source_size - before)) END)::BIGINT AS taken
 FROM runs"""
 
-QUERIES = {"op2_license_scan": op2_license_scan, "op4_line_cleaning": op4_line_cleaning, "op10_source_mix": op10_source_mix}
+QUERIES = {f.__name__: f for f in (op1_attention_quality, op2_license_scan, op4_line_cleaning, op7_parity_join, op8_token_bits, op9_toxicity, op10_source_mix)}
 ORACLES = {"op2_license_scan": licenses.oracle(), "op10_source_mix": MIX_SQL}
