@@ -299,12 +299,23 @@ def links(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return edges, labels
 
 
+def one_per_component(docs: DataFrame) -> DataFrame:
+    """The documents without those linked, over any number of links, to one with a smaller id; all columns as they are.
+
+    Of rows that repeat a kept id all stay. Ids of dropped documents are what is joined against the texts.
+    """
+    found = jaccard_components(docs)
+    gone = stored(found.where("n_shingles > 0 and component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "parity-gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     docs = docs.select(docs["doc_id"].cast("long"), "text")
     rows = stored(profiles(docs), "parity-profiles")
     nodes = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("node"))
-    classes = rows.where("doc_id is not null").join(nodes, "key").select("doc_id", "node", "codes", "spare")
+    classes = stored(rows.where("doc_id is not null").join(nodes, "key").select("doc_id", "node", "codes", "spare"), "parity-classes")
     _, labels = links(docs, classes)
     own = nodes.join(labels, "node", "left").select("key", F.coalesce("component", "node").alias("component_id"))
     return rows.join(own, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

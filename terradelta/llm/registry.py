@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terradelta.llm import licenses, line_rules, mil, mixing, parity_join, pieces, token_bits, toxicity, webp
+from terradelta.llm import licenses, line_rules, mil, mixing, ngram_trie, parity_join, pieces, token_bits, toxicity, webp
 from terradelta.llm.common import documents
 
 
@@ -27,6 +27,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
 
+def op3_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_trie.score(documents(spark, sf_dir))
+
+
 def op4_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.line_quality(documents(spark, sf_dir))
 
@@ -72,5 +76,5 @@ SELECT doc_id, size, source_size, round(target, 6) AS target, (CASE WHEN source_
   floor(floor(target) / source_size) * size + greatest(0, least(size, floor(target) - floor(floor(target) / source_size) * source_size - before)) END)::BIGINT AS taken
 FROM runs"""
 
-QUERIES = {f.__name__: f for f in (op1_attention_quality, op2_license_scan, op4_line_cleaning, op5_nbest_pieces, op6_webp_media, op7_parity_join, op8_token_bits, op9_toxicity, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_attention_quality, op2_license_scan, op3_ngram_trie, op4_line_cleaning, op5_nbest_pieces, op6_webp_media, op7_parity_join, op8_token_bits, op9_toxicity, op10_source_mix)}
 ORACLES = {"op2_license_scan": licenses.oracle(), "op10_source_mix": MIX_SQL}
