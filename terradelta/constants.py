@@ -32,7 +32,6 @@ S2_OFFSET_BASELINE, S2_OFFSET_DN, S2_SCALE = 4.0, -1000.0, 10000.0
 MIN_VALID_FRACTION = 0.01
 MAX_SCENES = 4
 MAX_S2_CLOUD = 60.0
-SEARCH_LIMIT = 100
 COLLECTIONS = {"s1": "sentinel-1-rtc", "s2": "sentinel-2-l2a", "dem": "cop-dem-glo-30", "mtbs": "mtbs"}
 
 # --- Fixed values: requests ----------------------------------------------------------------------
@@ -50,7 +49,6 @@ THRESHOLD = 0.5
 REVIEW_UNCERTAINTY = 0.8
 SEVERITY_CLASSES = ("low", "moderate-low", "moderate-high", "high")
 SIEVE_PIXELS = 20
-MAX_EXTENTS = 5000
 TASKS = {
     "flood": {"title": "Flood inundation", "target": "flood", "verb": "flooded",
               "composite": ("median", "first"), "scenes": "closest", "seasonal": False},

@@ -1,8 +1,9 @@
 """Masks and per-pixel composites of scene stacks.
 
-A composite never sees more than ``max_scenes`` observations of a pixel and period, because scenes are selected first.
-So a stack is folded with one plain hash aggregate: one buffer per (band, scene rank). That keeps partial aggregation
-and code generation, where a generic median or a collected list would not.
+Scenes are selected first, so a composite knows how many observations of a pixel and period there can be
+(``max_scenes``). A stack is folded with one plain hash aggregate: one buffer per (band, scene rank). That keeps partial
+aggregation and code generation, where a generic median or a collected list would not. An observation without a slot, or
+a second one of the same rank, is an error: nothing is left out silently.
 """
 
 from __future__ import annotations
@@ -76,11 +77,21 @@ def first_from_slots(bands, max_scenes: int = K.MAX_SCENES, prefix: str = "") ->
     return out
 
 
+def checked_rank(max_scenes: int) -> Column:
+    """``scene_rank``, or an error where it has no slot."""
+    rank = F.col("scene_rank")
+    text = F.concat(F.lit("scene_rank "), F.coalesce(rank.cast("string"), F.lit("NULL")), F.lit(f" is outside 1..{max_scenes}; raise max_scenes"))
+    return F.when(rank.between(1, max_scenes), rank).otherwise(F.raise_error(text).cast("int"))
+
+
 def composite(df: DataFrame, keys, bands, method: str, max_scenes: int = K.MAX_SCENES, db: bool = False) -> DataFrame:
-    """One row per ``keys`` from rows ranked by ``scene_rank`` (1..max_scenes)."""
-    folded = _with_slots(df, bands, F.col("scene_rank")).groupBy(*keys).agg(*slots(bands, max_scenes))
+    """One row per ``keys`` from rows ranked by ``scene_rank`` (1..max_scenes, each once)."""
+    seen = [F.count("*").alias("__n"), F.expr("bit_or(shiftleft(1L, CAST(__slot AS INT))) AS __seen")]
+    folded = _with_slots(df, bands, checked_rank(max_scenes)).groupBy(*keys).agg(*slots(bands, max_scenes), *seen)
     make = median_from_slots if method == "median" else first_from_slots
-    out = folded.select(*keys, *[v.alias(k) for k, v in make(bands, max_scenes).items()])
+    once = F.bit_count("__seen") == F.col("__n")
+    twice = F.raise_error(F.lit("two observations share a scene_rank")).cast("double")
+    out = folded.select(*keys, *[F.when(once, v).otherwise(twice).alias(k) for k, v in make(bands, max_scenes).items()])
     return out.withColumns({b: to_db(F.col(b)) for b in bands}) if db else out
 
 

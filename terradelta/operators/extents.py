@@ -153,12 +153,13 @@ def extent_features(regions: DataFrame, grids: DataFrame, key: str) -> DataFrame
     return out.withColumns({"lon": F.round("lon", 6), "lat": F.round("lat", 6)}).drop("x", "y", "epsg")
 
 
-def top_extents(features: DataFrame, key: str, limit: int = K.MAX_EXTENTS) -> DataFrame:
-    """The largest ``limit`` extents per key, with their rank."""
+def top_extents(features: DataFrame, key: str, limit: int | None = None) -> DataFrame:
+    """Extents with their rank by area within the key; with a ``limit`` only the largest."""
     from pyspark.sql import Window
 
     w = Window.partitionBy(key).orderBy(F.col("area_km2").desc(), "label")
-    return features.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    ranked = features.withColumn("rank", F.row_number().over(w))
+    return ranked if limit is None else ranked.where(F.col("rank") <= limit)
 
 
 # Directions: 0 east, 1 south, 2 west, 3 north; the region lies to the right of a directed edge.

@@ -26,9 +26,10 @@ def raster_labels(value: Column) -> Column:
 
 
 def gfc_tile_names(w: Column, s: Column, e: Column, n: Column) -> Column:
-    """Sorted names of the 10-degree tiles under the four corners of a box (corners only, as published)."""
-    tops = F.array(*[(F.ceil(v / 10) * 10).cast("int") for v in (s, n)])
-    lefts = F.array(*[(F.floor(v / 10) * 10).cast("int") for v in (w, e)])
+    """Sorted names of all 10-degree tiles under a box (a tile is named after its upper left corner)."""
+    steps = lambda lo, hi: F.sequence(lo.cast("int"), hi.cast("int"), F.lit(10))
+    tops = steps(F.ceil(s / 10) * 10, F.ceil(n / 10) * 10)
+    lefts = steps(F.floor(w / 10) * 10, F.floor(e / 10) * 10)
     name = lambda t, l: F.concat(  # noqa: E731, E741
         F.lpad(F.abs(t).cast("string"), 2, "0"), F.when(t >= 0, "N").otherwise("S"), F.lit("_"),
         F.lpad(F.abs(l).cast("string"), 3, "0"), F.when(l >= 0, "E").otherwise("W"))
@@ -36,22 +37,24 @@ def gfc_tile_names(w: Column, s: Column, e: Column, n: Column) -> Column:
 
 
 def gfc_mosaic(df: DataFrame, keys, value: str, tile: str = "tile") -> DataFrame:
-    """First known value per pixel over tiles in name order."""
-    return df.groupBy(*keys).agg(F.min_by(value, F.when(F.col(value).isNotNull(), F.col(tile))).alias(value))
+    """First known value per pixel over tiles in name order; of several values of one tile the smallest."""
+    known = F.when(F.col(value).isNotNull(), F.struct(tile, value))
+    return df.groupBy(*keys).agg(F.min(known).alias("__first")).select(*keys, F.col(f"__first.{value}").alias(value))
 
 
 def task_labels(df: DataFrame, source: Column, task: Column, weak: Column, severity: Column, loss: Column,
-                cover: Column, raster: Column, year: Column) -> DataFrame:
+                cover: Column, raster: Column, year: Column, raster_path: Column) -> DataFrame:
     """Target label and label source of every pixel of an event, by the event's label ``source``.
 
-    Without a source floods take the consensus label; other tasks get the error column filled.
+    ``raster_path`` is where an event's label raster comes from. Without a source floods take the consensus label; other
+    tasks get the error column filled.
     """
     return df.withColumns(
         {
             "label": F.when(source == "mtbs", mtbs_labels(severity)).when(source == "hansen", hansen_labels(loss, cover, year))
             .when(source == "raster", raster_labels(raster)).when(source.isNull() & (task == "flood"), weak),
             "label_source": F.when(source.isin("mtbs", "hansen"), F.concat_ws(":", source, year.cast("string")))
-            .when(source == "raster", F.lit("raster:labels.tif")).when(source.isNull() & (task == "flood"), F.lit("weak:s1+s2-consensus")),
+            .when(source == "raster", F.concat(F.lit("raster:"), raster_path)).when(source.isNull() & (task == "flood"), F.lit("weak:s1+s2-consensus")),
             "label_error": F.when(source.isNull() & (task != "flood"), F.concat(task, F.lit(" events need a `label:` source (mtbs, hansen or a raster)")))
             .when(~source.isin("mtbs", "hansen", "raster"), F.concat(F.lit("unknown label source '"), source, F.lit("'"))),
         }

@@ -19,7 +19,7 @@ def parse_window(text: Column) -> tuple[Column, Column]:
 
 def window_error(text: Column, start: Column, end: Column) -> Column:
     return (
-        F.when(start.isNull() | end.isNull(), F.concat(F.lit("bad date window '"), text, F.lit("': use YYYY-MM-DD/YYYY-MM-DD")))
+        F.when(start.isNull() | end.isNull(), F.concat(F.lit("bad date window '"), F.coalesce(text, F.lit("")), F.lit("': use YYYY-MM-DD/YYYY-MM-DD")))
         .when((start > end) | (F.datediff(end, start) > K.MAX_WINDOW_DAYS),
               F.concat(F.lit("window '"), text, F.lit(f"' must be ordered and at most {K.MAX_WINDOW_DAYS} days")))
     )
@@ -59,11 +59,13 @@ def validate_request(df: DataFrame, max_km2: float = K.MAX_AOI_KM2) -> DataFrame
     km2 = c("aoi_km2")
     supported = "[" + ", ".join(f"'{t}'" for t in K.TASKS) + "]"
     error = (
-        F.when(~c("task").isin(*K.TASKS), F.concat(F.lit("unknown task '"), c("task"), F.lit(f"'; supported: {supported}")))
+        F.when(F.coalesce(~c("task").isin(*K.TASKS), F.lit(True)),
+               F.concat(F.lit("unknown task '"), F.coalesce("task", F.lit("")), F.lit(f"'; supported: {supported}")))
         .when(c("bad_sensor").isNotNull(), F.concat(F.lit("unknown sensor '"), c("bad_sensor"), F.lit("'; use s1, s2")))
-        .when(F.size("sensor_keys") == 0, F.lit("at least one sensor is required"))
+        .when(F.coalesce(F.size("sensor_keys") < 1, F.lit(True)), F.lit("at least one sensor is required"))
         .when(c("aoi_error").isNotNull(), F.concat(F.lit("invalid AOI: "), c("aoi_error")))
-        .when(~F.coalesce(km2.between(K.MIN_AOI_KM2, max_km2), F.lit(False)),
+        .when(km2.isNull(), F.lit("invalid AOI: no area"))
+        .when(~km2.between(K.MIN_AOI_KM2, max_km2),
               F.format_string(f"AOI area %.1f km² outside allowed range {K.MIN_AOI_KM2:g}–{max_km2:g} km²", km2))
         .otherwise(F.coalesce(window_error(c("before"), c("before_start"), c("before_end")),
                               window_error(c("after"), c("after_start"), c("after_end"))))
@@ -71,7 +73,7 @@ def validate_request(df: DataFrame, max_km2: float = K.MAX_AOI_KM2) -> DataFrame
     df = df.withColumn("error", error)
     late = (
         F.when(c("before_end") >= c("after_start"), F.lit("the before window must end before the after window starts"))
-        .when(~c("resolution").between(K.MIN_RES, K.MAX_RES), F.lit("resolution must be 10–100 m"))
+        .when(~F.coalesce(c("resolution").between(K.MIN_RES, K.MAX_RES), F.lit(False)), F.lit("resolution must be 10–100 m"))
     )
     df = df.withColumn("error", F.coalesce("error", late)).drop("bad_sensor")
     gap = season_gap(c("before_start"), c("before_end"), c("after_start"), c("after_end"))

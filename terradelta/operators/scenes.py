@@ -50,46 +50,35 @@ def search(
     catalog: DataFrame,
     areas: DataFrame,
     max_cloud: float | None = K.MAX_S2_CLOUD,
-    limit: int = K.SEARCH_LIMIT,
+    limit: int | None = None,
     cell_deg: float = 1.0,
     bucket_days: int = 16,
 ) -> DataFrame:
-    """Scenes per search: ``areas(search_id, sensor, w, s, e, n, start, end)`` against the catalog.
+    """Scenes per search: ``areas(search_id, sensor, w, s, e, n, start, end, ...)`` against the catalog.
 
-    A scene matches when the boxes intersect, its time lies in the inclusive day window (terrain ignores time) and, for
-    optical scenes, its cloud cover is below ``max_cloud``. At most ``limit`` scenes per search, oldest first.
+    A scene matches when the boxes intersect, its time lies in the inclusive day window (terrain ignores time and needs
+    none) and, for optical scenes, its cloud cover is below ``max_cloud``. ``seq`` numbers a search's scenes from the
+    oldest; with a ``limit`` only that many are kept.
 
-    Only the oldest matter, so a search first meets the scene *counts* per footprint and day and learns the day on which
-    its limit is full; then it is joined, by (sensor, degree cell, day), to the scenes up to that day. However crowded a
-    footprint is, a search reads little more than ``limit`` scenes. The rest is a ranked window.
+    One equi-join by (sensor, degree cell, bucket of days) carries the areas' columns along, so each table is read once;
+    the join is a plain one that Spark can split where a footprint is crowded. The rest is one ranked window.
     """
-    day = F.expr(f"datediff(to_date(ts), {_EPOCH})")
+    day = f"datediff(to_date(ts), {_EPOCH})"
     scenes = catalog
     if max_cloud is not None:
         scenes = scenes.where((F.col("sensor") != "s2") | (F.col("cloud") < max_cloud))
-    scenes = scenes.withColumn("day", day)
-    counts = scenes.groupBy("sensor", "w", "s", "e", "n", "day").agg(F.count("*").alias("k"))
-    asked = areas.selectExpr(
-        "search_id", "sensor", "w", "s", "e", "n", f"CASE WHEN sensor <> 'dem' THEN datediff(start, {_EPOCH}) END AS d0",
-        f"CASE WHEN sensor <> 'dem' THEN datediff(end, {_EPOCH}) END AS d1")
     # Terrain has no window: it searches the whole time span, which its bucket 0 stands for.
-    bucket = f"CASE WHEN sensor = 'dem' THEN 0L ELSE floor(day / {bucket_days}) END AS bucket"
-    buckets = f"explode(CASE WHEN sensor = 'dem' THEN array(0L) ELSE sequence(floor(d0 / {bucket_days}), floor(d1 / {bucket_days})) END) AS bucket"
-    a, c = _celled(asked, cell_deg).selectExpr("*", buckets).alias("a"), _celled(counts, cell_deg).selectExpr("*", bucket).alias("c")
-    in_time = "(a.sensor = 'dem' OR c.day BETWEEN a.d0 AND a.d1)"
-    daily = a.join(c, F.expr(f"a.sensor = c.sensor AND a.bucket = c.bucket AND {in_time} AND {_touch('a', 'c', cell_deg)}"))
-    daily = daily.groupBy("a.search_id", "a.sensor", "c.day").agg(F.sum("c.k").alias("k"))
-    so_far = Window.partitionBy("search_id", "sensor").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    needed = daily.withColumn("before", F.coalesce(F.sum("k").over(so_far), F.lit(0))).where(F.col("before") < limit)
-    # One row per search and day that can still contribute, joined to that day's scenes.
-    days = needed.select("search_id", "sensor", "day").join(asked.select("search_id", "sensor", "w", "s", "e", "n"), ["search_id", "sensor"])
-    d, b = _celled(days, cell_deg).alias("a"), _celled(scenes, cell_deg).alias("b")
-    found = d.join(b, F.expr(f"a.sensor = b.sensor AND a.day = b.day AND {_touch('a', 'b', cell_deg)}"))
-    found = found.select("a.search_id", "a.sensor", *[f"b.{c}" for c in catalog.columns if c not in ("sensor", "w", "s", "e", "n")])
-    rank = Window.partitionBy("search_id", "sensor").orderBy("ts", "scene_id")
-    best = found.withColumn("seq", F.row_number().over(rank)).where(F.col("seq") <= limit)
-    keep = [n for n in areas.columns if n not in ("w", "s", "e", "n")]
-    return best.join(areas.select(*keep), ["search_id", "sensor"])
+    scenes = scenes.selectExpr("*", f"{day} AS day", f"CASE WHEN sensor = 'dem' THEN 0L ELSE floor({day} / {bucket_days}) END AS bucket")
+    asked = areas.selectExpr(
+        "*", f"datediff(start, {_EPOCH}) AS d0", f"datediff(end, {_EPOCH}) AS d1").selectExpr(
+        "*", f"explode(CASE WHEN sensor = 'dem' THEN array(0L) ELSE sequence(floor(d0 / {bucket_days}), floor(d1 / {bucket_days})) END) AS bucket")
+    a, b = _celled(asked, cell_deg).alias("a"), _celled(scenes, cell_deg).alias("b")
+    in_time = "(a.sensor = 'dem' OR b.day BETWEEN a.d0 AND a.d1)"
+    found = a.join(b, F.expr(f"a.sensor = b.sensor AND a.bucket = b.bucket AND {in_time} AND {_touch('a', 'b', cell_deg)}"))
+    box = ("w", "s", "e", "n")
+    found = found.select(*[f"a.{c}" for c in areas.columns if c not in box], *[f"b.{c}" for c in catalog.columns if c not in ("sensor", *box)])
+    ranked = found.withColumn("seq", F.row_number().over(Window.partitionBy("search_id", "sensor").orderBy("ts", "scene_id")))
+    return ranked if limit is None else ranked.where(F.col("seq") <= limit)
 
 
 def describe(items: DataFrame) -> DataFrame:
@@ -126,10 +115,7 @@ def select_closest(scenes: DataFrame, keys: list[str], order: list[str], n: int
 
 
 def select_spread(scenes: DataFrame, keys: list[str], order: list[str], n: int = K.MAX_SCENES) -> DataFrame:
-    """``n`` scenes spread evenly over a window of more than n; smaller windows are kept as they are.
-
-    Input is a search result, which holds at most the search limit of scenes per key and period.
-    """
+    """``n`` scenes spread evenly over a window of more than n; smaller windows are kept as they are."""
     w = Window.partitionBy(*keys, "period")
     ranked = scenes.withColumns({"pos": F.row_number().over(w.orderBy(*order)) - 1, "total": F.count("*").over(w)})
     wanted = F.array(*[F.floor(F.lit(float(i)) * (F.col("total") - 1) / (n - 1) + 0.5) for i in range(n)])
@@ -141,15 +127,15 @@ def match_orbits(scenes: DataFrame, selected_post: DataFrame, keys: list[str]) -
     """Keep 'pre' scenes flown on an orbit of the selected 'post' scenes (NULL orbits match each other).
 
     Where none, or all, of a key's pre scenes share such an orbit, all of them stay. The orbits in use form a small
-    distinct table; whether a key is restricted is decided on per-key counts, never on collected scenes.
+    distinct table; whether a key is restricted is decided by a window maximum, never on collected scenes.
     """
     orbits = selected_post.select(*keys, "relative_orbit").distinct().withColumn("same", F.lit(True)).alias("o")
     pre = scenes.where(F.col("period") == "pre").alias("p")
     cond = [F.col(f"p.{k}") == F.col(f"o.{k}") for k in keys]
     marked = pre.join(orbits, [*cond, F.col("p.relative_orbit").eqNullSafe(F.col("o.relative_orbit"))], "left")
-    marked = marked.select("p.*", F.coalesce(F.col("o.same"), F.lit(False)).alias("same"))
-    usable = marked.groupBy(*keys).agg(F.max("same").alias("any_same"))
-    kept = marked.join(usable, keys).where(F.col("same") | ~F.col("any_same")).select(*scenes.columns)
+    marked = marked.select("p.*", F.coalesce(F.col("o.same"), F.lit(False)).alias("__same"))
+    any_same = F.max("__same").over(Window.partitionBy(*keys))
+    kept = marked.withColumn("__any", any_same).where(F.col("__same") | ~F.col("__any")).select(*scenes.columns)
     return kept.unionByName(scenes.where(F.col("period") == "post"))
 
 
@@ -163,17 +149,16 @@ def daily_counts(catalog: DataFrame, max_cloud: float = K.MAX_S2_CLOUD) -> DataF
     )
 
 
-def imagery_counts(cases: DataFrame, catalog: DataFrame, limit: int = K.SEARCH_LIMIT) -> DataFrame:
+def imagery_counts(cases: DataFrame, catalog: DataFrame) -> DataFrame:
     """Scenes per sensor before and after each case, ``cases(id, w, s, e, n, before_start, ... after_end)``.
 
     The catalog is first reduced to daily counts per footprint, so a case meets few rows however many scenes a popular
-    footprint has. Each count is capped at the search limit, as a search would return no more.
+    footprint has.
     """
-    return imagery_counts_from_days(cases, daily_counts(catalog), limit)
+    return imagery_counts_from_days(cases, daily_counts(catalog))
 
 
-def imagery_counts_from_days(cases: DataFrame, days: DataFrame, limit: int = K.SEARCH_LIMIT, cell_deg: float = 1.0,
-                             bucket_days: int = 32) -> DataFrame:
+def imagery_counts_from_days(cases: DataFrame, days: DataFrame, cell_deg: float = 1.0, bucket_days: int = 32) -> DataFrame:
     """:func:`imagery_counts` from daily counts (several rows of a day and footprint add up)."""
     epoch = F.lit("1970-01-01").cast("date")
     days = days.withColumns(
@@ -208,7 +193,7 @@ def imagery_counts_from_days(cases: DataFrame, days: DataFrame, limit: int = K.S
     sums = {k: F.sum(F.when(F.col("key") == k, F.col("scenes"))) for k in names}
     counted = found.groupBy("id").agg(*[v.alias(k) for k, v in sums.items()])
     out = cases.select("id").join(counted, "id", "left")
-    return out.select("id", *[F.least(F.coalesce(F.col(k), F.lit(0)), F.lit(limit)).cast("bigint").alias(k) for k in names])
+    return out.select("id", *[F.coalesce(F.col(k), F.lit(0)).cast("bigint").alias(k) for k in names])
 
 
 def imagery_status(counts: DataFrame) -> DataFrame:

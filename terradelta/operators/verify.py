@@ -113,8 +113,8 @@ def place_candidates(verified: DataFrame, gazetteer: DataFrame, key: str) -> Dat
     where = F.array_join(F.array_distinct(F.filter(F.array(top["place"], top["admin_area"]), lambda p: F.coalesce(p, F.lit("")) != "")), ", ")
     return ok.join(first, key, "left").select(
         key, F.col("x.hazard").alias("hazard"), "hit.lon", "hit.lat", "hit.bbox", "start_date", "end_date", where.alias("place"),
-        top["country"].alias("country"), F.lit("news").alias("kind"), "outlet", "title", F.substring(F.get("facts", F.lit(0)), 1, 400).alias("quote"),
-        F.substring(F.coalesce("x.impact", F.lit("")), 1, 300).alias("detail"),
+        top["country"].alias("country"), F.lit("news").alias("kind"), "outlet", "title", F.get("facts", F.lit(0)).alias("quote"),
+        F.coalesce("x.impact", F.lit("")).alias("detail"),
         F.when(F.col("hit").isNull(), F.concat(F.lit("could not place '"), top["place"], F.lit("' precisely"))).alias("reason"))
 
 

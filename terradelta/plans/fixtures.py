@@ -55,7 +55,7 @@ FROM {lineitem}"""
 
 SQL["scene_catalog"] = """
 SELECT event_id AS scene_id, CASE WHEN event_type IN ('click','view') THEN 's1' WHEN event_type = 'error' THEN 'dem' ELSE 's2' END AS sensor,
-       ts, value / 5e0 AS cloud, CASE WHEN event_id % 17 = 0 THEN NULL ELSE event_id % 5 END AS relative_orbit,
+       CASE WHEN event_type <> 'error' OR event_id % 3 > 0 THEN ts END AS ts, value / 5e0 AS cloud, CASE WHEN event_id % 17 = 0 THEN NULL ELSE event_id % 5 END AS relative_orbit,
        CASE WHEN event_id % 2 = 0 THEN 'ascending' ELSE 'descending' END AS orbit_state, 'sat-' || CAST(user_id % 4 AS VARCHAR(4)) AS platform,
        CAST(user_id % 25 AS DOUBLE) AS w, CAST(user_id % 25 AS DOUBLE) + 1.5e0 AS e, 44e0 AS s, 45.5e0 AS n
 FROM {events}"""
@@ -120,18 +120,9 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "conversations").split()
 
 
-LARGE = ("events", "lineitem", "orders", "documents", "pages")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables. A large one that arrives as fewer splits than there are cores (a single small file does)
-    is spread over the cores; a table of many files is read as it is."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if name in LARGE:
-        cores = spark.sparkContext.defaultParallelism
-        if df._jdf.queryExecution().toRdd().getNumPartitions() < cores:
-            return df.repartition(cores)
-    return df
+    """One of the given tables, as it is stored."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

@@ -231,36 +231,35 @@ def q_raster(spark, sf):
     return pix(spark, sf).select("pixel_id", L.raster_labels(F.expr(_RAST)).alias("label"))
 
 
-@book.query("gfc_tile_names", """SELECT event_id, array_to_string(list_sort(list_distinct([
-   lpad(abs(CAST(ceil(s / 10) * 10 AS INT))::VARCHAR, 2, '0') || CASE WHEN ceil(s / 10) >= 0 THEN 'N' ELSE 'S' END || '_' || lpad(abs(CAST(floor(w / 10) * 10 AS INT))::VARCHAR, 3, '0') || CASE WHEN floor(w / 10) >= 0 THEN 'E' ELSE 'W' END,
-   lpad(abs(CAST(ceil(n / 10) * 10 AS INT))::VARCHAR, 2, '0') || CASE WHEN ceil(n / 10) >= 0 THEN 'N' ELSE 'S' END || '_' || lpad(abs(CAST(floor(w / 10) * 10 AS INT))::VARCHAR, 3, '0') || CASE WHEN floor(w / 10) >= 0 THEN 'E' ELSE 'W' END,
-   lpad(abs(CAST(ceil(s / 10) * 10 AS INT))::VARCHAR, 2, '0') || CASE WHEN ceil(s / 10) >= 0 THEN 'N' ELSE 'S' END || '_' || lpad(abs(CAST(floor(e / 10) * 10 AS INT))::VARCHAR, 3, '0') || CASE WHEN floor(e / 10) >= 0 THEN 'E' ELSE 'W' END,
-   lpad(abs(CAST(ceil(n / 10) * 10 AS INT))::VARCHAR, 2, '0') || CASE WHEN ceil(n / 10) >= 0 THEN 'N' ELSE 'S' END || '_' || lpad(abs(CAST(floor(e / 10) * 10 AS INT))::VARCHAR, 3, '0') || CASE WHEN floor(e / 10) >= 0 THEN 'E' ELSE 'W' END])), ',') AS tiles
-  FROM (SELECT request_id AS event_id, lon - half_lon * 40 AS w, lon + half_lon * 40 AS e, lat - half_lat * 40 AS s, lat + half_lat * 40 AS n FROM requests) x""", "requests")
+@book.query("gfc_tile_names", """SELECT event_id, array_to_string(list_sort(list_distinct(flatten([[
+   lpad(abs(t)::VARCHAR, 2, '0') || CASE WHEN t >= 0 THEN 'N' ELSE 'S' END || '_' || lpad(abs(l)::VARCHAR, 3, '0') || CASE WHEN l >= 0 THEN 'E' ELSE 'W' END
+     FOR l IN range(CAST(floor(w / 10) * 10 AS BIGINT), CAST(floor(e / 10) * 10 AS BIGINT) + 1, 10)]
+     FOR t IN range(CAST(ceil(s / 10) * 10 AS BIGINT), CAST(ceil(n / 10) * 10 AS BIGINT) + 1, 10)]))), ',') AS tiles
+  FROM (SELECT request_id AS event_id, lon - half_lon * 400 AS w, lon + half_lon * 400 AS e, lat - half_lat * 200 AS s, lat + half_lat * 200 AS n FROM requests) x""", "requests")
 def q_gfc(spark, sf):
     c = F.col
-    names = L.gfc_tile_names(c("lon") - c("half_lon") * 40, c("lat") - c("half_lat") * 40, c("lon") + c("half_lon") * 40, c("lat") + c("half_lat") * 40)
+    names = L.gfc_tile_names(c("lon") - c("half_lon") * 400, c("lat") - c("half_lat") * 200, c("lon") + c("half_lon") * 400, c("lat") + c("half_lat") * 200)
     return fixture(spark, sf, "requests").select(c("request_id").alias("event_id"), F.array_join(names, ",").alias("tiles"))
 
 
-@book.query("gfc_mosaic", """SELECT l_orderkey AS cell, max(loss) FILTER (k = 1) AS loss FROM (SELECT l_orderkey, loss, row_number() OVER (PARTITION BY l_orderkey ORDER BY loss IS NULL, tile) AS k FROM (
-  SELECT l_orderkey, lpad(CAST(l_suppkey AS VARCHAR), 8, '0') || '_' || CAST(l_partkey AS VARCHAR) || '_' || CAST(l_linenumber AS VARCHAR) AS tile, CASE WHEN l_tax > 0.03 THEN CAST(l_quantity AS INTEGER) END AS loss FROM lineitem) y) x GROUP BY 1""")
+@book.query("gfc_mosaic", """SELECT l_orderkey AS cell, max(loss) FILTER (k = 1) AS loss FROM (SELECT l_orderkey, loss, row_number() OVER (PARTITION BY l_orderkey ORDER BY loss IS NULL, tile, loss) AS k FROM (
+  SELECT l_orderkey, lpad(CAST(l_suppkey AS VARCHAR), 8, '0') || '_' || CAST(l_partkey AS VARCHAR) || '_' || CAST(l_linenumber AS VARCHAR) || '_' || strftime(l_shipdate, '%Y%m%d') AS tile, CASE WHEN l_tax > 0.03 THEN CAST(l_quantity AS INTEGER) END AS loss FROM lineitem) y) x GROUP BY 1""")
 def q_gfc_mosaic(spark, sf):
     li = table(spark, sf, "lineitem").select(
-        F.col("l_orderkey").alias("cell"), F.concat_ws("_", F.lpad(F.col("l_suppkey").cast("string"), 8, "0"), F.col("l_partkey").cast("string"), F.col("l_linenumber").cast("string")).alias("tile"),
+        F.col("l_orderkey").alias("cell"), F.concat_ws("_", F.lpad(F.col("l_suppkey").cast("string"), 8, "0"), F.col("l_partkey").cast("string"), F.col("l_linenumber").cast("string"), F.date_format("l_shipdate", "yyyyMMdd")).alias("tile"),
         F.when(F.col("l_tax") > 0.03, F.col("l_quantity").cast("int")).alias("loss"))
     return L.gfc_mosaic(li, ["cell"], "loss")
 
 
 LABELS = f"""lab AS (SELECT pixel_id, request_id, r, c, CASE request_id % 4 WHEN 0 THEN {_FLOOD_LABEL} WHEN 1 THEN CASE WHEN sev IS NULL OR sev = 5 THEN 0 WHEN sev BETWEEN 2 AND 4 THEN 1 END
     WHEN 2 THEN CASE WHEN loss = 20 THEN 1 WHEN loss = 0 AND cover >= 30 THEN 0 END ELSE CASE WHEN rast <> 255 THEN CAST(rast AS INTEGER) END END AS label, {_CHANGE_LABEL} AS change_label,
-    CASE request_id % 4 WHEN 0 THEN 'weak:s1+s2-consensus' WHEN 1 THEN 'mtbs:2020' WHEN 2 THEN 'hansen:2020' ELSE 'raster:labels.tif' END AS label_source
+    CASE request_id % 4 WHEN 0 THEN 'weak:s1+s2-consensus' WHEN 1 THEN 'mtbs:2020' WHEN 2 THEN 'hansen:2020' ELSE 'raster:/labels/' || request_id || '.tif' END AS label_source
   FROM (SELECT *, {_SEV} AS sev, {_LOSS} AS loss, {_COVER} AS cover, {_RAST} AS rast FROM ev) e)"""
 
 
 def labelled(spark, sf) -> DataFrame:
     c = F.col
-    return L.task_labels(label_px(spark, sf), c("source"), c("task"), c("flood_label"), c("sev"), c("loss"), c("cover"), c("rast"), c("year"))
+    return L.task_labels(label_px(spark, sf), c("source"), c("task"), c("flood_label"), c("sev"), c("loss"), c("cover"), c("rast"), c("year"), F.concat(F.lit("/labels/"), c("request_id").cast("string"), F.lit(".tif")))
 
 
 @book.query("task_labels", f"{S.chain()}, {LABELS} SELECT pixel_id, label, change_label, label_source FROM lab", "pix")

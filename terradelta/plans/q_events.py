@@ -60,7 +60,7 @@ CEMS_SQL = """SELECT 'EMSR' || CAST(event_id AS VARCHAR(20)) AS code, '{"results
 
 
 @book.query("load_cems_activations", """SELECT CASE event_id % 3 WHEN 0 THEN 'flood' ELSE 'wildfire' END AS hazard, user_id % 90 + 0.5e0 AS lon, -(user_id % 50 + 0.25e0) AS lat, DATE '2024-01-01' + CAST(event_id % 28 AS INT) AS start_date, DATE '2024-01-01' + CAST(event_id % 28 AS INT) AS end_date,
-  'N1, N2' AS place, 'A, B' AS country, 'cems' AS kind, 'EMSR' || event_id AS source_id, 'https://rapidmapping.emergency.copernicus.eu/EMSR' || event_id AS url, 'Act ' || event_id AS title, CAST(DATE '2024-01-01' + CAST(event_id % 28 AS INT) AS VARCHAR) AS date, 'Why' AS detail,
+  'N1, N2, N3' AS place, 'A, B' AS country, 'cems' AS kind, 'EMSR' || event_id AS source_id, 'https://rapidmapping.emergency.copernicus.eu/EMSR' || event_id AS url, 'Act ' || event_id AS title, CAST(DATE '2024-01-01' + CAST(event_id % 28 AS INT) AS VARCHAR) AS date, 'Why' AS detail,
   least(0.5e0, user_id) AS bbox_w, 2e0 AS bbox_s, greatest(2e0, user_id) AS bbox_e, 9e0 AS bbox_n FROM events WHERE event_id % 3 < 2 AND event_id % 28 >= 4""")
 def q_cems(spark, sf):
     d = derive(spark, sf, CEMS_SQL)
@@ -161,10 +161,10 @@ def q_channels(spark, sf):
 
 
 @book.query("interleave_hazards", f"""WITH {_T}, h AS (SELECT event_id, {_HAZ('title')} AS hazard FROM t), n AS (SELECT *, row_number() OVER (PARTITION BY hazard ORDER BY event_id) AS round FROM h WHERE hazard IS NOT NULL)
-  SELECT event_id, hazard, CAST(round AS INTEGER) AS round, CASE hazard WHEN 'flood' THEN 1 WHEN 'wildfire' THEN 2 ELSE 3 END AS turn FROM n WHERE round <= 15""")
+  SELECT event_id, hazard, CAST(round AS INTEGER) AS round, CASE hazard WHEN 'flood' THEN 1 WHEN 'wildfire' THEN 2 ELSE 3 END AS turn FROM n""")
 def q_interleave(spark, sf):
     a = titles(spark, sf).select("event_id", text.hazard_of(F.col("title")).alias("hazard")).where("hazard IS NOT NULL")
-    return feeds.interleave_hazards(a, ["event_id"], 15)
+    return feeds.interleave_hazards(a, ["event_id"])
 
 
 # ------------------------------------------------------------------------------------------ verification

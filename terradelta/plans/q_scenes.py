@@ -9,6 +9,7 @@ from terradelta.operators import scenes as S
 from terradelta.operators import terrain
 from terradelta.plans.fixtures import SQL, derive, fixture, table
 from terradelta.plans.kit import Book, r6, rounded
+from terradelta.session import persist_table
 
 book = Book()
 QUERIES, ORACLES = book.queries, book.oracles
@@ -32,15 +33,13 @@ def found(spark, sf) -> DataFrame:
 
 
 FOUND = """found AS (
-  SELECT * FROM (
     SELECT a.area_id, c.sensor, a.period, c.scene_id, c.ts, c.cloud, c.relative_orbit,
-           row_number() OVER (PARTITION BY a.area_id, a.sensor, a.period ORDER BY c.ts, c.scene_id) AS seq
+           row_number() OVER (PARTITION BY a.area_id, a.sensor, a.period ORDER BY c.ts NULLS FIRST, c.scene_id) AS seq
     FROM (SELECT area_id, w, s, e, n, sensor, period, CASE period WHEN 'pre' THEN before_start ELSE after_start END AS d0,
                  CASE period WHEN 'pre' THEN before_end ELSE after_end END AS d1
           FROM areas, (VALUES ('s1','pre'),('s1','post'),('s2','pre'),('s2','post'),('dem','pre')) v(sensor, period)) a
     JOIN scene_catalog c ON c.sensor = a.sensor AND a.w <= c.e AND c.w <= a.e AND a.s <= c.n AND c.s <= a.n
-     AND (a.sensor = 'dem' OR (CAST(c.ts AS DATE) BETWEEN a.d0 AND a.d1)) AND (a.sensor <> 's2' OR c.cloud < 60e0)) x
-  WHERE seq <= 100)"""
+     AND (a.sensor = 'dem' OR (CAST(c.ts AS DATE) BETWEEN a.d0 AND a.d1)) AND (a.sensor <> 's2' OR c.cloud < 60e0))"""
 
 
 @book.query("scene_search", f"WITH {FOUND} SELECT area_id, sensor, period, scene_id, CAST(seq AS INTEGER) AS seq FROM found",
@@ -104,7 +103,7 @@ def q_spread(spark, sf):
   SELECT area_id, period, scene_id FROM pre JOIN dec USING (area_id) WHERE same OR NOT any_same
   UNION ALL SELECT area_id, period, scene_id FROM s1 WHERE period = 'post'""", "areas", "scene_catalog")
 def q_orbits(spark, sf):
-    s1 = found(spark, sf).where("sensor = 's1'")
+    s1 = persist_table(found(spark, sf).where("sensor = 's1'"), "orbits")  # searched once, used twice
     post = S.select_closest(s1, ["area_id", "sensor"], ["ts", "scene_id"]).where("period = 'post'")
     return S.match_orbits(s1, post, ["area_id"]).select("area_id", "period", "scene_id")
 
@@ -124,7 +123,7 @@ _COUNT = """count(CASE WHEN c.sensor = '{s}' AND CAST(c.ts AS DATE) BETWEEN b.{p
 COUNTS = ("boxes AS (" + CASES_SQL.replace("({candidates})", "candidates") + """),
   scenes AS (SELECT sensor, w, s, e, n, CAST(ts AS DATE) AS ts, count(*) AS k FROM scene_catalog WHERE sensor IN ('s1','s2') AND (sensor <> 's2' OR cloud < 60e0) GROUP BY ALL),
   counts AS (SELECT b.id, """ + ", ".join(
-    f"least(100, coalesce(sum(CASE WHEN c.sensor = '{s}' AND c.ts BETWEEN b.{p}_start AND b.{p}_end THEN c.k END), 0))::BIGINT AS {s}_{p}"
+    f"coalesce(sum(CASE WHEN c.sensor = '{s}' AND c.ts BETWEEN b.{p}_start AND b.{p}_end THEN c.k END), 0)::BIGINT AS {s}_{p}"
     for s in K.SENSORS for p in ("before", "after")) + """
     FROM boxes b LEFT JOIN scenes c ON b.w <= c.e AND c.w <= b.e AND b.s <= c.n AND c.s <= b.n AND c.ts BETWEEN b.before_start AND b.after_end GROUP BY b.id)""")
 

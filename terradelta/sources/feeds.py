@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terradelta import constants as K
@@ -12,11 +12,6 @@ CANDIDATE = ("hazard", "lon", "lat", "bbox", "start_date", "end_date", "place",
              "date", "detail")
 
 
-def landed(spark: SparkSession, path: str, column: str = "payload") -> DataFrame:
-    """Payload files below ``path``, one row per file."""
-    return spark.read.text(path, wholetext=True).withColumnRenamed("value", column)
-
-
 def _code(table: dict, key: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
 
@@ -69,7 +64,7 @@ CEMS_DETAIL = "results ARRAY<STRUCT<code: STRING, reason: STRING, aois: ARRAY<ST
 
 
 def cems_activations(lists: DataFrame, details: DataFrame, since: Column) -> DataFrame:
-    """Flood and wildfire activations since a date, with the first two area names and the union of area extents."""
+    """Flood and wildfire activations since a date, with the area names and the union of area extents."""
     act = lists.select(F.explode(F.from_json("payload", CEMS_LIST)["results"]).alias("r")).select("r.*")
     act = act.withColumns({"hazard": _code(K.HAZARD_CODES, F.col("category")), "day": _day(F.col("eventTime"))})
     act = act.where(F.col("hazard").isNotNull() & (F.col("day") >= since))
@@ -78,12 +73,12 @@ def cems_activations(lists: DataFrame, details: DataFrame, since: Column) -> Dat
     both = act.join(det, "code", "left").withColumns(
         {"point": geometry.bbox_wkt(c("centroid")),
          "bbox": geometry.bbox_wkt(F.concat_ws(" ", F.transform("d.aois", lambda a: a["extent"])))})
-    names = F.transform(F.slice("d.aois", 1, 2), lambda a: a["name"])
+    names = F.transform("d.aois", lambda a: a["name"])
     return _candidate(
         both, hazard=c("hazard"), lon=c("point.w"), lat=c("point.s"), bbox=c("bbox"), start_date=c("day"), end_date=c("day"),
         place=F.coalesce(F.array_join(names, ", "), F.lit("")), country=F.coalesce(F.array_join("countries", ", "), F.lit("")),
         kind=F.lit("cems"), source_id=c("code"), url=F.concat(F.lit("https://rapidmapping.emergency.copernicus.eu/"), c("code")),
-        title=c("name"), date=F.substring("eventTime", 1, 10), detail=F.substring(F.coalesce("d.reason", F.lit("")), 1, 300))
+        title=c("name"), date=F.substring("eventTime", 1, 10), detail=F.coalesce("d.reason", F.lit("")))
 
 
 EONET = ("events ARRAY<STRUCT<id: STRING, title: STRING, categories: ARRAY<STRUCT<id: STRING>>, sources: ARRAY<STRUCT<url: STRING>>, "
@@ -166,12 +161,12 @@ def dedup_urls(articles: DataFrame, channel_rank: str, order: str) -> DataFrame:
     return articles.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
-def interleave_hazards(articles: DataFrame, order, per_hazard: int) -> DataFrame:
-    """Reading order: one flood, one wildfire, one vegetation story in turn, at most ``per_hazard`` of each."""
+def interleave_hazards(articles: DataFrame, order, per_hazard: int | None = None) -> DataFrame:
+    """Reading order: one flood, one wildfire, one vegetation story in turn; with ``per_hazard`` at most that many of each."""
     turn = F.array_position(F.array(*[F.lit(h) for h in K.HAZARD_TURNS]), F.col("hazard")).cast("int")
     w = Window.partitionBy("hazard").orderBy(*order)
-    ranked = articles.withColumn("round", F.row_number().over(w)).where(F.col("round") <= per_hazard)
-    return ranked.withColumn("turn", turn)
+    ranked = articles.withColumn("round", F.row_number().over(w)).withColumn("turn", turn)
+    return ranked if per_hazard is None else ranked.where(F.col("round") <= per_hazard)
 
 
 def channel_status(fetches: DataFrame) -> DataFrame:
@@ -181,7 +176,7 @@ def channel_status(fetches: DataFrame) -> DataFrame:
     """
     per = fetches.groupBy("channel", "official").agg(
         (F.count("error") == 0).alias("ok"), F.sum(F.when(F.col("error").isNull(), F.col("items"))).alias("items"),
-        F.min(F.substring("error", 1, 200)).alias("error"))
+        F.min("error").alias("error"))
     run = per.agg(F.lit("(run)").alias("channel"), F.lit(None).cast("boolean").alias("official"),
                   F.coalesce(F.bool_or(F.col("ok") & F.col("official")), F.lit(False)).alias("ok"),
                   F.sum("items").alias("items"), F.lit(None).cast("string").alias("error"))

@@ -96,17 +96,11 @@ def parse_manifest(manifests: DataFrame, column: str = "manifest") -> DataFrame:
     """One row per event of landed manifests (JSON), with the manifest's defaults and the label spec as source and year."""
     m = manifests.select(F.from_json(column, MANIFEST).alias("m")).select("m.*")
     m = m.withColumns({"task": F.coalesce("task", F.lit("flood")), "tile": F.coalesce("tile", F.lit(256)), "resolution": F.coalesce("resolution", F.lit(10.0))})
-    e = m.select("dataset", "version", "task", "tile", "resolution", F.explode("events").alias("e")).select("*", "e.*").drop("e", "label")
-    lab = m.select("dataset", "version", F.explode("events").alias("e")).select("dataset", "version", F.col("e.id").alias("id"), F.col("e.label").alias("label"))
-    return e.join(_label_spec(lab), ["dataset", "version", "id"])
-
-
-def _label_spec(df: DataFrame) -> DataFrame:
-    """A label is nothing, a raster's path, or {source, year | path}."""
+    e = m.select("dataset", "version", "task", "tile", "resolution", F.explode("events").alias("e")).select("*", "e.*").drop("e")
+    # A label is nothing, a raster's path, or {source, year | path}.
     is_obj = F.col("label").startswith("{")
     spec = lambda f: F.get_json_object("label", f"$.{f}")
-    return df.select(
-        "dataset", "version", "id",
-        F.when(is_obj, spec("source")).when(F.col("label").isNotNull(), F.lit("raster")).alias("source"),
-        F.when(is_obj, spec("year").cast("int")).alias("year"),
-        F.when(is_obj, spec("path")).otherwise(F.col("label")).alias("label_path"))
+    return e.withColumns(
+        {"source": F.when(is_obj, spec("source")).when(F.col("label").isNotNull(), F.lit("raster")),
+         "year": F.when(is_obj, spec("year").cast("int")),
+         "label_path": F.when(is_obj, spec("path")).otherwise(F.col("label"))}).drop("label")
