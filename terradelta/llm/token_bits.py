@@ -33,7 +33,7 @@ from terradelta.llm.files import Writer, read_file
 MAGIC = b"TDBITS01"
 BLOCK = 1 << 16
 NO_ID = int(np.iinfo(np.int64).min)  # stands for a null id in a file
-CACHE_WORDS = 200_000  # bound of a worker's word table; it only saves repeated encoding
+CACHE_PIECES = 250_000  # bound of a worker's piece table; it only saves repeated encoding
 
 
 def bits_for(vocab_size: int) -> int:
@@ -130,71 +130,89 @@ class BitFile:
         return self.ids(int(self.starts[i]), int(self.starts[i + 1]))
 
 
-_PLAIN = re.compile(rb"[!-~]+")
-# The tokenizer's own way to cut lower-cased printable ASCII without spaces.
-_CUTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+# Characters on which the tokenizer's normaliser only lowers case: printable ASCII, white space and Latin-1 letters. In such
+# text its own cutting rule (contractions, letters, single digits, other marks) is the expression below.
+_ODD = re.compile(r"[^\t-\r -~À-ÖØ-öø-ÿ]|<\|")
+_CUTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\s0-9a-zß-öø-ÿ]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte: itself where printable, else the next from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 class WordEncoder:
-    """Ids of texts, word by word: this tokenizer drops white space and never joins across it, so the ids of a text are
-    those of its words. A word that was seen is not encoded again."""
+    """Ids of texts, piece by piece: this tokenizer drops white space and never joins across its cuts, so the ids of a
+    text are those of its pieces. A piece that was seen is not encoded again. Words with other characters than those whose
+    normal form is known here are encoded as they are; a text that spells a special token is encoded as a whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.piece = self.tokenizer.model.tokenize
+        self.letters = _byte_letters()
         self.clear()
 
     def clear(self) -> None:
-        self.at, self.pieces, self.flat, self.n = {}, {}, [np.zeros(0, dtype=np.uint32)], 0
-        self.starts, self.lengths = [], []
-
-    def _piece(self, s: str) -> list[int]:
-        got = self.pieces.get(s)
-        if got is None:
-            got = self.pieces[s] = [t.id for t in self.piece(s)]
-        return got
-
-    def _learn(self, words: list[bytes]) -> None:
-        known, odd = [], []
-        for w in words:
-            if _PLAIN.fullmatch(w) and b"<|" not in w:
-                known.append((w, [i for p in _CUTS.findall(w.decode().lower()) for i in self._piece(p)]))
-            else:
-                odd.append(w)
-        if odd:
-            got = self.tokenizer.encode_batch([w.decode() for w in odd], add_special_tokens=False)
-            known += [(w, e.ids) for w, e in zip(odd, got)]
-        for w, ids in known:
-            self.at[w] = len(self.starts)
-            self.starts.append(self.n)
-            self.lengths.append(len(ids))
-            self.n += len(ids)
-        self.flat.append(np.array([i for _, ids in known for i in ids], dtype=np.uint32))
+        self.at: dict[str, int] = {}
+        self.flat, self.lengths, self.starts = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.hits = np.zeros(0, dtype=np.int64)
+
+    def trim(self) -> None:
+        """Forget the pieces met less than twice since the last time; all if that is not half of them."""
+        keep = np.flatnonzero(self.hits > 1)
+        if 2 * len(keep) > CACHE_PIECES:
+            return self.clear()
+        names, n = list(self.at), self.lengths[keep]
+        self.at = {names[i]: k for k, i in enumerate(keep.tolist())}
+        self.flat = self.flat[np.repeat(self.starts[keep], n) + _within(n)]
+        self.lengths, self.starts, self.hits = n, np.cumsum(n) - n, np.zeros(len(keep), dtype=np.int64)
+
+    def cuts(self, text: str) -> list[str]:
+        """Pieces of a text; what must be encoded as it is comes marked with a leading space."""
+        if not _ODD.search(text):
+            return _CUTS.findall(text.lower())
+        if "<|" in text:
+            return [" " + text]
+        out = []
+        for w in text.encode().split():  # at the white space that is no part of a word in any reading
+            w = w.decode()
+            out += [" " + w] if _ODD.search(w) else _CUTS.findall(w.lower())
+        return out
+
+    def _learn(self, new: list[str]) -> None:
+        plain, odd = [x for x in new if x[0] != " "], [x for x in new if x[0] == " "]
+        tokenize, letters = self.tokenizer.model.tokenize, self.letters
+        got = [[t.id for t in tokenize(x if x.isascii() else "".join([letters[b] for b in x.encode()]))] for x in plain]
+        got += [e.ids for e in self.tokenizer.encode_batch([x[1:] for x in odd], add_special_tokens=False)] if odd else []
+        self.at.update(zip(plain + odd, range(len(self.at), len(self.at) + len(new))))
+        self.lengths = np.concatenate((self.lengths, np.array([len(x) for x in got], dtype=np.int64)))
+        self.flat = np.concatenate((self.flat, np.array([i for x in got for i in x], dtype=np.uint32)))
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.hits = np.concatenate((self.hits, np.zeros(len(new), dtype=np.int64)))
 
     def encode(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Lengths with the end id, and all ids."""
-        if len(self.at) > CACHE_WORDS:
-            self.clear()
-        words = [t.split() for t in texts]
-        flat = [w for ws in words for w in ws]
+        if len(self.at) > CACHE_PIECES:
+            self.trim()
+        cuts = [self.cuts(t.decode()) for t in texts]
+        flat = [x for xs in cuts for x in xs]
         if new := set(flat).difference(self.at):
-            self._learn(sorted(new))
-        if len(self.flat) > 1:
-            self.flat = [np.concatenate(self.flat)]
+            self._learn(list(new))
         idx = np.fromiter(map(self.at.__getitem__, flat), dtype=np.int64, count=len(flat))
-        n = np.array(self.lengths, dtype=np.int64)[idx]
-        starts = np.array(self.starts, dtype=np.int64)[idx]
-        counts = np.array([len(ws) for ws in words], dtype=np.int64)
+        self.hits += np.bincount(idx, minlength=len(self.at))
+        n, starts = self.lengths[idx], self.starts[idx]
+        counts = np.array([len(xs) for xs in cuts], dtype=np.int64)
         total = np.concatenate(([0], np.cumsum(n)))
         bounds = np.concatenate(([0], np.cumsum(counts)))
         lengths = total[bounds[1:]] - total[bounds[:-1]] + 1
-        # word ids go where their words stand, each document's end id after them
+        # ids go where their pieces stand, each document's end id after them
         doc = np.repeat(np.arange(len(texts)), counts)
-        place = np.repeat(total[:-1] + doc, n) + _within(n)
+        inner = _within(n)
         out = np.full(int(lengths.sum()), end, dtype=np.uint32)
-        out[place] = self.flat[0][np.repeat(starts, n) + _within(n)]
+        out[np.repeat(total[:-1] + doc, n) + inner] = self.flat[np.repeat(starts, n) + inner]
         return lengths, out
 
 
