@@ -107,9 +107,10 @@ class PieceModel:
         text = chunk.replace(" ", SPACE)
         edges = self.edges(text)
         best, back = self.forward(edges)
-        agenda, made, found = [(-best[-1], 0, len(text), 0.0, None)], 0, []
+        # among equals the one nearest to the start goes first, so that ties do not grow side by side
+        agenda, made, found = [(-best[-1], len(text), 0, 0.0, None)], 0, []
         while agenda and len(found) < n:
-            _, _, at, tail, path = heapq.heappop(agenda)
+            _, at, _, tail, path = heapq.heappop(agenda)
             if at == 0:
                 ids = []
                 while path is not None:
@@ -119,13 +120,13 @@ class PieceModel:
                 continue
             for s, score, i in edges[at]:
                 made += 1
-                heapq.heappush(agenda, (-(best[s] + score + tail), made, s, score + tail, (i, s, path)))
+                heapq.heappush(agenda, (-(best[s] + score + tail), s, made, score + tail, (i, s, path)))
         first, at = [], len(text)
         while at:
             s, _, i = back[at]
-            first[:0] = self.spell(i, text[s])
+            first.append(self.spell(i, text[s]))
             at = s
-        first = (best[-1], tuple(first))
+        first = (best[-1], tuple(i for ids in reversed(first) for i in ids))
         return [first, *(x for x in found if x != first)][:n]
 
     def spell(self, piece: int, char: str) -> list[int]:
