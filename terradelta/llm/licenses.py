@@ -5,7 +5,7 @@ each sentence is looked up among known licence sentences. The identifiers found,
 ordered licence rules: a rule is a run of identifiers; longer and more specific rules come first and use up what they
 match, so that a general rule only sees what is left.
 
-A text is read twice: once with sentences running over line ends (wrapped licence texts) and once with every line end
+A text is read twice: once with sentences running over line ends up to an empty line (wrapped licence texts) and once with every line end
 closing a sentence (one-line notices below lines without a full stop). The reading with more known sentences counts,
 the first on a tie.
 
@@ -80,16 +80,17 @@ RULES = (
     (("MPL-2-notice",), "MPL-2.0"),
 )
 
-# Marks that stand for a space, the space itself, and what closes a sentence: . ; : ! ? before a space or the end.
-MARKS = r"[\s*#/\"'`“”‘’]+"
+# Marks that stand for a space, the space itself; an empty (or only marked) line; and what closes a sentence: . ; : ! ?
+# before a space or the end.
+MARKS = r"[ \t\r\n\f*#/\"'`“”‘’]+"
+EMPTY_LINE = r"\n[ \t\r\n\f*#/]*\n"
 CLOSE = r"[.;:!?]+(?: |$)"
 
 
 def sentences(text: Column, line_ends: bool) -> Column:
     """The normalised sentences of a text that hold anything."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    if line_ends:
-        low = F.regexp_replace(low, F.lit(r"[\r\n]+"), F.lit(". "))
+    low = F.regexp_replace(low, F.lit(r"[\r\n]+" if line_ends else EMPTY_LINE), F.lit(". "))
     flat = F.regexp_replace(low, F.lit(MARKS), F.lit(" "))
     return F.filter(F.transform(F.split(flat, CLOSE), lambda s: F.trim(s)), lambda s: s != "")
 
@@ -126,7 +127,7 @@ def scan(docs: DataFrame, table: dict[str, str] = SENTENCES, rules: tuple = RULE
 def oracle(table: dict[str, str] = SENTENCES, rules: tuple = RULES) -> str:
     """The scan in the check engine's SQL."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
-    marks = r"""'[\s*#/"''`\x{201c}\x{201d}\x{2018}\x{2019}]+'"""
+    marks = r"""'[ \t\r\n\f*#/"''`\x{201c}\x{201d}\x{2018}\x{2019}]+'"""
     cut = lambda text: (f"list_filter(list_transform(regexp_split_to_array(regexp_replace({text}, {marks}, ' ', 'g'), '{CLOSE}'), "
                         "lambda s: trim(s, ' ')), lambda s: s <> '')")
     rows = ", ".join(f"({q(k)}, {q(v)})" for k, v in table.items())
@@ -138,7 +139,7 @@ def oracle(table: dict[str, str] = SENTENCES, rules: tuple = RULES) -> str:
                      f"replace({left}, {q(text)}, '|') AS {left}) FROM r{i})")
     return f"""WITH known(k, id) AS (VALUES {rows}),
 low AS (SELECT row_number() OVER () AS r, doc_id, lower(coalesce(text, '')) AS t FROM documents),
-cuts AS (SELECT r, doc_id, {cut("t")} AS runs, {cut("regexp_replace(t, '[' || chr(13) || chr(10) || ']+', '. ', 'g')")} AS lines FROM low),
+cuts AS (SELECT r, doc_id, {cut(f"regexp_replace(t, '{EMPTY_LINE}', '. ', 'g')")} AS runs, {cut("regexp_replace(t, '[' || chr(13) || chr(10) || ']+', '. ', 'g')")} AS lines FROM low),
 hit_a AS (SELECT r, list(id ORDER BY i) AS ids FROM (SELECT r, unnest(runs) AS s, generate_subscripts(runs, 1) AS i FROM cuts) JOIN known ON s = k GROUP BY r),
 hit_b AS (SELECT r, list(id ORDER BY i) AS ids FROM (SELECT r, unnest(lines) AS s, generate_subscripts(lines, 1) AS i FROM cuts) JOIN known ON s = k GROUP BY r),
 best AS (SELECT c.doc_id, len(runs)::BIGINT AS n_sentences, CASE WHEN coalesce(len(b.ids), 0) > coalesce(len(a.ids), 0) THEN b.ids ELSE coalesce(a.ids, []) END AS ids

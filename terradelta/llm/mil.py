@@ -30,6 +30,7 @@ SAMPLE = 6000
 FOLDS, HELD = 5, 0
 THRESHOLD = 0.3
 HIDDEN, GATE, EPOCHS, BATCH, RATE = 24, 12, 25, 256, 0.01
+STEPS = 300  # at least, however few documents there are
 
 # Byte classes: small letters, capitals, digits, line ends, other white space, symbols, ! and ?, other ASCII marks, non-ASCII, controls.
 _CLASS = np.full(256, 9, dtype=np.int64)
@@ -101,7 +102,7 @@ class AttentionModel:
         r = np.random.default_rng(seed)
         init = lambda a, b: r.normal(0, 1 / np.sqrt(b), (a, b))
         self.p = {"W": init(HIDDEN, n_features), "b": np.zeros(HIDDEN), "V": init(GATE, HIDDEN), "U": init(GATE, HIDDEN),
-                  "w": r.normal(0, 0.3, GATE), "c": r.normal(0, 0.3, HIDDEN), "c0": np.zeros(1)}
+                  "w": r.normal(0, 0.3, GATE), "c": r.normal(0, 0.1, HIDDEN), "c0": np.zeros(1)}
         self.mean, self.std = np.zeros(n_features), np.ones(n_features)
 
     def forward(self, x: np.ndarray, n: np.ndarray) -> tuple:
@@ -130,8 +131,11 @@ class AttentionModel:
         every = np.concatenate(bags)
         self.mean, self.std = every.mean(axis=0), every.std(axis=0) + 1e-3
         r, m, v, step = np.random.default_rng(seed), {}, {}, 0
-        for epoch in range(EPOCHS):
-            rate = RATE * (1 - epoch / EPOCHS) + 1e-4
+        share = np.clip(y.mean(), 0.02, 0.98)  # start from the share of good documents
+        self.p["c0"][0] = np.log(share / (1 - share))
+        epochs = max(EPOCHS, -(-STEPS // -(-len(bags) // BATCH)))
+        for epoch in range(epochs):
+            rate = RATE * (1 - epoch / epochs) + 1e-4
             order = r.permutation(len(bags))
             for lo in range(0, len(bags), BATCH):
                 pick = order[lo : lo + BATCH]
