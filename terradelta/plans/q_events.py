@@ -67,22 +67,22 @@ def q_cems(spark, sf):
     return flat(feeds.cems_activations(d.select("payload"), d.select("code", F.col("detail").alias("payload")), F.lit("2024-01-05").cast("date")))
 
 
-EONET_SQL = f"""SELECT '{{"events":[{{"id":"E' || CAST(event_id AS VARCHAR(20)) || '","title":"' || CASE event_id % 5 WHEN 0 THEN 'Prescribed Fire X' WHEN 1 THEN 'Floods  Town' ELSE 'Wildfire Rafter, Texas' END || '","categories":[{{"id":"' || CASE event_id % 5 WHEN 1 THEN 'floods' WHEN 4 THEN 'volcanoes' ELSE 'wildfires' END || '"}}],"sources":' ||
+EONET_SQL = f"""SELECT '{{"events":[{{"id":"E' || CAST(event_id AS VARCHAR(20)) || '","title":"' || CASE event_id % 5 WHEN 0 THEN 'Prescribed Burn 12' WHEN 1 THEN 'Floods  Lowmere' ELSE 'Wildfire Gorse Hill, Norland' END || '","categories":[{{"id":"' || CASE event_id % 5 WHEN 1 THEN 'floods' WHEN 4 THEN 'volcanoes' ELSE 'wildfires' END || '"}}],"sources":' ||
   CASE WHEN event_id % 2 = 0 THEN '[]' ELSE '[{{"url":"https://s/1"}}]' END || ',"geometry":[{{"magnitudeValue":1,"magnitudeUnit":"acres","date":"2024-01-02T00:00:00Z","type":"Point","coordinates":[1,2]}},{{"magnitudeValue":' || CASE WHEN k % 10 = 0 THEN 'null' ELSE CAST(k * 30 AS VARCHAR(10)) END ||
   ',"magnitudeUnit":"acres","date":"2024-01-09T00:00:00Z","type":"' || CASE WHEN event_id % 11 = 0 THEN 'Polygon' ELSE 'Point' END || '","coordinates":' || CASE WHEN event_id % 11 = 0 THEN '[]' ELSE '[-100.123456,' || CAST(k % 60 AS VARCHAR(4)) || '.5]' END || '}}]}}]}}' AS payload
   FROM (SELECT event_id, {_K} AS k FROM {{events}}) x"""
 
 
-@book.query("load_eonet_events", f"""WITH {_EV} SELECT CASE event_id % 5 WHEN 1 THEN 'flood' ELSE 'wildfire' END AS hazard, -100.12346e0 AS lon, k % 60 + 0.5e0 AS lat, DATE '2024-01-02' AS start_date, DATE '2024-01-09' AS end_date, CASE event_id % 5 WHEN 1 THEN 'Town' ELSE 'Rafter, Texas' END AS place, '' AS country,
-  'eonet' AS kind, 'E' || event_id AS source_id, CASE WHEN event_id % 2 = 0 THEN 'https://eonet.gsfc.nasa.gov/api/v3/events/E' || event_id ELSE 'https://s/1' END AS url, CASE event_id % 5 WHEN 1 THEN 'Floods  Town' ELSE 'Wildfire Rafter, Texas' END AS title, '2024-01-02' AS date,
+@book.query("load_eonet_events", f"""WITH {_EV} SELECT CASE event_id % 5 WHEN 1 THEN 'flood' ELSE 'wildfire' END AS hazard, -100.12346e0 AS lon, k % 60 + 0.5e0 AS lat, DATE '2024-01-02' AS start_date, DATE '2024-01-09' AS end_date, CASE event_id % 5 WHEN 1 THEN 'Lowmere' ELSE 'Gorse Hill, Norland' END AS place, '' AS country,
+  'eonet' AS kind, 'E' || event_id AS source_id, CASE WHEN event_id % 2 = 0 THEN 'https://eonet.gsfc.nasa.gov/api/v3/events/E' || event_id ELSE 'https://s/1' END AS url, CASE event_id % 5 WHEN 1 THEN 'Floods  Lowmere' ELSE 'Wildfire Gorse Hill, Norland' END AS title, '2024-01-02' AS date,
   CASE WHEN k % 10 = 0 OR k = 0 THEN 'acres' ELSE (k * 30) || ' acres' END AS detail, NULL::DOUBLE AS bbox_w, NULL::DOUBLE AS bbox_s, NULL::DOUBLE AS bbox_e, NULL::DOUBLE AS bbox_n
   FROM e WHERE event_id % 11 <> 0 AND event_id % 5 IN (1, 2, 3) AND (event_id % 5 = 1 OR (k % 10 <> 0 AND k * 30 >= 1000))""")
 def q_eonet(spark, sf):
     return flat(feeds.eonet_events(derive(spark, sf, EONET_SQL)))
 
 
-_TITLE = """CASE k % 8 WHEN 0 THEN 'Flash FLOODS kill ' || CAST(k AS VARCHAR(4)) WHEN 1 THEN 'Bushfire burns ' || CAST(k AS VARCHAR(4)) || ' hectares!' WHEN 2 THEN 'Bushfire  burns -- ' || CAST(k - 1 AS VARCHAR(4)) || ' hectares' WHEN 3 THEN 'Illegal logging surges, ' || CAST(user_id AS VARCHAR(20))
-  WHEN 4 THEN 'River overflows in town ' || CAST(event_id AS VARCHAR(20)) WHEN 5 THEN 'Stocks rally' WHEN 6 THEN 'Forest  loss: wildfire and floods ' || CAST(k AS VARCHAR(4)) ELSE '???' END"""
+_TITLE = """CASE k % 8 WHEN 0 THEN 'Village FLOODED again, day ' || CAST(k AS VARCHAR(4)) WHEN 1 THEN 'Blaze near mill, ' || CAST(k AS VARCHAR(4)) || ' acres!' WHEN 2 THEN 'Blaze  near mill -- ' || CAST(k - 1 AS VARCHAR(4)) || ' acres' WHEN 3 THEN 'Clearcut spreads past ridge ' || CAST(user_id AS VARCHAR(20))
+  WHEN 4 THEN 'Canal overflow shuts lock ' || CAST(event_id AS VARCHAR(20)) WHEN 5 THEN 'Choir wins prize' WHEN 6 THEN 'Deforestation  brings blaze and flood ' || CAST(k AS VARCHAR(4)) ELSE '???' END"""
 GDELT_SQL = f"""SELECT event_id, '{{"articles":[{{"url":"https://n/' || CAST(event_id AS VARCHAR(20)) || '","title":"' || {_TITLE} || '","seendate":"' || CASE WHEN k % 9 = 0 THEN '' ELSE '202401' || lpad(CAST(1 + k % 28 AS VARCHAR(2)), 2, '0') || 'T101500Z' END || '","domain":"d' || CAST(user_id % 20 AS VARCHAR(4)) || '.example"}}]}}' AS payload
   FROM (SELECT event_id, user_id, {_K} AS k FROM {{events}}) x"""
 _HAZ = lambda t: f"CASE WHEN regexp_matches({t}, '(?i)deforest|logging|forest (loss|clearing)|clear-?cut|land clearing') THEN 'vegetation' WHEN regexp_matches({t}, '(?i)wildfire|bush ?fire|forest fire|brush ?fire|grass ?fire|blaze|burn') THEN 'wildfire' WHEN regexp_matches({t}, '(?i)flood|inundat|deluge|overflow|submerg') THEN 'flood' END"
@@ -171,11 +171,11 @@ def q_interleave(spark, sf):
 
 _SP = text.SPACE.replace("\\u", "\\x{").replace("\\x{00a0", "\\x{00a0}").replace("\\x{1680", "\\x{1680}").replace("\\x{2000-\\x{200a", "\\x{2000}-\\x{200a}").replace("\\x{2028", "\\x{2028}").replace("\\x{2029", "\\x{2029}").replace("\\x{202f", "\\x{202f}").replace("\\x{205f", "\\x{205f}").replace("\\x{3000", "\\x{3000}")
 _NORM = lambda s: f"lower(trim(regexp_replace(regexp_replace({s}, '" + text.MARKUP.replace("'", "''") + f"', '', 'g'), '{_SP}', ' ', 'g')))"
-WATCH = "A flood watch remains in force for the rest of the week"
+WATCH = "More rain is expected to fall in the hills before the weekend"
 # Each article with what a reader claimed about it: a real second sentence, an invented quote, a warning.
 CLAIMS = f"""SELECT doc_id, outlet, title, pub_date, text || CASE WHEN doc_id % 4 = 0 THEN ' {WATCH}.' ELSE '' END AS text,
-  CASE WHEN doc_id % 9 = 0 THEN 'Officials confirmed forty deaths across the province' ELSE split_part(text, '. ', 2) || '.' END AS q1,
-  '{WATCH}' AS q2, CASE WHEN doc_id % 6 = 0 THEN 'Lyon' ELSE split_part(split_part(text, '. ', 2), ' ', 1) END AS p1, split_part(title, ' ', 1) AS p2,
+  CASE WHEN doc_id % 9 = 0 THEN 'The harbour gates were torn off by the surge' ELSE split_part(text, '. ', 2) || '.' END AS q1,
+  '{WATCH}' AS q2, CASE WHEN doc_id % 6 = 0 THEN 'Oslo' ELSE split_part(split_part(text, '. ', 2), ' ', 1) END AS p1, split_part(title, ' ', 1) AS p2,
   CASE doc_id % 8 WHEN 0 THEN 'none' WHEN 1 THEN 'wildfire' WHEN 2 THEN 'vegetation' ELSE 'flood' END AS hazard, doc_id % 7 <> 0 AS has_happened,
   CASE doc_id % 5 WHEN 0 THEN 'next week' WHEN 1 THEN '2019-01-01' ELSE CAST(pub_date - CAST(doc_id % 11 AS INT) AS VARCHAR(10)) || 'T00' END AS start_text, CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN CAST(pub_date - CAST(doc_id % 4 AS INT) AS VARCHAR(10)) ELSE CAST(pub_date + CAST(1 AS INT) AS VARCHAR(10)) END AS end_text
   FROM ({{articles}}) art""".replace("{{articles}}", "{articles}")
@@ -183,9 +183,9 @@ CLAIMS = f"""SELECT doc_id, outlet, title, pub_date, text || CASE WHEN doc_id %
 
 def claims(spark, sf) -> DataFrame:
     df = derive(spark, sf, CLAIMS.replace("{articles}", SQL["articles"]))
-    loc = lambda p: F.struct(F.col(p).alias("place"), F.lit("").alias("admin_area"), F.lit("Spain").alias("country"))
+    loc = lambda p: F.struct(F.col(p).alias("place"), F.lit("").alias("admin_area"), F.lit("Norland").alias("country"))
     x = F.struct(F.array("q1", "q2").alias("evidence"), F.array(loc("p1"), loc("p2")).alias("locations"), F.col("start_text").alias("start_date"),
-                 F.col("end_text").alias("end_date"), F.lit("homes flooded").alias("impact"), "hazard", "has_happened")
+                 F.col("end_text").alias("end_date"), F.lit("cellars under water").alias("impact"), "hazard", "has_happened")
     return df.withColumn("x", x)
 
 
