@@ -33,7 +33,7 @@ from terradelta.llm.token_bits import _within
 N_BEST = 4
 UNKNOWN_PENALTY = 10.0
 SPACE = "▁"
-CACHE_CHUNKS = 150_000  # bound of a worker's chunk table; it only saves repeated work
+CACHE_CHUNKS = 200_000  # bound of a worker's chunk table; it only saves repeated work
 LONG_CHUNK = 400  # characters; longer chunks are solved one by one
 BLOCK_CHUNKS = 4096
 SCHEMA = "doc_id long, n_pieces long, best_score double, ids_crc32 long, nbest_scores array<double>, nbest_crc32 array<long>, n_chars long, round_trip boolean"
@@ -58,8 +58,7 @@ class PieceModel:
         joined = {b for p in self.ids for a, b in zip(p, p[1:]) if a.isalpha()}
         marks = "".join(re.escape(c) for c in "!\"#$%&'()*+,-./:;<=>?@[]^`{|}~" if c not in joined)
         word = f"[^ {line_end}]"
-        early = f" *(?:(?![^\\W\\d_][{marks}]){word})*[^\\W\\d_](?=[{marks}])|" if marks else ""
-        self.cut = re.compile(f"{early}{line_end + '|' if line_end else ''} +{word}*|{word}+")
+        self.cut = re.compile(f" *[^\\W\\d_]++(?=[ {marks}{line_end}]|\\Z)|{line_end + '|' if line_end else ''} +{word}*|{word}+")
         keys = sorted(self.ids, key=len)
         h = _hash(np.array([ord(c) for p in keys for c in p], dtype=np.int64), *_spans([len(p) for p in keys]))
         order = np.argsort(h)
@@ -141,11 +140,24 @@ class PieceModel:
         self.chunks: list[str] = []
         self.flat, self.lengths = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         self.best, self.loss, self.starts = np.zeros(0), np.zeros(0), np.zeros(0, dtype=np.int64)
+        self.hits = np.zeros(0, dtype=np.int64)
         self.found: dict[int, list[tuple[float, tuple[int, ...]]]] = {}
 
+    def trim(self) -> None:
+        """Forget the chunks met less than twice since the last time; all if that is not half of them."""
+        keep = np.flatnonzero(self.hits > 1)
+        if 2 * len(keep) > CACHE_CHUNKS:
+            return self.clear()
+        n = self.lengths[keep]
+        self.chunks = [self.chunks[i] for i in keep.tolist()]
+        self.at = {c: k for k, c in enumerate(self.chunks)}
+        self.flat = self.flat[np.repeat(self.starts[keep], n) + _within(n)]
+        self.best, self.loss, self.lengths, self.starts = self.best[keep], self.loss[keep], n, np.cumsum(n) - n
+        self.hits, self.found = np.zeros(len(keep), dtype=np.int64), {}
+
     def learn(self, chunks: list[str]) -> None:
         """Best path and the loss of the second-best path of new chunks."""
-        chunks = sorted(chunks, key=lambda c: (-len(c), c))
+        chunks = sorted(chunks, key=len, reverse=True)
         k = next((i for i, c in enumerate(chunks) if len(c) <= LONG_CHUNK), len(chunks))
         got = [self._long(c.replace(" ", SPACE)) for c in chunks[:k]]
         got += [self._block([c.replace(" ", SPACE) for c in chunks[lo : lo + BLOCK_CHUNKS]]) for lo in range(k, len(chunks), BLOCK_CHUNKS)]
@@ -155,6 +167,7 @@ class PieceModel:
         self.best, self.loss = np.concatenate((self.best, best)), np.concatenate((self.loss, loss))
         self.lengths, self.flat = np.concatenate((self.lengths, lengths)), np.concatenate((self.flat, flat))
         self.starts = np.cumsum(self.lengths) - self.lengths
+        self.hits = np.concatenate((self.hits, np.zeros(len(chunks), dtype=np.int64)))
 
     def _long(self, text: str) -> tuple[np.ndarray, ...]:
         edges = self.edges(text)
@@ -242,16 +255,18 @@ class PieceModel:
 
     # -- texts
 
-    def segment(self, texts: list[str], n: int) -> Iterator[tuple[np.ndarray, list[float], list[np.ndarray]]]:
-        """Best ids, the scores of the n best paths, and their ids, of every text (with a space put before it)."""
+    def segment(self, texts: list[str], n: int) -> Iterator[tuple[np.ndarray, list[float], list[np.ndarray], list[tuple[str, tuple]]]]:
+        """Of every text (with a space put before it): best ids, the scores of the n best paths, their ids, and what other
+        ids they have for which chunks."""
         if len(self.at) > CACHE_CHUNKS:
-            self.clear()
+            self.trim()
         cuts = [self.cut.findall(" " + t) if t else [] for t in texts]
         if new := {c for cs in cuts for c in cs}.difference(self.at):
             self.learn(list(new))
         starts, lengths, best, loss = self.starts, self.lengths, self.best, self.loss
         for cs in cuts:
             idx = np.fromiter(map(self.at.__getitem__, cs), dtype=np.int64, count=len(cs))
+            np.add.at(self.hits, idx, 1)
             size = lengths[idx] if len(idx) else np.zeros(0, dtype=np.int64)
             ids = self.flat[np.repeat(starts[idx], size) + _within(size)] if len(idx) else np.zeros(0, dtype=np.int64)
             top = float(best[idx].sum()) if len(idx) else 0.0
@@ -263,21 +278,25 @@ class PieceModel:
                     self.found[i] = self.nbest(self.chunks[i], n)
                 options.append(self.found[i])
             offsets = np.cumsum(size) - size
-            scores, paths = [], []
+            scores, paths, others = [], [], []
             for total, pick in _combine(options, n):
                 scores.append(top + total)
                 moved = sorted((int(places[k]), options[k][j][1]) for k, j in enumerate(pick) if j)
                 parts, at = [], 0
                 for place, other in moved:
                     parts += [ids[at : offsets[place]], np.array(other, dtype=np.int64)]
+                    others.append((cs[place], other))
                     at = offsets[place] + size[place]
                 paths.append(np.concatenate([*parts, ids[at:]]) if parts else ids)
-            yield ids, scores, paths
+            yield ids, scores, paths, others
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text of ids, without the space put before it."""
         return b"".join(map(self.text.__getitem__, ids.tolist()))[1:]
 
+    def spells(self, chunk: str, ids: tuple[int, ...]) -> bool:
+        return b"".join([self.text[i] for i in ids]) == chunk.encode()
+
 
 def _combine(options: list[list[tuple[float, tuple]]], n: int) -> list[tuple[float, tuple[int, ...]]]:
     """The n smallest losses over one choice per option list: (loss as a negative score, choices)."""
@@ -334,8 +353,10 @@ def segmented(docs: DataFrame, path: str, n: int = N_BEST) -> DataFrame:
             for first, raw in text_blocks(b.column(1)):
                 texts = [t.decode() for t in raw]
                 rows = []
-                for t, (ids, scores, paths) in zip(raw, lattice.segment(texts, n)):
-                    rows.append((len(ids), scores[0], crc(ids), scores, [crc(p) for p in paths], all(lattice.decode(p) == t for p in paths)))
+                for t, (ids, scores, paths, others) in zip(raw, lattice.segment(texts, n)):
+                    # the other paths differ from the best in the chunks of ``others`` alone
+                    same = lattice.decode(ids) == t and all(lattice.spells(c, other) for c, other in others)
+                    rows.append((len(ids), scores[0], crc(ids), scores, [crc(p) for p in paths], same))
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(first, len(raw)), pa.array(cols[0], type=pa.int64()), pa.array(cols[1], type=pa.float64()), pa.array(cols[2], type=pa.int64()),

@@ -198,7 +198,7 @@ def test_nbest_pieces(odd, nothing):
     r = random.Random(1)
     for text in ["a", "é\nx y", " ", "ab  c.", "日\U0001d11ex", *("".join(r.choice("ther nd\néi .,") for _ in range(r.randint(1, 10))) for _ in range(60))]:
         want = every(pieces.SPACE + text.replace(" ", pieces.SPACE))
-        _, scores, paths = next(iter(m.segment([text], 5)))
+        _, scores, paths, _ = next(iter(m.segment([text], 5)))
         assert scores == [s for s, _ in want[:5]] and len({tuple(p.tolist()) for p in paths}) == len(paths)
         assert all((s, tuple(p.tolist())) in want for s, p in zip(scores, paths)) and all(m.decode(p) == text.encode() for p in paths)
     long = "ab" * 600  # longer than what is solved in blocks
