@@ -161,3 +161,33 @@ def cleaned_documents(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, names=part.schema.names)
 
     return docs.mapInArrow(run, schema)
+
+
+def oracle() -> str:
+    """The measures in the check engine's SQL."""
+    words = r"'[^\x20\x09-\x0D]+'"
+    q = lambda s: "'" + s.replace("'", "''") + "'"
+    cnt = lambda text, pattern: f"len(regexp_extract_all({text}, {pattern}))"
+    sep = "[|»›•·]"
+    sym = r"[#*$%&|<>]"
+    menu = ", ".join(q(m) for m in MENU)
+    furn = "|".join(FURNITURE)
+    dots = r"'^[\x20\x09-\x0D.]+|[\x20\x09-\x0D.]+$'"
+    return rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, unnest(regexp_extract_all(t, {words})) AS w, generate_subscripts(regexp_extract_all(t, {words}), 1) AS i FROM d),
+g AS (SELECT r, i, concat_ws(' ', w, lead(w) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o, lead(w, 4) OVER o, lead(w, 5) OVER o, lead(w, 6) OVER o, lead(w, 7) OVER o) AS g, lead(w, 7) OVER o IS NOT NULL AS whole
+  FROM w WINDOW o AS (PARTITION BY r ORDER BY i)),
+twice AS (SELECT r, unnest(list(i)) AS i FROM g WHERE whole GROUP BY r, g HAVING count(*) > 1),
+rep AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, range(8) x(k) GROUP BY r),
+l AS (SELECT r, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d),
+m AS (SELECT r, line, row_number() OVER (PARTITION BY r, line ORDER BY i) > 1 AS again, lower(line) AS low, length(line) AS n, {cnt('line', words)} AS words,
+    list_sum(list_transform(regexp_extract_all(line, {words}), lambda x: length(x))) AS chars, {cnt('line', "'[A-Z]'")} AS up, {cnt('line', "'[a-z]'")} AS small
+  FROM l WHERE regexp_matches(line, {words})),
+f AS (SELECT *, again OR {cnt('line', q(sep))} >= 2 OR regexp_replace(low, {dots}, '', 'g') IN ({menu}) OR 10 * {cnt('line', q(sym))} > n
+    OR 10 * {cnt('line', r"'[!?]{2,}[.,]?([\x20\x09-\x0D]|$)'")} > words OR (up >= 8 AND 10 * up > 6 * (up + small)) OR regexp_matches(low, {q(furn)}) AS bad FROM m),
+s AS (SELECT r, sum(chars) AS chars, count(*) AS n_lines, count(*) FILTER (bad) AS n_bad, coalesce(sum(chars) FILTER (bad), 0) AS lost, count(*) FILTER (again) AS dup, sum(words) AS words FROM f GROUP BY r),
+a AS (SELECT doc_id, coalesce(s.words, 0) AS n_words, coalesce(s.chars, 0) AS word_chars, {cnt('t', q(sym))} AS n_symbols, coalesce(s.dup, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+    coalesce(n_lines, 0) AS n_lines, coalesce(n_bad, 0) AS n_failed_lines, coalesce(lost, 0) AS lost_chars FROM d LEFT JOIN s USING (r) LEFT JOIN rep USING (r)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM a)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+  NOT base_failed AND 2 * lost_chars <= word_chars AS kept, n_lines::BIGINT AS n_lines, n_failed_lines::BIGINT AS n_failed_lines, lost_chars::BIGINT AS lost_chars FROM b"""

@@ -76,5 +76,14 @@ SELECT doc_id, size, source_size, round(target, 6) AS target, (CASE WHEN source_
   floor(floor(target) / source_size) * size + greatest(0, least(size, floor(target) - floor(floor(target) / source_size) * source_size - before)) END)::BIGINT AS taken
 FROM runs"""
 
+JOIN_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i : i + 4], ' ') END AS g FROM w, unnest(range(1, greatest(2, len(w) - 3))) x(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+e AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 80 * (na.n + nb.n - count(*))),
+reach AS (SELECT doc_id AS node, doc_id AS found FROM n UNION SELECT r.node, e.b FROM reach r JOIN e ON e.a = r.found)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.id, w.doc_id) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT node, min(found) AS id FROM reach GROUP BY node) c ON c.node = w.doc_id"""
+
 QUERIES = {f.__name__: f for f in (op1_attention_quality, op2_license_scan, op3_ngram_trie, op4_line_cleaning, op5_nbest_pieces, op6_webp_media, op7_parity_join, op8_token_bits, op9_toxicity, op10_source_mix)}
-ORACLES = {"op2_license_scan": licenses.oracle(), "op10_source_mix": MIX_SQL}
+ORACLES = {"op2_license_scan": licenses.oracle(), "op4_line_cleaning": line_rules.oracle(), "op7_parity_join": JOIN_SQL, "op10_source_mix": MIX_SQL}
