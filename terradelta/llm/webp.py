@@ -6,8 +6,8 @@ of a stretch is looked up at once, and the tokens that are really there are foun
 steps. Then pixels are placed: literals all at once, back-references in order. Only images with several prefix groups or a
 colour cache (where a code depends on the pixels before) are read token by token.
 
-Media columns: a text's bytes, padded with 255 to rows of 576, are the 8-bit samples of a grey image. Its grey levels are
-the palette, so one prefix code carries the samples, and runs are back-references. Rows beyond the format's 16,384 go to
+Media columns: a text's bytes, padded with 255 to rows of 576, are the 8-bit samples of a grey image. With green taken from
+red and blue one prefix code carries the samples, and runs are back-references. Rows beyond the format's 16,384 go to
 further images, one behind the other. Files are kept as a binary column of a stored table and decoded from there.
 
 Defined cases: null and empty texts are one row of 255; equal texts give equal files; a damaged file raises ValueError.
@@ -347,10 +347,17 @@ def decode(data: bytes) -> np.ndarray:
             pack = 3 if size <= 2 else 2 if size <= 4 else 1 if size <= 16 else 0
             transforms.append((kind, inner, pack, colours))
             inner = -(-inner >> pack)
-    image = split(r.pixels(inner, height, True)).reshape(height, inner, 4)
+    image = r.pixels(inner, height, True).reshape(height, inner)
     for kind, *how in reversed(transforms):
-        image = INVERSE[kind](image, *how)
-    return merge(image)
+        image = packed_green(image) if kind == SUBTRACT_GREEN else merge(INVERSE[kind](split(image), *how))
+    return image
+
+
+def packed_green(argb: np.ndarray) -> np.ndarray:
+    """Add green to red and blue of packed pixels."""
+    green = (argb >> np.uint32(8)) & np.uint32(255)
+    red_blue = ((argb & np.uint32(0x00FF00FF)) + (green << np.uint32(16) | green)) & np.uint32(0x00FF00FF)
+    return (argb & np.uint32(0xFF00FF00)) | red_blue
 
 
 def split(argb: np.ndarray) -> np.ndarray:
@@ -366,10 +373,10 @@ def merge(channels: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- transforms (on alpha, red, green, blue)
 
 
-def add_green(image: np.ndarray, sign: int = 1) -> np.ndarray:
+def take_green(image: np.ndarray) -> np.ndarray:
     out = image.copy()
-    out[..., 1] = (out[..., 1] + sign * out[..., 2]) & 255
-    out[..., 3] = (out[..., 3] + sign * out[..., 2]) & 255
+    out[..., 1] = (out[..., 1] - out[..., 2]) & 255
+    out[..., 3] = (out[..., 3] - out[..., 2]) & 255
     return out
 
 
@@ -478,7 +485,7 @@ def unpacked(image: np.ndarray, width: int, pack: int, colours: np.ndarray) -> n
     return table[index]
 
 
-INVERSE = {PREDICTOR: predicted, CROSS_COLOUR: cross_colour, SUBTRACT_GREEN: add_green, PALETTE: unpacked}
+INVERSE = {PREDICTOR: predicted, CROSS_COLOUR: cross_colour, PALETTE: unpacked}
 
 
 # ---------------------------------------------------------------- encoding
@@ -671,14 +678,25 @@ def encode(argb: np.ndarray, predictor: tuple[int, np.ndarray] | None = None, cr
     if green:
         w.bits(1, 1)
         w.bits(SUBTRACT_GREEN, 2)
-        image = add_green(image, -1)
+        image = take_green(image)
     w.bits(0, 1)
     write_pixels(w, merge(image).reshape(-1), width, True, tokens, cache, group_bits)
     return container(w)
 
 
 def encode_grey(samples: np.ndarray) -> bytes:
-    """A file of 8-bit samples (height, width) as a grey image with the palette of its levels."""
+    """A file of 8-bit samples (height, width) as a grey image: green holds the samples, red and blue follow from it."""
+    height, width = samples.shape
+    w = header(width, height)
+    w.bits(1, 1)
+    w.bits(SUBTRACT_GREEN, 2)
+    w.bits(0, 1)
+    write_pixels(w, (samples.astype(np.uint32) << np.uint32(8) | np.uint32(BLACK)).reshape(-1), width, True)
+    return container(w)
+
+
+def encode_palette(samples: np.ndarray) -> bytes:
+    """The same with a palette of the grey levels; up to 16 levels go several to a pixel."""
     height, width = samples.shape
     levels = np.flatnonzero(np.bincount(samples.reshape(-1), minlength=256))
     w = header(width, height)

@@ -140,7 +140,7 @@ def test_webp_transforms():
         assert (webp.decode(webp.encode(image, **how)) == image).all()
     for levels in (1, 2, 3, 5, 16, 17, 256):
         grey = r.integers(0, levels, (9, 576)).astype(np.uint8)
-        assert (webp.from_media(webp.encode_grey(grey)) == grey).all()
+        assert (webp.from_media(webp.encode_palette(grey)) == grey).all() and (webp.from_media(webp.encode_grey(grey)) == grey).all()
     good = webp.encode_grey(np.arange(576, dtype=np.uint8).reshape(1, 576))
     for cut in (10, 40, len(good) - 60):
         with pytest.raises(ValueError):
