@@ -18,8 +18,10 @@ def explode_subsets(df: DataFrame, subsets=K.SENSOR_SUBSETS) -> DataFrame:
 
 
 def _unit_hash(seed: int, *keys: Column) -> Column:
-    """A number in [0, 1) fixed by the keys: the same tile draws the same value on every run and retry."""
-    return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    """A number in [0, 1) fixed by the keys: the same tile draws the same value on every run and retry (and anywhere, as
+    it is the first 32 bits of an MD5)."""
+    digest = F.md5(F.concat_ws("/", F.lit(str(seed)), *[k.cast("string") for k in keys]).cast("binary"))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
 def sensor_dropout(tiles: DataFrame, key: Column, probs: dict[str, float], seed: int = 0) -> DataFrame:

@@ -225,6 +225,30 @@ def outline_rings(regions: DataFrame, key: str) -> DataFrame:
     return at.join(before, [key, "label", "ring", "pos"]).where("dir <> prev_dir").select(key, "label", "ring", "pos", "vr", "vc")
 
 
+def extent_polygons(rings: DataFrame, grids: DataFrame, key: str) -> DataFrame:
+    """(key, label, outline_pixels, coordinates): each region's outlines as the coordinates of one polygon.
+
+    The outline that runs round the region comes first, counter-clockwise in lon/lat, then its holes, clockwise; every
+    ring ends where it starts. ``outline_pixels`` is the area the rings enclose, which equals the region's pixel count.
+    A polygon is one record, so the corners of one region meet in one row.
+    """
+    g = rings.join(grids.select(key, "epsg", "res", "x0", "y0"), key).withColumns(
+        {"x": F.col("x0") + F.col("vc") * F.col("res"), "y": F.col("y0") - F.col("vr") * F.col("res")})
+    g = geo.with_lonlat(g, "x", "y", "epsg", "lon", "lat")
+    corner = F.struct("pos", F.col("vr").cast("double").alias("vr"), F.col("vc").cast("double").alias("vc"), F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
+    one = g.groupBy(key, "label", "ring").agg(F.sort_array(F.collect_list(corner)).alias("p"))
+    last = F.element_at("p", F.size("p"))
+    before = F.concat(F.array(last), F.slice(F.col("p"), F.lit(1), F.size("p") - 1))
+    twice = F.aggregate(F.zip_with("p", before, lambda b, a: a["vc"] * b["vr"] - b["vc"] * a["vr"]), F.lit(0.0), lambda x, y: x + y)
+    point = F.transform("p", lambda q: F.array(q["lon"], q["lat"]))
+    closed = F.reverse(F.concat(point, F.array(F.element_at(point, 1))))
+    one = one.select(key, "label", (twice / 2).alias("area"), F.struct((F.col("ring")).alias("ring"), closed.alias("line")).alias("r"))
+    out = one.groupBy(key, "label").agg(
+        F.sum("area").cast("bigint").alias("outline_pixels"), F.collect_list(F.when(F.col("area") > 0, F.col("r"))).alias("around"),
+        F.sort_array(F.collect_list(F.when(F.col("area") < 0, F.col("r")))).alias("holes"))
+    return out.select(key, "label", "outline_pixels", F.transform(F.concat("around", "holes"), lambda r: r["line"]).alias("coordinates"))
+
+
 def outline_lonlat(rings: DataFrame, grids: DataFrame, key: str) -> DataFrame:
     """Outline corners in lon/lat, six decimals."""
     g = rings.join(grids.select(key, "epsg", "res", "x0", "y0"), key).withColumns(

@@ -335,7 +335,12 @@ def q_restrict(spark, sf):
     return rounded(df.select("pixel_id", "subset", "s1_pre_vv", "s1_post_vh", "s2_pre_b08", "s2_post_b12"))
 
 
-@book.query("sensor_dropout")
+_DRAW = lambda seed: f"(('0x' || substr(md5('{seed}/' || request_id || '/' || tile_r || '/' || tile_c), 1, 8))::BIGINT / 4294967296e0)"
+
+
+@book.query("sensor_dropout", f"""WITH t AS (SELECT request_id, CAST(floor(c / 16e0) AS BIGINT) AS tile_c, CAST(floor(r / 16e0) AS BIGINT) AS tile_r, bool_or(s1_post_vv IS NOT NULL) AS has_s1, bool_or(s2_post_b08 IS NOT NULL) AS has_s2 FROM pix GROUP BY ALL),
+  d AS (SELECT *, has_s1 AND {_DRAW(0)} < 0.3 AS d1, has_s2 AND {_DRAW(1)} < 0.5 AS d2 FROM t)
+  SELECT request_id, tile_c, tile_r, has_s1, has_s2, NOT (d1 AND (has_s1 AND NOT d1 OR has_s2 AND NOT d2)) AS keep_s1, NOT (d2 AND (has_s1 AND NOT d1 OR has_s2 AND NOT d2)) AS keep_s2 FROM d""", "pix")
 def q_dropout(spark, sf):
     tiles = pix(spark, sf).groupBy("request_id", F.floor(F.col("c") / 16).alias("tile_c"), F.floor(F.col("r") / 16).alias("tile_r")).agg(
         F.max(F.col("s1_post_vv").isNotNull()).alias("has_s1"), F.max(F.col("s2_post_b08").isNotNull()).alias("has_s2"))

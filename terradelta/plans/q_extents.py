@@ -7,6 +7,7 @@ from terradelta import constants as K
 from terradelta.operators import extents as X
 from terradelta.plans.fixtures import fixture
 from terradelta.plans.kit import Book, r6, rounded
+from terradelta.session import persist_table
 
 book = Book()
 QUERIES, ORACLES = book.queries, book.oracles
@@ -28,7 +29,36 @@ def grids(spark, sf) -> DataFrame:
 
 
 
-@book.query("connected_components")
+MASK = f"mask AS (SELECT request_id, r, c, CAST({FIELD} AS INTEGER) AS value FROM pix)"
+
+
+def regions_sql(name: str, src: str) -> str:
+    """CTEs that label the 4-connected regions of ``src(request_id, r, c, value)``: ``name``, with the smallest pixel as label."""
+    return f"""{name}_p AS (SELECT *, (CAST(r AS BIGINT) << 31) + c AS id FROM {src}),
+{name}_e AS (SELECT a.request_id, a.id AS a, b.id AS b FROM (SELECT *, unnest([id + 1, id - 1, id + (1::BIGINT << 31), id - (1::BIGINT << 31)]) AS near FROM {name}_p) a
+  JOIN {name}_p b ON a.request_id = b.request_id AND a.near = b.id AND a.value = b.value),
+{name}_l(request_id, id, label) USING KEY (request_id, id) AS (SELECT request_id, id, id FROM {name}_p UNION
+  SELECT e.request_id, e.b, min(l.label) FROM {name}_l l JOIN {name}_e e ON e.request_id = l.request_id AND e.a = l.id
+    JOIN recurring.{name}_l o ON o.request_id = e.request_id AND o.id = e.b WHERE l.label < o.label GROUP BY e.request_id, e.b),
+{name} AS (SELECT request_id, r, c, value, label FROM {name}_p JOIN {name}_l USING (request_id, id))"""
+
+
+# Regions under 20 pixels point to their largest neighbour, on and on; one that reaches a larger region takes its value.
+SIEVE = f"""{MASK}, {regions_sql('reg', 'mask')},
+size AS (SELECT request_id, label, count(*) AS n, max(value) AS value FROM reg GROUP BY ALL),
+touch AS (SELECT DISTINCT a.request_id, a.label AS me, b.label AS other FROM (SELECT *, unnest([(r + 1, c), (r - 1, c), (r, c + 1), (r, c - 1)]) AS near FROM reg) a
+  JOIN reg b ON a.request_id = b.request_id AND a.near = (b.r, b.c) AND a.label <> b.label),
+ptr AS (SELECT t.request_id, t.me, arg_min(t.other, (-s.n, t.other)) AS goal FROM touch t JOIN size m ON m.request_id = t.request_id AND m.label = t.me AND m.n < 20
+  JOIN size s ON s.request_id = t.request_id AND s.label = t.other GROUP BY t.request_id, t.me),
+chain AS (SELECT request_id, me, goal, 1 AS step FROM ptr UNION ALL SELECT h.request_id, h.me, p.goal, h.step + 1 FROM chain h JOIN ptr p ON p.request_id = h.request_id AND p.me = h.goal WHERE h.step < 60),
+turned AS (SELECT h.request_id, h.me, arg_min(s.value, h.step) AS value FROM chain h JOIN size s ON s.request_id = h.request_id AND s.label = h.goal AND s.n >= 20 GROUP BY h.request_id, h.me),
+sieved AS (SELECT reg.request_id, reg.r, reg.c, coalesce(t.value, reg.value) AS value FROM reg LEFT JOIN turned t ON t.request_id = reg.request_id AND t.me = reg.label)"""
+EXTENTS = f"""{SIEVE}, flooded AS (SELECT * FROM sieved WHERE value = 1), {regions_sql('ext', 'flooded')},
+feats AS (SELECT request_id, label, round(count(*) * 1e-4, 5) AS area_km2, count(*) AS pixels, min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1 FROM ext GROUP BY request_id, label),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY request_id ORDER BY area_km2 DESC, label) AS INTEGER) AS rank FROM feats)"""
+
+
+@book.query("connected_components", f"WITH RECURSIVE {MASK}, {regions_sql('reg', 'mask')} SELECT request_id, r, c, value, label FROM reg", "pix")
 def q_components(spark, sf):
     return X.connected_components(mask(spark, sf), "request_id", TILE).select("request_id", "r", "c", "value", "label")
 
@@ -37,19 +67,24 @@ def sieved(spark, sf) -> DataFrame:
     return X.sieve(mask(spark, sf), "request_id", K.SIEVE_PIXELS, TILE)
 
 
-@book.query("sieve")
+@book.query("sieve", f"WITH RECURSIVE {SIEVE} SELECT request_id, r, c, value FROM sieved", "pix")
 def q_sieve(spark, sf):
     return sieved(spark, sf)
 
 
 def regions(spark, sf) -> DataFrame:
     kept = sieved(spark, sf).where("value = 1")
-    return X.connected_components(kept, "request_id", TILE).select("request_id", "r", "c", "label")
+    return persist_table(X.connected_components(kept, "request_id", TILE).select("request_id", "r", "c", "label"), "extents")
 
 
-@book.query("extent_features")
+def features(spark, sf, regions: DataFrame) -> DataFrame:
+    return X.top_extents(X.extent_features(regions, grids(spark, sf), "request_id"), "request_id")
+
+
+@book.query("extent_features", f"WITH RECURSIVE {EXTENTS} SELECT request_id, label, {r6('area_km2')}, pixels, r0, r1, c0, c1 FROM feats", "pix")
 def q_features(spark, sf):
-    return X.extent_features(regions(spark, sf), grids(spark, sf), "request_id")
+    f = X.extent_features(regions(spark, sf), grids(spark, sf), "request_id")
+    return rounded(f.select("request_id", "label", "area_km2", "pixels", "r0", "r1", "c0", "c1"))
 
 
 @book.query("extent_outlines")
@@ -57,16 +92,19 @@ def q_outlines(spark, sf):
     return X.outline_lonlat(X.outline_rings(regions(spark, sf), "request_id"), grids(spark, sf), "request_id")
 
 
-# Regions read off a coarser rule (runs of a row) give an extent table that SQL can rank as well.
-RUNS = f"""runs AS (SELECT request_id, r * 1000 + min(c) AS label, count(*) * 1e-4 AS area_km2 FROM (SELECT request_id, r, c, c - row_number() OVER (PARTITION BY request_id, r ORDER BY c) AS g FROM pix WHERE {FIELD}) z GROUP BY request_id, r, g)"""
+@book.query("top_extents", f"WITH RECURSIVE {EXTENTS} SELECT request_id, label, {r6('area_km2')}, rank FROM ranked", "pix")
+def q_top(spark, sf):
+    return rounded(features(spark, sf, regions(spark, sf)).select("request_id", "label", "area_km2", "rank"))
 
 
-@book.query("top_extents", f"""WITH {RUNS} SELECT request_id, label, {r6('area_km2')}, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY round(area_km2, 6) DESC, label) AS rank FROM runs) t WHERE rank <= 40""", "pix")
-def q_top(spark, sf):
-    from pyspark.sql import Window
+def extent_records(spark, sf) -> DataFrame:
+    """Ranked extents with their polygons: the whole way from the mask."""
+    on = regions(spark, sf)
+    polygons = X.extent_polygons(X.outline_rings(on, "request_id"), grids(spark, sf), "request_id")
+    return features(spark, sf, on).join(polygons, ["request_id", "label"])
+
 
-    on = mask(spark, sf).where("value = 1")
-    w = Window.partitionBy("request_id", "r").orderBy("c")
-    runs = on.withColumn("g", F.col("c") - F.row_number().over(w)).groupBy("request_id", "r", "g").agg(F.min("c").alias("c0"), F.count("*").alias("n"))
-    feats = runs.select("request_id", (F.col("r") * 1000 + F.col("c0")).alias("label"), F.round(F.col("n") * 1e-4, 6).alias("area_km2"))
-    return rounded(X.top_extents(feats, "request_id", 40).select("request_id", "label", "area_km2", "rank"))
+@book.query("extent_polygons", f"""WITH RECURSIVE {EXTENTS} SELECT request_id, label, pixels AS outline_pixels, true AS closed FROM feats""", "pix")
+def q_polygons(spark, sf):
+    rings = F.transform("coordinates", lambda line: F.element_at(line, 1) == F.element_at(line, F.size(line)))
+    return extent_records(spark, sf).select("request_id", "label", "outline_pixels", F.forall(rings, lambda x: x).alias("closed"))

@@ -109,9 +109,10 @@ def q_aoi(spark, sf):
     return out.select("request_id", "error", F.size(F.flatten(F.flatten("p"))).alias("vertices"))
 
 
-@book.query("geom_bounds", f"WITH {AOI_CTE} SELECT request_id, CAST(w AS DOUBLE) AS w, CAST(s AS DOUBLE) AS s, CAST(e AS DOUBLE) AS e, CAST(n AS DOUBLE) AS n FROM aj WHERE kind < 4", "requests")
+@book.query("geom_bounds", f"WITH {AOI_CTE} SELECT request_id, CAST(w AS DOUBLE) AS w, CAST(s AS DOUBLE) AS s, CAST(e AS DOUBLE) AS e, CAST(n AS DOUBLE) AS n FROM aj WHERE kind < 4 UNION ALL SELECT request_id, NULL, NULL, NULL, NULL FROM aj WHERE kind >= 4", "requests")
 def q_bounds(spark, sf):
-    df = geometry.with_aoi(aoi_json(spark, sf).where("kind < 4"), "aoi", "p", "error")
+    """Bounds of every area; one that is no valid area has none."""
+    df = geometry.with_aoi(aoi_json(spark, sf), "aoi", "p", "error")
     return df.select("request_id", geometry.bounds(F.col("p")).alias("b")).select("request_id", "b.*")
 
 

@@ -26,17 +26,24 @@ def read_maps(spark: SparkSession, path: str) -> DataFrame:
 
 
 def extent_feature_json(features: DataFrame, key: str) -> DataFrame:
-    """One GeoJSON feature per extent: box outline, area and rank."""
-    ring = F.array(*[F.array(x, y) for x, y in (("w", "s"), ("e", "s"), ("e", "n"), ("w", "n"), ("w", "s"))])
-    body = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"),
-                    F.struct("area_km2", "rank").alias("properties"))
-    return features.select(key, F.to_json(body).alias("value"))
+    """One GeoJSON feature per extent ``(key, area_km2, rank, coordinates)``: its polygon, area and rank."""
+    geometry = F.struct(F.lit("Polygon").alias("type"), "coordinates")
+    body = F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct("area_km2", "rank").alias("properties"))
+    return features.select(key, "rank", F.to_json(body).alias("value"))
 
 
-def write_extent_geojson(features: DataFrame, path: str, key: str) -> None:
-    """Features as text, one per line, one folder per request, largest first within a file."""
-    rows = extent_feature_json(features, key).withColumn("rank", F.get_json_object("value", "$.properties.rank").cast("int"))
-    rows.repartition(key).sortWithinPartitions(key, "rank").drop("rank").write.partitionBy(key).text(path)
+def write_extent_geojson(features: DataFrame, path: str, key: str, buckets: int = 16) -> None:
+    """Features as text, one per line, largest first for each request; requests share ``buckets`` folders, so that the
+    number of files does not grow with the number of requests."""
+    rows = extent_feature_json(features, key).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    line = F.concat_ws("\t", F.col(key).cast("string"), "value").alias("value")
+    rows.repartition("bucket", key).sortWithinPartitions("bucket", key, "rank").select("bucket", line).write.partitionBy("bucket").text(path)
+
+
+def read_extent_geojson(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """(key, value) as written: a key and its feature per line."""
+    part = F.split("value", "\t", 2)
+    return spark.read.text(path).select(F.get(part, F.lit(0)).cast("bigint").alias(key), F.get(part, F.lit(1)).alias("value"))
 
 
 def write_tile_dataset(pixels: DataFrame, stats: DataFrame, path: str, key: str, split: str = "split") -> DataFrame:
