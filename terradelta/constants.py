@@ -32,6 +32,7 @@ S2_OFFSET_BASELINE, S2_OFFSET_DN, S2_SCALE = 4.0, -1000.0, 10000.0
 MIN_VALID_FRACTION = 0.01
 MAX_SCENES = 4
 MAX_S2_CLOUD = 60.0
+STAC_PROJECTION = "https://stac-extensions.github.io/projection/v1.1.0/schema.json"
 COLLECTIONS = {"s1": "sentinel-1-rtc", "s2": "sentinel-2-l2a", "dem": "cop-dem-glo-30", "mtbs": "mtbs"}
 
 # --- Fixed values: requests ----------------------------------------------------------------------

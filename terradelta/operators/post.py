@@ -78,28 +78,34 @@ def summary_record(summary: DataFrame, digits: int = 3) -> DataFrame:
 
 
 def provenance_record(requests: DataFrame, scenes: DataFrame) -> DataFrame:
-    """One JSON record per request: model, request, compositing rules and the scenes behind every stack.
+    """One JSON record per request: model, request, compositing rules, the scenes behind every stack, grid and time.
 
-    ``scenes(request_id, sensor, period, scene_id, seq)`` holds selected scenes, so each list has at most four ids.
+    ``scenes(request_id, sensor, period, scene_id, seq, ts, cloud, relative_orbit)`` holds the selected scenes of a request's
+    stacks, which are few. The grid comes as the columns ``width``, ``height``, ``x0``, ``y0``.
     """
-    ids = F.transform(F.array_sort(F.collect_list(F.struct("seq", "scene_id"))), lambda s: s["scene_id"])
-    per_key = scenes.groupBy("request_id", F.concat_ws("_", "sensor", "period").alias("key")).agg(ids.alias("ids"))
-    lists = per_key.groupBy("request_id").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "ids")))).alias("sensors"))
+    facts = F.struct(F.col("scene_id").alias("id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("datetime"), F.col("cloud").alias("cloud_cover"), "relative_orbit")
+    kept = F.array_sort(F.collect_list(F.struct("seq", facts.alias("scene"))))
+    per_key = scenes.groupBy("request_id", F.concat_ws("_", "sensor", "period").alias("key")).agg(F.transform(kept, lambda s: s["scene"]).alias("scenes"))
+    per_key = per_key.withColumn("ids", F.transform("scenes", lambda s: s["id"]))
+    entries = lambda c: F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", c))))
+    lists = per_key.groupBy("request_id").agg(entries("ids").alias("sensors"), entries("scenes").alias("scenes"))
     rules = F.struct(*[
         F.element_at(F.create_map(*[F.lit(x) for t, s in K.TASKS.items() for x in (t, s["composite"][i])]), F.col("task")).alias(p)
         for i, p in enumerate(K.PERIODS)
     ], _task_map("scenes")[F.col("task")].alias("scenes"))
     body = F.struct(
         F.col("model"), F.lit(K.PIPELINE_VERSION).alias("dataset_pipeline"),
-        F.struct("task", "before", "after").alias("request"), rules.alias("compositing"), F.col("sensors"),
-        F.col("crs").alias("target_crs"), F.col("resolution").alias("resolution_m"), F.lit("fp32").alias("inference_precision"),
+        F.struct("task", "before", "after").alias("request"), rules.alias("compositing"), F.col("sensors"), F.col("scenes"),
+        F.col("crs").alias("target_crs"), F.col("resolution").alias("resolution_m"),
+        F.struct("crs", F.col("resolution").alias("res"), "x0", "y0", "width", "height").alias("grid"), F.lit("fp32").alias("inference_precision"),
+        F.date_format("created", "yyyy-MM-dd'T'HH:mm:ssXXX").alias("created"),
     )
     return requests.join(lists, "request_id", "left").select("request_id", F.to_json(body).alias("provenance"))
 
 
 def stac_item_record(results: DataFrame) -> DataFrame:
-    """A catalog item per finished run: time span, bounds, headline number and the assets written for the task."""
+    """A catalog item per finished run: area (``coordinates``), time span, bounds, headline number and the assets written for
+    the task. ``created`` is the time of the run."""
     cog = "image/tiff; application=geotiff; profile=cloud-optimized"
     target = _task_map("target")[F.col("task")]
     asset = lambda href, kind, role: F.struct(
@@ -114,16 +120,18 @@ def stac_item_record(results: DataFrame) -> DataFrame:
         F.when(F.col("has_severity"), asset(F.concat(target, F.lit("_severity.tif")), cog, "data")).alias("severity"),
     )
     props = F.struct(
+        F.lit(None).cast("string").alias("datetime"), F.date_format("created", "yyyy-MM-dd'T'HH:mm:ssXXX").alias("created"),
         F.concat(F.col("before_start").cast("string"), F.lit("T00:00:00Z")).alias("start_datetime"),
         F.concat(F.col("after_end").cast("string"), F.lit("T23:59:59Z")).alias("end_datetime"),
         F.col("crs").alias("proj:code"), F.col("task"), F.col("model"), F.col("affected_km2"),
     )
     item = F.struct(
-        F.lit("Feature").alias("type"), F.lit("1.0.0").alias("stac_version"),
+        F.lit("Feature").alias("type"), F.lit("1.0.0").alias("stac_version"), F.array(F.lit(K.STAC_PROJECTION)).alias("stac_extensions"),
         F.concat_ws("-", F.lit("terradelta"), "task", F.col("request_id").cast("string")).alias("id"),
-        F.array("w", "s", "e", "n").alias("bbox"), props.alias("properties"), assets.alias("assets"),
+        F.struct(F.lit("Polygon").alias("type"), "coordinates").alias("geometry"),
+        F.array("w", "s", "e", "n").alias("bbox"), props.alias("properties"), assets.alias("assets"), F.array().cast("array<string>").alias("links"),
     )
-    return results.select("request_id", F.to_json(item).alias("item"))
+    return results.select("request_id", F.to_json(item, {"ignoreNullFields": "false"}).alias("item"))
 
 
 def composite_cache_key(stacks: DataFrame, ids: Column, *parts: Column) -> DataFrame:

@@ -146,34 +146,45 @@ def area_requests(spark, sf) -> DataFrame:
             "before": F.concat_ws("/", F.col("before_start").cast("string"), F.col("before_end").cast("string")),
             "after": F.concat_ws("/", F.col("after_start").cast("string"), F.col("after_end").cast("string")),
             "crs": F.lit("EPSG:32631"), "resolution": F.lit(10.0),
-            "affected_km2": F.col("area_id") * 0.25, "has_severity": t == "wildfire",
+            "affected_km2": F.col("area_id") * 0.25, "has_severity": t == "wildfire", "created": F.lit("2024-02-01 12:30:00").cast("timestamp"),
+            "width": F.col("area_id").cast("int") + 100, "height": F.lit(200), "x0": 500000.0 + F.col("area_id") * 10, "y0": F.lit(4900000.0),
+            "coordinates": F.array(F.array(*[F.array(x, y) for x, y in (("w", "s"), ("e", "s"), ("e", "n"), ("w", "n"), ("w", "s"))])),
         })
 
 
 _TASKSQL = "CASE area_id % 3 WHEN 0 THEN 'flood' WHEN 1 THEN 'wildfire' ELSE 'vegetation' END"
 
 
+# Both records are read back field by field.
 @book.query("provenance_record", f"""WITH {FOUND}, near AS (SELECT *, row_number() OVER (PARTITION BY area_id, sensor, period ORDER BY CASE period WHEN 'pre' THEN -seq ELSE seq END) AS k FROM found WHERE sensor <> 'dem'),
-  per AS (SELECT area_id, sensor || '_' || period AS key, '"' || sensor || '_' || period || '":[' || string_agg(CAST(scene_id AS VARCHAR), ',' ORDER BY seq) || ']' AS txt FROM near WHERE k <= 4 GROUP BY area_id, sensor, period),
-  lst AS (SELECT area_id, string_agg(txt, ',' ORDER BY key) AS txt FROM per GROUP BY area_id)
-  SELECT a.area_id AS request_id, '{{"model":"threshold-baseline-v1.1.0","dataset_pipeline":"0.1.0","request":{{"task":"' || {_TASKSQL} || '","before":"' || CAST(before_start AS VARCHAR) || '/' || CAST(before_end AS VARCHAR)
-   || '","after":"' || CAST(after_start AS VARCHAR) || '/' || CAST(after_end AS VARCHAR) || '"}},"compositing":{{"pre":"median","post":"' || CASE area_id % 3 WHEN 0 THEN 'first' ELSE 'median' END || '","scenes":"'
-   || CASE area_id % 3 WHEN 2 THEN 'spread' ELSE 'closest' END || '"}}' || coalesce(',"sensors":{{' || txt || '}}', '') || ',"target_crs":"EPSG:32631","resolution_m":10.0,"inference_precision":"fp32"}}' AS provenance
-  FROM areas a LEFT JOIN lst USING (area_id)""".replace("{{", "{").replace("}}", "}"), "areas", "scene_catalog")
+  pick AS (SELECT * FROM near WHERE k <= 4 AND sensor = 's2' AND period = 'post'),
+  per AS (SELECT area_id, '[' || string_agg(CAST(scene_id AS VARCHAR), ',' ORDER BY seq) || ']' AS ids, count(*) AS n, arg_min(strftime(ts, '%Y-%m-%dT%H:%M:%SZ'), seq) AS first_time, arg_min(cloud, seq) AS first_cloud FROM pick GROUP BY area_id)
+  SELECT a.area_id AS request_id, 'threshold-baseline-v1.1.0' AS model, '0.1.0' AS pipeline, {_TASKSQL} AS task, CAST(before_start AS VARCHAR) || '/' || CAST(before_end AS VARCHAR) AS before,
+   CAST(after_start AS VARCHAR) || '/' || CAST(after_end AS VARCHAR) AS after, CASE area_id % 3 WHEN 0 THEN 'first' ELSE 'median' END AS post_rule, CASE area_id % 3 WHEN 2 THEN 'spread' ELSE 'closest' END AS scene_rule,
+   p.ids, p.first_time, round(p.first_cloud, 6) + 0e0 AS first_cloud, 'EPSG:32631' AS crs, area_id + 100 AS width, 500000e0 + area_id * 10 AS x0, 'fp32' AS inference, '2024-02-01T12:30:00Z' AS created
+  FROM areas a LEFT JOIN per p USING (area_id)""", "areas", "scene_catalog")
 def q_provenance(spark, sf):
-    sel = _closest(spark, sf).select(F.col("area_id").alias("request_id"), "sensor", "period", "scene_id", F.col("scene_rank").alias("seq"))
-    return post.provenance_record(area_requests(spark, sf), sel)
-
-
-@book.query("stac_item_record", f"""SELECT area_id AS request_id, {_TASKSQL} AS task, before_start || 'T00:00:00Z' AS start_datetime, after_end || 'T23:59:59Z' AS end_datetime, area_id * 0.25e0 AS affected_km2,
-  w, n, './' || CASE area_id % 3 WHEN 0 THEN 'flood' WHEN 1 THEN 'burn' ELSE 'disturbance' END || '_probability.tif' AS href, CASE area_id % 3 WHEN 1 THEN './burn_severity.tif' END AS severity_href FROM areas""", "areas")
+    sel = _closest(spark, sf).withColumnsRenamed({"area_id": "request_id", "scene_rank": "n"}).withColumn("seq", F.col("n"))
+    record = post.provenance_record(area_requests(spark, sf), sel)
+    g = lambda path, kind="string": F.get_json_object("provenance", path).cast(kind)
+    return rounded(record.select(
+        "request_id", g("$.model").alias("model"), g("$.dataset_pipeline").alias("pipeline"), g("$.request.task").alias("task"), g("$.request.before").alias("before"), g("$.request.after").alias("after"),
+        g("$.compositing.post").alias("post_rule"), g("$.compositing.scenes").alias("scene_rule"), g("$.sensors.s2_post").alias("ids"), g("$.scenes.s2_post[0].datetime").alias("first_time"),
+        g("$.scenes.s2_post[0].cloud_cover", "double").alias("first_cloud"), g("$.grid.crs").alias("crs"), g("$.grid.width", "bigint").alias("width"), g("$.grid.x0", "double").alias("x0"),
+        g("$.inference_precision").alias("inference"), g("$.created").alias("created")))
+
+
+@book.query("stac_item_record", f"""SELECT area_id AS request_id, 'Feature' AS type, '1.0.0' AS version, 'https://stac-extensions.github.io/projection/v1.1.0/schema.json' AS extension, 'terradelta-' || {_TASKSQL} || '-' || area_id AS id, {_TASKSQL} AS task,
+  before_start || 'T00:00:00Z' AS start_datetime, after_end || 'T23:59:59Z' AS end_datetime, '2024-02-01T12:30:00Z' AS created, area_id * 0.25e0 AS affected_km2, 'Polygon' AS kind, w AS ring_w, n AS ring_n,
+  w, n, './' || CASE area_id % 3 WHEN 0 THEN 'flood' WHEN 1 THEN 'burn' ELSE 'disturbance' END || '_probability.tif' AS href, CASE area_id % 3 WHEN 1 THEN './burn_severity.tif' END AS severity_href, '[]' AS links FROM areas""", "areas")
 def q_item(spark, sf):
     item = post.stac_item_record(area_requests(spark, sf))
-    g = lambda path: F.get_json_object("item", path)
-    return item.select("request_id", g("$.properties.task").alias("task"), g("$.properties.start_datetime").alias("start_datetime"),
-                       g("$.properties.end_datetime").alias("end_datetime"), g("$.properties.affected_km2").cast("double").alias("affected_km2"),
-                       g("$.bbox[0]").cast("double").alias("w"), g("$.bbox[3]").cast("double").alias("n"),
-                       g("$.assets.classification.href").alias("href"), g("$.assets.severity.href").alias("severity_href"))
+    g = lambda path, kind="string": F.get_json_object("item", path).cast(kind)
+    return item.select("request_id", g("$.type").alias("type"), g("$.stac_version").alias("version"), g("$.stac_extensions[0]").alias("extension"), g("$.id").alias("id"), g("$.properties.task").alias("task"),
+                       g("$.properties.start_datetime").alias("start_datetime"), g("$.properties.end_datetime").alias("end_datetime"), g("$.properties.created").alias("created"),
+                       g("$.properties.affected_km2", "double").alias("affected_km2"), g("$.geometry.type").alias("kind"), g("$.geometry.coordinates[0][0][0]", "double").alias("ring_w"),
+                       g("$.geometry.coordinates[0][2][1]", "double").alias("ring_n"), g("$.bbox[0]", "double").alias("w"), g("$.bbox[3]", "double").alias("n"),
+                       g("$.assets.classification.href").alias("href"), g("$.assets.severity.href").alias("severity_href"), g("$.links").alias("links"))
 
 
 @book.query("composite_cache_key")

@@ -110,6 +110,18 @@ def test_outlines_enclose_their_pixels(spark, grid):
     assert {k: abs(v) for k, v in total.items()} == pytest.approx(area)
 
 
+def test_polygons_have_holes_and_the_right_area(spark):
+    """A ring of pixels around a hole, and a single pixel: outer rings counter-clockwise, holes clockwise, all closed."""
+    grid = [[1, 1, 1, 1, 0], [1, 0, 0, 1, 0], [1, 1, 1, 1, 0], [0, 0, 0, 0, 1]]
+    on = X.connected_components(grid_df(spark, grid).where("value = 1"), "request_id", 2).select("request_id", "r", "c", "label")
+    g = spark.createDataFrame([(0, 32631, 10.0, 500000.0, 4900000.0)], "request_id INT, epsg INT, res DOUBLE, x0 DOUBLE, y0 DOUBLE")
+    rows = {r.outline_pixels: r.coordinates for r in X.extent_polygons(X.outline_rings(on, "request_id"), g, "request_id").collect()}
+    assert sorted(rows) == [1, 10] and [len(x) for x in rows[10]] == [5, 5] and len(rows[1]) == 1
+    turn = lambda ring: sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:]))
+    outer, hole = rows[10]
+    assert turn(outer) > 0 > turn(hole) and outer[0] == outer[-1] and hole[0] == hole[-1]
+
+
 def test_extent_of_a_box(spark):
     grid = [[int(50 <= r < 110 and 60 <= c < 140) for c in range(150)] for r in range(120)]
     on = X.connected_components(grid_df(spark, grid), "request_id", 64).where("value = 1")
