@@ -87,6 +87,15 @@ def cached_code(lengths: bytes) -> Code:
     return Code(np.frombuffer(lengths, dtype=np.int64))
 
 
+@lru_cache(512)
+def simple_code(size: int, one: int, two: int) -> Code:
+    if max(one, two) >= size:
+        raise ValueError("a symbol outside its alphabet")
+    lengths = np.zeros(size, dtype=np.int64)
+    lengths[[one, two]] = 1
+    return Code(lengths)
+
+
 def huffman(counts: np.ndarray, limit: int = 15) -> np.ndarray:
     """Code lengths of at most ``limit`` bits; a lone symbol gets length 1."""
     lengths = np.zeros(len(counts), dtype=np.int64)
@@ -154,13 +163,10 @@ class Reader:
         return int(code.symbols[i])
 
     def code(self, size: int) -> Code:
-        lengths = np.zeros(size, dtype=np.int64)
         if self.bits(1):
-            two = self.bits(1)
-            lengths[self.bits(8 if self.bits(1) else 1)] = 1
-            if two:
-                lengths[self.bits(8)] = 1
-            return cached_code(lengths.tobytes())
+            two, one = self.bits(1), self.bits(8 if self.bits(1) else 1)
+            return simple_code(size, one, self.bits(8) if two else one)
+        lengths = np.zeros(size, dtype=np.int64)
         first = np.zeros(19, dtype=np.int64)
         for s in CODE_LENGTH_ORDER[: 4 + self.bits(4)]:
             first[s] = self.bits(3)
@@ -516,20 +522,24 @@ class Writer:
         for s in CODE_LENGTH_ORDER:
             self.bits(int(sizes[s]), 3)
         self.bits(0, 1)
-        edge = np.flatnonzero(np.diff(lengths != 0)) + 1
-        for run in np.split(lengths, edge):
-            if run[0]:
-                for n in run.tolist():
+        edge = (np.flatnonzero(np.diff(lengths != 0)) + 1).tolist()
+        values = lengths.tolist()
+        for lo, hi in zip([0, *edge], [*edge, len(values)]):
+            if values[lo]:
+                for n in values[lo:hi]:
                     self.bits(codes[n], sizes[n])
                 continue
-            left = len(run)
+            left = hi - lo
             while left:
                 n = min(left, 138)
                 s, extra, size = (18, n - 11, 7) if n >= 11 else (17, n - 3, 3) if n >= 3 else (0, 0, 0)
-                self.bits(codes[s], sizes[s])
-                self.bits(extra, size)
+                self.bits(codes[s] | extra << sizes[s], sizes[s] + size)
                 left -= n if n >= 3 else 1
 
+    def single(self, symbol: int) -> None:
+        """A code of one symbol under 256."""
+        self.bits(1 | 0 << 1 | 1 << 2 | symbol << 3, 11)
+
     def data(self, value: np.ndarray, size: np.ndarray) -> None:
         """Many fields at once."""
         keep = size > 0
@@ -637,6 +647,9 @@ def write_pixels(w: Writer, argb: np.ndarray, width: int, main: bool, tokens=run
             if n_groups > 1:
                 mine = group[rows] == g
                 rows, symbols = rows[mine], symbols[mine]
+            if len(symbols) <= 1 and (not len(symbols) or symbols[0] < 256):
+                w.single(int(symbols[0]) if len(symbols) else 0)
+                continue
             lengths = huffman(np.bincount(symbols, minlength=n))
             w.code(lengths)
             if np.count_nonzero(lengths) > 1:
