@@ -61,9 +61,3 @@ def quicklook(base: Column, hit: Column, target: str) -> Column:
     return F.struct(*[
         F.when(hit, _byte(0.45 * base[n] + 0.55 * deep[i])).otherwise(base[n]).alias(n) for i, n in enumerate("rgb")
     ])
-
-
-def with_alpha(rgb: Column) -> Column:
-    """Opaque wherever any channel is lit."""
-    lit = (rgb["r"] > 0) | (rgb["g"] > 0) | (rgb["b"] > 0)
-    return F.struct(*[rgb[n].alias(n) for n in "rgb"], F.when(lit, 255).otherwise(0).alias("a"))

@@ -103,13 +103,12 @@ def valid_fraction(df: DataFrame, keys, bands) -> DataFrame:
     return df.groupBy(*keys).agg(F.avg(full.cast("int")).alias("valid_fraction"))
 
 
-def prepare_inputs(scene_pixels: DataFrame, keys, methods=("median", "first"), max_scenes: int = K.MAX_SCENES) -> DataFrame:
+def prepare_inputs(scene_pixels: DataFrame, keys, methods=("median", "first"), max_scenes: int = K.MAX_SCENES, request_keys=None) -> DataFrame:
     """Wide before/after pixels from one long table ``keys + (sensor, period, scene_rank, vv, vh, b02 ... b12)``.
 
     Each stack (sensor and period) is composited on its own from its own rows: with sensor and period as partition
-    columns only its files are read, and the aggregate stays small enough to be compiled. All four come out partitioned
-    by the same keys, so the joins that put them side by side move nothing: every row is shuffled once.
-    A stack valid in under 1 % of a request's pixels is dropped by :func:`drop_empty_stacks`.
+    columns only its files are read, and the aggregate stays small enough to be compiled. The four results are joined by
+    the keys. With ``request_keys`` a stack valid in under 1 % of a request's pixels is dropped (:func:`drop_empty_stacks`).
     """
     wide = None
     for sensor, bands in K.BANDS.items():
@@ -118,10 +117,10 @@ def prepare_inputs(scene_pixels: DataFrame, keys, methods=("median", "first"), m
             one = composite(rows, keys, bands, method, max_scenes, db=sensor == "s1")
             one = one.withColumnsRenamed({b: f"{sensor}_{period}_{b}" for b in bands})
             wide = one if wide is None else wide.join(one, keys, "full")
-    return wide
+    return drop_empty_stacks(wide, request_keys) if request_keys else wide
 
 
-def drop_empty_stacks(wide: DataFrame, request_keys, pixel_count: Column | None = None) -> DataFrame:
+def drop_empty_stacks(wide: DataFrame, request_keys) -> DataFrame:
     """NULL out every stack whose valid share within a request is below 1 %."""
     share = {}
     for sensor, bands in K.BANDS.items():

@@ -143,13 +143,6 @@ def aoi_mask(cells: DataFrame, spans: DataFrame, key: str) -> DataFrame:
     return joined.withColumn("inside", F.coalesce(left_of % 2 == 1, F.lit(False))).drop("xs")
 
 
-def source_coordinates(cells: DataFrame, sources: DataFrame, key: str) -> DataFrame:
-    """Add fractional source-pixel coordinates u (column) and v (row) of cell centres in a same-CRS source image
-    ``sources(key, src_x0, src_y0, src_rx, src_ry, src_w, src_h)``."""
-    return cells.join(sources, key).withColumns(
-        {"u": (F.col("x") - F.col("src_x0")) / F.col("src_rx"), "v": (F.col("src_y0") - F.col("y")) / F.col("src_ry")})
-
-
 def resample(cells: DataFrame, pixels: DataFrame, key: str, value: str, method: str = "bilinear") -> DataFrame:
     """Value of a source image at each cell (key, r, c, u, v, src_w, src_h); NULL outside the image or without data.
 

@@ -171,10 +171,6 @@ def model_registry(trained: DataFrame) -> DataFrame:
     return cards
 
 
-def registry_listing(trained: DataFrame) -> DataFrame:
-    return model_registry(trained).orderBy(F.col("is_baseline").desc(), F.col("created").desc_nulls_last(), "model_id", "version")
-
-
 def resolve_model(requests: DataFrame, trained: DataFrame) -> DataFrame:
     """The card of every request (request_id, task, model): 'auto' takes the newest trained card for the task, else the
     baseline; otherwise id or id-vVersion must match a card that supports the task. NULL card = unknown model.

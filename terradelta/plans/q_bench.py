@@ -167,7 +167,7 @@ def q_registry(spark, sf):
     from pyspark.sql import Window
 
     listed = X.model_registry(cards(spark, sf))
-    # The position is a number for the check; the listing itself is X.registry_listing. Cards are a small dimension.
+    # The position is a number for the check. Cards are a small dimension.
     w = Window.orderBy(F.col("is_baseline").desc(), F.col("created").desc_nulls_last(), "model_id", "version")
     return listed.select(F.row_number().over(w).cast("bigint").alias("position"), "model_id", "version")
 

@@ -11,7 +11,8 @@ from terradelta.operators import merge as MG
 from terradelta.operators import verify as V
 from terradelta.plans.fixtures import SQL, derive, fixture, table
 from terradelta.plans.kit import Book, r6, rounded
-from terradelta.sources import feeds
+from terradelta.session import fresh_path
+from terradelta.sources import feeds, sinks
 
 book = Book()
 QUERIES, ORACLES = book.queries, book.oracles
@@ -235,7 +236,11 @@ def q_dates(spark, sf):
 
 @book.query("append_run_logs", f"WITH {CL} SELECT doc_id, outlet, title, hazard, CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END AS verdict, reason FROM vd", "articles")
 def q_log(spark, sf):
-    return V.reader_log(V.verify(claims(spark, sf)), ["doc_id", "outlet", "title", "text", "hazard"])
+    """The log of two passes, appended one after the other and read back."""
+    log, path = V.reader_log(V.verify(claims(spark, sf)), ["doc_id", "outlet", "title", "text", "hazard"]), fresh_path(spark, "log")
+    for half in (0, 1):
+        sinks.append_log(log.where(F.col("doc_id") % 2 == half), path)
+    return spark.read.schema("doc_id LONG, outlet STRING, title STRING, hazard STRING, verdict STRING, reason STRING").json(path)
 
 
 @book.query("reader_log_stats", f"WITH {CL} SELECT hazard, CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END AS verdict, count(*) AS articles FROM vd GROUP BY ALL", "articles")
