@@ -11,7 +11,7 @@ from terradelta.operators import post
 from terradelta.plans import sql_physics as S
 from terradelta.plans.fixtures import fixture
 from terradelta.plans.kit import Book, r6, rounded
-from terradelta.plans.q_physics import all_tasks, evidence, task_maps
+from terradelta.plans.q_physics import task_maps
 from terradelta.plans.q_scenes import FOUND, _closest
 
 book = Book()
@@ -187,7 +187,9 @@ def q_item(spark, sf):
                        g("$.assets.classification.href").alias("href"), g("$.assets.severity.href").alias("severity_href"), g("$.links").alias("links"))
 
 
-@book.query("composite_cache_key")
+@book.query("composite_cache_key", f"""WITH {FOUND}, near AS (SELECT *, row_number() OVER (PARTITION BY area_id, sensor, period ORDER BY CASE period WHEN 'pre' THEN -seq ELSE seq END) AS k FROM found WHERE sensor = 's1'),
+  per AS (SELECT area_id, sensor, period, string_agg(CAST(scene_id AS VARCHAR), ',' ORDER BY scene_id) AS ids FROM near WHERE k <= 4 GROUP BY ALL)
+  SELECT substr(sha1('{{"version":"0.1.0","p0":"s1","p1":"median","p2":' || area_id || ',"ids":[' || ids || ']}}'), 1, 20) AS cache_key, area_id, sensor, period FROM per""".replace("{{", "{").replace("}}", "}"), "areas", "scene_catalog")
 def q_cache(spark, sf):
     """Keys of every selected stack, minus those an earlier run has composited (here: everything optical)."""
     sel = _closest(spark, sf).groupBy("area_id", "sensor", "period").agg(F.collect_list("scene_id").alias("ids"))
