@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -51,15 +52,21 @@ def word_count(text: Column) -> Column:
 
 def text_blocks(column: pa.Array, size: int = BLOCK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """(first row, texts) of consecutive rows holding about ``size`` bytes; a longer text is a block of its own."""
-    texts = [b"" if t is None else t for t in column.cast(pa.binary()).to_pylist()]
+    pa.default_memory_pool().release_unused()  # what earlier batches held goes back before this one is worked on
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     first, held = 0, 0
-    for i, t in enumerate(texts):
-        if held and held + len(t) > size:
-            yield first, texts[first:i]
+    for i, n in enumerate(sizes.tolist()):
+        if held and held + n > size:
+            yield first, _bytes(column.slice(first, i - first))
             first, held = i, 0
-        held += len(t) + 1
-    if first < len(texts):
-        yield first, texts[first:]
+        held += n + 1
+    if first < len(column):
+        yield first, _bytes(column.slice(first))
+
+
+def _bytes(column: pa.Array) -> list[bytes]:
+    """Only the rows of one block become Python objects at a time."""
+    return [b"" if t is None else t for t in column.cast(pa.binary()).to_pylist()]
 
 
 def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

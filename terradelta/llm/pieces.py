@@ -33,7 +33,8 @@ from terradelta.llm.token_bits import _within
 N_BEST = 4
 UNKNOWN_PENALTY = 10.0
 SPACE = "▁"
-CACHE_CHUNKS = 200_000  # bound of a worker's chunk table; it only saves repeated work
+CACHE_CHUNKS = 80_000  # bound of a worker's chunk table; it only saves repeated work
+CACHE_SEARCHES = 20_000  # bound of its table of searched chunks
 LONG_CHUNK = 400  # characters; longer chunks are solved one by one
 BLOCK_CHUNKS = 4096
 SCHEMA = "doc_id long, n_pieces long, best_score double, ids_crc32 long, nbest_scores array<double>, nbest_crc32 array<long>, n_chars long, round_trip boolean"
@@ -260,6 +261,8 @@ class PieceModel:
         ids they have for which chunks."""
         if len(self.at) > CACHE_CHUNKS:
             self.trim()
+        if len(self.found) > CACHE_SEARCHES:
+            self.found = {}
         cuts = [self.cut.findall(" " + t) if t else [] for t in texts]
         if new := {c for cs in cuts for c in cs}.difference(self.at):
             self.learn(list(new))
