@@ -6,6 +6,7 @@ Texts travel as UTF-8 bytes; a null text is the empty text.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -52,7 +53,6 @@ def word_count(text: Column) -> Column:
 
 def text_blocks(column: pa.Array, size: int = BLOCK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """(first row, texts) of consecutive rows holding about ``size`` bytes; a longer text is a block of its own."""
-    pa.default_memory_pool().release_unused()  # what earlier batches held goes back before this one is worked on
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     first, held = 0, 0
     for i, n in enumerate(sizes.tolist()):
@@ -62,6 +62,15 @@ def text_blocks(column: pa.Array, size: int = BLOCK_BYTES) -> Iterator[tuple[int
         held += n + 1
     if first < len(column):
         yield first, _bytes(column.slice(first))
+    _give_back()
+
+
+def _give_back() -> None:
+    """Return freed memory to the system: a worker serves one stage after the other and would keep the peak of each."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def _bytes(column: pa.Array) -> list[bytes]:
