@@ -171,9 +171,10 @@ def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
         hung = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = low.select("u", F.col("m").alias("v")).union(hung).where("u <> v").distinct()
         new = stored(new, f"{name}-round")
-        # a star forest: no parent has a parent
-        if new.select("v").distinct().join(new.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
+        # a star forest: every node has one parent, and no parent has a parent
+        chained = new.select("v").distinct().join(new.select(F.col("u").alias("v")), "v", "left_semi")
+        if new.groupBy("u").count().where("count > 1").isEmpty() and chained.isEmpty():
             roots = new.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
-            return stored(new.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node").union(roots), name)
+            return stored(new.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots), name)
         e = new
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
