@@ -16,6 +16,7 @@ document is scanned in its own row, and the rule tables are literals of the plan
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -95,13 +96,53 @@ def sentences(text: Column, line_ends: bool) -> Column:
     return F.filter(F.transform(F.split(flat, CLOSE), lambda s: F.trim(s)), lambda s: s != "")
 
 
+# Further sentences as they are published, one sentence each after normalisation (a link is cut behind its
+# "http:", "v. 2.0" behind its "v").
+PUBLISHED = {
+    'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:': "MIT-grant",
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.': "MIT-as-is",
+    'Licensed under the Apache License, Version 2.0 (the "License");': "Apache-2-notice",
+    "You may obtain a copy of the License at": "Apache-2-obtain",
+    "You may obtain a copy of the License at http:": "Apache-2-obtain",
+    "You may obtain a copy of the License at https:": "Apache-2-obtain",
+    "www.apache.org/licenses/LICENSE-2.0": "Apache-2-link",
+    "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation;": "GPL-terms",
+    "either version 2 of the License, or (at your option) any later version.": "GPL-2-plus",
+    "either version 3 of the License, or (at your option) any later version.": "GPL-3-plus",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v.": "MPL-2-notice",
+    "If a copy of the MPL was not distributed with this file, You can obtain one at http:": "MPL-2-obtain",
+    "If a copy of the MPL was not distributed with this file, You can obtain one at https:": "MPL-2-obtain",
+    "mozilla.org/MPL/2.0/.": "MPL-2-link",
+}
+
+
+def cut(text: str) -> list[str]:
+    """:func:`sentences` of one sentence of a table, outside Spark."""
+    return [s for s in (x.strip(" ") for x in re.split(CLOSE, re.sub(MARKS, " ", text.lower()))) if s]
+
+
+# What sentences are looked up in: keys as the normalisation leaves them; a key that it splits is never met and left out.
+KNOWN = {cut(k)[0]: v for k, v in (SENTENCES | PUBLISHED).items() if len(cut(k)) == 1}
+
+ALL_RULES = (
+    *RULES[:2],
+    (("Apache-2-notice", "Apache-2-comply", "Apache-2-obtain", "Apache-2-link", "Apache-2-as-is", "Apache-2-see"), "Apache-2.0"),
+    (("GPL-free", "GPL-terms", "GPL-3-plus", "GPL-hope", "GPL-implied", "GPL-see"), "GPL-3.0-or-later"),
+    (("GPL-free", "GPL-terms", "GPL-2-plus", "GPL-hope", "GPL-implied", "GPL-see"), "GPL-2.0-or-later"),
+    (("GPL-free", "GPL-terms", "GPL-3-plus"), "GPL-3.0-or-later"),
+    (("GPL-free", "GPL-terms", "GPL-2-plus"), "GPL-2.0-or-later"),
+    (("MPL-2-notice", "MPL-2-obtain", "MPL-2-link"), "MPL-2.0"),
+    *RULES[2:],
+)
+
+
 def known(found: Column, table: dict[str, str]) -> Column:
     """Identifiers of the known sentences among ``found``, in order."""
     lookup = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
     return F.transform(F.filter(found, lambda s: s.isin(list(table))), lambda s: F.element_at(lookup, s))
 
 
-def scan(docs: DataFrame, table: dict[str, str] = SENTENCES, rules: tuple = RULES) -> DataFrame:
+def scan(docs: DataFrame, table: dict[str, str] = KNOWN, rules: tuple = ALL_RULES) -> DataFrame:
     """doc_id, n_sentences, n_known, sentence_ids (in order), licenses (in the rules' order, each once), n_unmatched.
 
     ``sentence_ids`` and ``licenses`` are joined by commas. ``n_unmatched`` counts known sentences no rule has used.
