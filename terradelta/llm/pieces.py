@@ -37,7 +37,8 @@ CACHE_CHUNKS = 80_000  # bound of a worker's chunk table; it only saves repeated
 CACHE_SEARCHES = 20_000  # bound of its table of searched chunks
 LONG_CHUNK = 400  # characters; longer chunks are solved one by one
 BLOCK_CHUNKS = 4096
-SCHEMA = "doc_id long, n_pieces long, best_score double, ids_crc32 long, nbest_scores array<double>, nbest_crc32 array<long>, n_chars long, round_trip boolean"
+SCHEMA = "doc_id long, ids array<int>, nbest_scores array<double>, nbest_ids array<array<int>>, n_chars long, round_trip boolean"
+DIGESTS = "doc_id long, n_pieces long, best_score double, ids_crc32 long, nbest_scores array<double>, nbest_crc32 array<long>, n_chars long, round_trip boolean"
 
 
 class PieceModel:
@@ -345,25 +346,66 @@ def model(path: str) -> PieceModel:
     return _MODELS[path]
 
 
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def _id_lists(paths: list[np.ndarray]) -> pa.Array:
+    at = np.cumsum([0, *map(len, paths)])
+    flat = np.concatenate(paths) if paths else np.zeros(0, dtype=np.int64)
+    return pa.ListArray.from_arrays(pa.array(at, type=pa.int32()), pa.array(flat.astype(np.int32)))
+
+
 def segmented(docs: DataFrame, path: str, n: int = N_BEST) -> DataFrame:
-    """Per document: pieces, score and crc32 of the best ids, scores and crc32 of the n best id sequences, and whether
-    every one of them decodes to the text again."""
+    """Per document: the best ids, scores and ids of the n best paths (the best first), the text's characters, and whether
+    every path decodes to the text again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = model(path)
-        crc = lambda ids: zlib.crc32(ids.astype("<u4").tobytes())
         for b in batches:
             for first, raw in text_blocks(b.column(1)):
                 texts = [t.decode() for t in raw]
-                rows = []
-                for t, (ids, scores, paths, others) in zip(raw, lattice.segment(texts, n)):
+                best, scores, paths, same = [], [], [], []
+                for t, (ids, values, ways, others) in zip(raw, lattice.segment(texts, n)):
                     # the other paths differ from the best in the chunks of ``others`` alone
-                    same = lattice.decode(ids) == t and all(lattice.spells(c, other) for c, other in others)
-                    rows.append((len(ids), scores[0], crc(ids), scores, [crc(p) for p in paths], same))
-                cols = list(zip(*rows))
+                    same.append(lattice.decode(ids) == t and all(lattice.spells(c, other) for c, other in others))
+                    best.append(ids.astype(np.int32))
+                    scores.append(values)
+                    paths.append([w.astype(np.int32) for w in ways])
+                at = pa.array(np.cumsum([0, *map(len, paths)]), type=pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(first, len(raw)), pa.array(cols[0], type=pa.int64()), pa.array(cols[1], type=pa.float64()), pa.array(cols[2], type=pa.int64()),
-                     pa.array(cols[3], type=pa.list_(pa.float64())), pa.array(cols[4], type=pa.list_(pa.int64())), pa.array([len(t) for t in texts], type=pa.int64()), pa.array(cols[5])],
-                    names=[c.split()[0] for c in SCHEMA.split(", ")])
+                    [b.column(0).slice(first, len(raw)), _id_lists(best), pa.array(scores, type=pa.list_(pa.float64())),
+                     pa.ListArray.from_arrays(at, _id_lists([w for ways in paths for w in ways])),
+                     pa.array([len(t) for t in texts], type=pa.int64()), pa.array(same)], names=_names(SCHEMA))
 
     return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(run, SCHEMA)
+
+
+def decoded(rows: DataFrame, path: str, column: str = "ids") -> DataFrame:
+    """doc_id, text: ``column`` (ids as :func:`segmented` gives them) as text again; null ids give a null text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = model(path)
+        for b in batches:
+            texts = [None if x.as_py() is None else lattice.decode(np.asarray(x.as_py(), dtype=np.int64)).decode(errors="replace") for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, type=pa.string())], names=["doc_id", "text"])
+
+    return rows.select("doc_id", column).mapInArrow(run, "doc_id long, text string")
+
+
+def digests(rows: DataFrame) -> DataFrame:
+    """Of rows of :func:`segmented`: pieces, score and crc32 of the best ids, scores and crc32 of the n best id sequences."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            doc, scores, nbest, chars, same = b.columns
+            of, ids = nbest.offsets.to_numpy(), nbest.values
+            at, flat = ids.offsets.to_numpy().tolist(), ids.values.to_numpy().astype("<u4")
+            crc = [zlib.crc32(flat[lo:hi].tobytes()) for lo, hi in zip(at, at[1:])]
+            sizes = np.diff(ids.offsets.to_numpy()).astype(np.int64)
+            best = of[:-1].tolist()  # the best path is the first of every row
+            yield pa.RecordBatch.from_arrays(
+                [doc, pa.array(sizes[best], type=pa.int64()), pa.array(scores.values.to_numpy()[best], type=pa.float64()), pa.array([crc[i] for i in best], type=pa.int64()), scores,
+                 pa.ListArray.from_arrays(nbest.offsets, pa.array(crc, type=pa.int64())), chars, same], names=_names(DIGESTS))
+
+    return rows.select("doc_id", "nbest_scores", "nbest_ids", "n_chars", "round_trip").mapInArrow(run, DIGESTS)
