@@ -6,8 +6,9 @@ ordered licence rules: a rule is a run of identifiers; longer and more specific
 match, so that a general rule only sees what is left.
 
 A text is read twice: once with sentences running over line ends up to an empty line (wrapped licence texts) and once with every line end
-closing a sentence (one-line notices below lines without a full stop). The reading with more known sentences counts,
-the first on a tie.
+closing a sentence (one-line notices below lines without a full stop). The rules are matched on both readings, and the
+licences of either count. The identifiers are those of the reading with more known sentences (the first on a tie), then
+those only the other reading has.
 
 Defined cases: null and empty texts have no sentence and no licence; all of a text is read; equal texts get equal
 values; repeated notices give repeated identifiers and each licence once. Only id and text are read. No shuffle: a
@@ -149,19 +150,24 @@ def scan(docs: DataFrame, table: dict[str, str] = KNOWN, rules: tuple = ALL_RULE
     """
     df = docs.select("doc_id", sentences(F.col("text"), False).alias("runs"), sentences(F.col("text"), True).alias("lines"))
     df = df.select("doc_id", F.size("runs").cast("long").alias("n_sentences"), known(F.col("runs"), table).alias("a"), known(F.col("lines"), table).alias("b"))
-    df = df.select("doc_id", "n_sentences", F.when(F.size("b") > F.size("a"), F.col("b")).otherwise(F.col("a")).alias("ids"))
-    left = F.when(F.size("ids") > 0, F.concat(F.lit(";"), F.concat_ws(";;", "ids"), F.lit(";"))).otherwise(F.lit(""))
-    df = df.select("doc_id", "n_sentences", F.size("ids").cast("long").alias("n_known"), F.concat_ws(",", "ids").alias("sentence_ids"), left.alias("left"), F.lit("").alias("hits"))
+    more = F.size("b") > F.size("a")
+    df = df.select("doc_id", "n_sentences", F.when(more, F.col("b")).otherwise(F.col("a")).alias("ids"), F.when(more, F.col("a")).otherwise(F.col("b")).alias("other"))
+    run_of = lambda c: F.when(F.size(c) > 0, F.concat(F.lit(";"), F.concat_ws(";;", c), F.lit(";"))).otherwise(F.lit(""))
+    df = df.withColumn("extra", F.array_except("other", "ids"))
+    both = F.concat("ids", "extra")
+    df = df.select("doc_id", "n_sentences", F.size(both).cast("long").alias("n_known"), F.concat_ws(",", both).alias("sentence_ids"), "extra",
+                   run_of("ids").alias("left"), run_of("other").alias("left_other"), F.lit("").alias("hits"))
 
     def step(frame: DataFrame, rule: tuple) -> DataFrame:
         run = "".join(f";{x};" for x in rule[0])
-        found = F.when(F.contains("left", F.lit(run)), F.concat("hits", F.lit(f"{rule[1]},"))).otherwise(F.col("hits"))
+        found = F.when(F.contains("left", F.lit(run)) | F.contains("left_other", F.lit(run)), F.concat("hits", F.lit(f"{rule[1]},"))).otherwise(F.col("hits"))
         # what the rule has used leaves a bar, so that what stood before and after it is not taken for one run
-        return frame.withColumns({"hits": found, "left": F.replace("left", F.lit(run), F.lit("|"))})
+        return frame.withColumns({"hits": found, "left": F.replace("left", F.lit(run), F.lit("|")), "left_other": F.replace("left_other", F.lit(run), F.lit("|"))})
 
     df = reduce(step, rules, df)
     licenses = F.concat_ws(",", F.array_distinct(F.filter(F.split("hits", ","), lambda s: s != "")))
     unmatched = (F.length("left") - F.length(F.replace("left", F.lit(";"), F.lit("")))) / 2
+    unmatched = unmatched + F.size(F.array_intersect(F.split("left_other", "[;|]+"), "extra"))
     return df.select("doc_id", "n_sentences", "n_known", "sentence_ids", licenses.alias("licenses"), unmatched.cast("long").alias("n_unmatched"))
 
 

@@ -66,3 +66,15 @@ def test_published_texts(spark):
 
 def test_every_published_sentence_is_met():
     assert all(len(licenses.cut(k)) == 1 for k in licenses.PUBLISHED)
+
+
+def test_both_readings_count(spark):
+    gpl3 = GPL2.replace("Foundation;", "Foundation,").replace("version 2", "version 3")
+    texts = ["A line of prose without a full stop\nLicensed under CC BY-NC 4.0.\n\n" + GPL2,
+             "prose\nLicensed under CC BY-NC 4.0.\nprose\nMIT License\nprose\nAll rights reserved\nprose\nReleased under the MIT License\nprose.\n\n"
+             "This work is licensed under the GNU General\nPublic License, version 3.",
+             "prose\nLicensed under CC BY 4.0.\n\n" + gpl3]
+    rows = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert rows[0].licenses == "GPL-2.0-or-later,CC-BY-NC-4.0" and rows[0].sentence_ids.endswith("CC-BY-NC-4-notice") and rows[0].n_unmatched == 0
+    assert set(rows[1].licenses.split(",")) == {"CC-BY-NC-4.0", "MIT", "GPL-3.0-only"} and rows[1].n_unmatched == 2
+    assert rows[2].licenses == "GPL-3.0-or-later,CC-BY-4.0" and rows[2].n_known == len(rows[2].sentence_ids.split(","))
