@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terradelta.llm import alignment, licenses, line_rules, mil, mixing, ngram_trie, parity_join, parsing, pieces, token_bits, toxicity, webp
+from terradelta.llm import alignment, debruijn, licenses, line_rules, mil, mixing, ngram_trie, parity_join, parsing, pieces, token_bits, toxicity, webp
 from terradelta.llm.common import documents
 
 
@@ -60,6 +60,10 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.collocations(documents(spark, sf_dir))
+
+
 def op12_consistent_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsing.edited_fingerprints(documents(spark, sf_dir))
 
@@ -93,5 +97,5 @@ reach AS (SELECT doc_id AS node, doc_id AS found FROM n UNION SELECT r.node, e.b
 SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.id, w.doc_id) AS component_id
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT node, min(found) AS id FROM reach GROUP BY node) c ON c.node = w.doc_id"""
 
-QUERIES = {f.__name__: f for f in (op1_attention_quality, op2_license_scan, op3_ngram_trie, op4_line_cleaning, op5_nbest_pieces, op6_webp_media, op7_parity_join, op8_token_bits, op9_toxicity, op10_source_mix, op12_consistent_parsing, op13_alignment)}
-ORACLES = {"op2_license_scan": licenses.oracle(), "op4_line_cleaning": line_rules.oracle(), "op7_parity_join": JOIN_SQL, "op10_source_mix": MIX_SQL}
+QUERIES = {f.__name__: f for f in (op1_attention_quality, op2_license_scan, op3_ngram_trie, op4_line_cleaning, op5_nbest_pieces, op6_webp_media, op7_parity_join, op8_token_bits, op9_toxicity, op10_source_mix, op11_collocations, op12_consistent_parsing, op13_alignment)}
+ORACLES = {"op2_license_scan": licenses.oracle(), "op4_line_cleaning": line_rules.oracle(), "op7_parity_join": JOIN_SQL, "op10_source_mix": MIX_SQL, "op11_collocations": debruijn.oracle()}
