@@ -15,7 +15,7 @@ Counting is external, by spilled runs:
 * the counts are streamed back over the postings, run by run, as one sum per document, bucket and run, and added up with
   the facts of the run's documents.
 
-Both tokenizers part before a single space between two other characters, so chunks of texts are encoded and aligned
+Both tokenizers part before a single space between two other characters and between a letter and a mark, so chunks of texts are encoded and aligned
 once per worker (in a table of bounded size) and a text's groups are those of its chunks.
 
 Only paths and offsets of runs go through Spark's rows; a task holds a few runs' blocks, or the counts of one bucket as a
@@ -51,9 +51,10 @@ from terradelta.llm.token_bits import _byte_letters, _within
 BUCKETS = 32
 RUN_RECORDS = 3 << 20
 FAN = 256  # heads merged at a time
+MOST_TASKS = 20_000
 HEAD_BLOCK = 4096  # entries of a head decoded at a time
-CACHE_CHUNKS, CACHE_TOKENS = 150_000, 4_000_000  # bounds of a worker's chunk table; it only saves repeated work
-CHUNK = re.compile(r"(?<=\S) (?=\S)")
+CACHE_CHUNKS, CACHE_PAIRS = 200_000, 4_000_000  # bounds of a worker's chunk table; it only saves repeated work
+CHUNK = re.compile(r"(?<=\S)(?= \S)|(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[.,;:!?])")
 HEAD = np.dtype([("pair", "<i8"), ("n", "<i8")])
 TOTAL = np.dtype([("pair", "<i8"), ("n", "<i8"), ("best", "<i8")])
 FACTS = pa.schema([("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups", pa.string())])
@@ -65,6 +66,7 @@ class Aligner:
 
     def __init__(self, encode_a: Callable, bytes_a: list[bytes], encode_b: Callable, bytes_b: list[bytes]):
         self.encode_a, self.bytes_a, self.encode_b, self.bytes_b = encode_a, bytes_a, encode_b, bytes_b
+        self.size_a, self.size_b = np.array([len(x) for x in bytes_a]), np.array([len(x) for x in bytes_b])
         self.clear()
 
     @classmethod
@@ -82,100 +84,125 @@ class Aligner:
             bytes_a[i] = bytes([letter[c] for c in name]) if all(c in letter for c in name) else name.encode()
         sp = sentencepiece.SentencePieceProcessor(model_file=piece_file)
         pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
-        if any("▁" in p.lstrip("▁") for p in pieces):
-            raise ValueError("a piece continues across a space, chunks cannot be encoded apart")
+        if any("▁" in p.lstrip("▁") or "\n" in p or CHUNK.search(p) for p in pieces):
+            raise ValueError("a piece continues across a cut, chunks cannot be encoded apart")
         bytes_b = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
 
+        space, tokenize = "".join(c for c, b in letter.items() if b == 32), a.model.tokenize
+
         def encode_a(chunks: list[str]) -> list[list[int]]:
-            return [e.ids for e in a.encode_batch(chunks, add_special_tokens=False)]
+            """A space and ASCII letters are one word to a byte-level cutting rule; those skip it."""
+            plain = [c[0] == " " and c.isascii() and c[1:].isalpha() for c in chunks]
+            rest = iter(a.encode_batch_fast([c for c, p in zip(chunks, plain) if not p], add_special_tokens=False))
+            return [[t.id for t in tokenize(space + c[1:])] if p else next(rest).ids for c, p in zip(chunks, plain)]
+
+        lead = len(sp.encode("\n"))
 
-        def encode_b(chunks: list[str]) -> list[list[int]]:  # the piece file adds the space itself
-            return sp.encode([c[1:] for c in chunks], num_threads=1)
+        def encode_b(chunks: list[str]) -> list[list[int]]:
+            """The piece file adds the space itself; chunks without one stand behind a line end, which no piece holds."""
+            got = sp.encode([c[1:] if c[0] == " " else "\n" + c for c in chunks], num_threads=1)
+            return [ids if c[0] == " " else ids[lead:] for c, ids in zip(chunks, got)]
 
         return cls(encode_a, bytes_a, encode_b, bytes_b)
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
         self.groups: list[str] = []
-        self.facts: list[tuple[int, int, int, int]] = []  # tokens of A, of B, groups, links; all -1 if bytes differ
-        self.pairs: list[int] = []
-
-    def align(self, chunk: str, a: list[int], b: list[int]) -> tuple[str, tuple[int, int, int, int], list[int]]:
-        raw, bytes_a, bytes_b = chunk.encode(), self.bytes_a, self.bytes_b
-        in_a, in_b = [bytes_a[i] for i in a], [bytes_b[i] for i in b]
-        if b"".join(in_a) != raw or b"".join(in_b) != raw:
-            return "", (-1, -1, -1, -1), []
-        i = j = from_a = from_b = 0
-        end_a, end_b = len(in_a[0]), len(in_b[0])
-        pairs, groups = [], []
-        while True:
-            pairs.append(a[i] << 32 | b[j])
-            if end_a == end_b:
-                i, j = i + 1, j + 1
-                groups.append(",".join(map(str, a[from_a:i])) + "|" + ",".join(map(str, b[from_b:j])))
-                if i == len(a):
-                    break
-                from_a, from_b = i, j
-                end_a, end_b = end_a + len(in_a[i]), end_b + len(in_b[j])
-            elif end_a < end_b:
-                i += 1
-                end_a += len(in_a[i])
-            else:
-                j += 1
-                end_b += len(in_b[j])
-        return ";".join(groups), (len(a), len(b), len(groups), len(pairs)), pairs
+        self.facts = np.zeros((0, 4), dtype=np.int64)  # tokens of A, of B, groups, links; all -1 if bytes differ
+        self.pairs, self.hits = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+    def trim(self) -> None:
+        """Forget the chunks met less than twice since the last time; all if that is not half of them."""
+        keep = np.flatnonzero(self.hits > 1)
+        if 2 * len(keep) > CACHE_CHUNKS:
+            return self.clear()
+        links = np.maximum(self.facts[:, 3], 0)
+        first, n, names = np.cumsum(links) - links, links[keep], list(self.at)
+        self.pairs = self.pairs[np.repeat(first[keep], n) + _within(n)]
+        self.facts, self.hits = self.facts[keep], np.zeros(len(keep), dtype=np.int64)
+        self.groups = [self.groups[i] for i in keep.tolist()]
+        self.at = {names[i]: k for k, i in enumerate(keep.tolist())}
+
+    def align(self, chunks: list[str], a: list[list[int]], b: list[list[int]]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Groups as text, facts and linked pairs of chunks one after the other, from token ends over all their bytes."""
+        n_a, n_b = np.array([len(x) for x in a], dtype=np.int64), np.array([len(x) for x in b], dtype=np.int64)
+        a, b = np.array(list(itertools.chain.from_iterable(a)), dtype=np.int64), np.array(list(itertools.chain.from_iterable(b)), dtype=np.int64)
+        end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        size = np.array([len(c.encode()) for c in chunks], dtype=np.int64)
+        done = np.cumsum(size)
+        start_a, start_b = end_a - self.size_a[a], end_b - self.size_b[b]
+        end = np.intersect1d(end_a, end_b, assume_unique=True)
+        # pairs: from the first B token that ends behind an A token's start to the last that starts before its end
+        lo, hi = np.searchsorted(end_b, start_a, side="right"), np.searchsorted(start_b, end_a)
+        k = hi - lo
+        pairs = np.repeat(a, k) << 32 | b[np.repeat(lo, k) + _within(k)]
+        links = np.bincount(np.repeat(np.repeat(np.arange(len(chunks)), n_a), k), minlength=len(chunks))
+        groups = np.diff(np.searchsorted(end, done, side="right"), prepend=0)
+        # each group's A tokens, then its B tokens, with the mark that follows each
+        group_a, group_b = np.searchsorted(end, end_a), np.searchsorted(end, end_b)
+        last_a, last_b = end[group_a] == end_a, end[group_b] == end_b
+        closing = np.isin(end_b, done)
+        shape = np.concatenate((last_a.astype(np.int64), 2 + last_b + closing))
+        order = np.argsort(np.concatenate((2 * group_a, 2 * group_b + 1)), kind="stable")
+        ids, shape = np.concatenate((a, b))[order].tolist(), shape[order].tolist()
+        text = "".join([f"{i}{',|,;#'[x]}" for i, x in zip(ids, shape)])
+        return text.split("#")[:-1], np.stack((n_a, n_b, groups, links), axis=1), pairs
 
     def learn(self, chunks: list[str]) -> None:
-        for c, a, b in zip(chunks, self.encode_a(chunks), self.encode_b(chunks)):
-            text, facts, pairs = self.align(c, a, b)
-            self.at[c] = len(self.groups)
-            self.groups.append(text)
-            self.facts.append(facts)
-            self.pairs += pairs
+        a, b = self.encode_a(chunks), self.encode_b(chunks)
+        bytes_a, bytes_b = self.bytes_a.__getitem__, self.bytes_b.__getitem__
+        good = [i for i, c in enumerate(chunks) if b"".join(map(bytes_a, a[i])) == (raw := c.encode()) and b"".join(map(bytes_b, b[i])) == raw]
+        texts, facts = [""] * len(chunks), np.full((len(chunks), 4), -1, dtype=np.int64)
+        if good:
+            got, facts[good], pairs = self.align([chunks[i] for i in good], [a[i] for i in good], [b[i] for i in good])
+            for i, t in zip(good, got):
+                texts[i] = t
+            self.pairs = np.concatenate((self.pairs, pairs))
+        self.at.update(zip(chunks, range(len(self.at), len(self.at) + len(chunks))))
+        self.groups += texts
+        self.facts = np.concatenate((self.facts, facts))
+        self.hits = np.concatenate((self.hits, np.zeros(len(chunks), dtype=np.int64)))
 
     def texts(self, texts: list[bytes]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Facts (rows x 4) and groups of every text; pair, text number and links of the records of this block."""
-        if len(self.at) > CACHE_CHUNKS or len(self.pairs) > CACHE_TOKENS:
-            self.clear()
+        if len(self.at) > CACHE_CHUNKS or len(self.pairs) > CACHE_PAIRS:
+            self.trim()
         cut = [_chunks(t) for t in texts]
         flat = list(itertools.chain.from_iterable(cut))
         if new := set(flat).difference(self.at):
             self.learn(list(new))
         idx = np.fromiter(map(self.at.__getitem__, flat), dtype=np.int64, count=len(flat))
+        self.hits += np.bincount(idx, minlength=len(self.hits))
         n = np.array([len(c) for c in cut], dtype=np.int64)
         ends = np.cumsum(n)
         row = np.repeat(np.arange(len(texts)), n)
-        table = np.array(self.facts, dtype=np.int64).reshape(-1, 4)
-        facts = np.zeros((len(texts), 4), dtype=np.int64)
-        np.add.at(facts, row, table[idx])
         broken = np.zeros(len(texts), dtype=bool)
-        broken[row[table[idx, 0] < 0]] = True
+        broken[row[self.facts[idx, 0] < 0]] = True
+        before = np.concatenate((np.zeros((1, 4), dtype=np.int64), np.cumsum(self.facts[idx], axis=0)))
+        facts = before[ends] - before[ends - n]
         facts[broken] = 0
-        names = self.groups
-        groups = ["" if x else ";".join([names[i] for i in idx[e - k : e].tolist()]) for x, k, e in zip(broken.tolist(), n.tolist(), ends.tolist())]
+        names = self.groups.__getitem__
+        each = idx.tolist()
+        groups = ["" if x else ";".join(map(names, each[e - k : e])) for x, k, e in zip(broken.tolist(), n.tolist(), ends.tolist())]
         # each chunk of a text once, with the number of its occurrences
         key, times = np.unique((row << 32 | idx)[~broken[row]], return_counts=True)
         row, idx = key >> 32, key & 0xFFFFFFFF
-        links = np.maximum(table[:, 3], 0)
+        links = np.maximum(self.facts[:, 3], 0)
         first = np.cumsum(links) - links
         k = links[idx]
-        pair = np.array(self.pairs, dtype=np.int64)[np.repeat(first[idx], k) + _within(k)]
-        return facts, groups, pair, np.repeat(row, k), np.repeat(times, k)
+        return facts, groups, self.pairs[np.repeat(first[idx], k) + _within(k)], np.repeat(row, k), np.repeat(times, k)
 
 
 def _chunks(text: bytes) -> list[str]:
-    """The text after a space, parted before each single space between two other characters."""
-    if not text:
-        return []
-    first, *rest = CHUNK.split(" " + text.decode())
-    return [first, *[" " + c for c in rest]]
+    """The text after a space, parted before each single space between two other characters and each mark after a letter."""
+    return CHUNK.split(" " + text.decode()) if text else []
 
 
 def summed(pair: np.ndarray, row: np.ndarray, links: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Records in order of pair and row, equal ones added up."""
     names, rank = np.unique(pair, return_inverse=True)
     key = rank << 32 | row
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key = key[order]
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, dtype=np.int64)
     return names[key[first] >> 32], key[first] & 0xFFFFFFFF, np.add.reduceat(links[order], first) if len(first) else links[:0]
@@ -288,6 +315,7 @@ def _blocks(rows: Iterator, dtype: np.dtype, size: int = 1 << 16) -> Iterator[np
 
 def merge_heads(runs: DataFrame, folder: str) -> DataFrame:
     """bucket, path of the bucket's counts: fixed records (pair, documents, highest of its A id), in pair order."""
+    # few small rows stand for much work: the numbers of tasks are given, else they would be put together
     heads = runs.select("bucket", F.struct("path", F.col("head").alias("lo"), F.col("postings").alias("hi")).alias("head"), (F.hash("part", "number") % 1_000_003).alias("group"))
     level, most = 0, runs.select("path").distinct().count()
 
@@ -317,11 +345,12 @@ def merge_heads(runs: DataFrame, folder: str) -> DataFrame:
 
     while most > FAN:  # groups of about FAN / 2 heads, so that hashing keeps them below FAN by far
         most = -(-most * 2 // FAN)
-        groups = heads.groupBy("bucket", F.pmod("group", F.lit(most)).cast("int").alias("group")).agg(F.collect_list("head").alias("heads"))
+        heads = heads.withColumn("group", F.pmod("group", F.lit(most)).cast("int")).repartition(min(MOST_TASKS, BUCKETS * most), "bucket", "group")
+        groups = heads.groupBy("bucket", "group").agg(F.collect_list("head").alias("heads"))
         done = stored(groups.mapInArrow(partial, "bucket int, group int, path string, size long"), "align-merge")
         heads = done.select("bucket", F.struct("path", F.lit(0).cast("long").alias("lo"), F.col("size").alias("hi")).alias("head"), (F.hash("group") % 1_000_003).alias("group"))
         level += 1
-    return stored(heads.groupBy("bucket").agg(F.collect_list("head").alias("heads")).mapInArrow(total, "bucket int, counts string"), "align-counts")
+    return stored(heads.repartition(BUCKETS, "bucket").groupBy("bucket").agg(F.collect_list("head").alias("heads")).mapInArrow(total, "bucket int, counts string"), "align-counts")
 
 
 def align(docs: DataFrame, byte_file: str, piece_file: str) -> DataFrame:
@@ -365,9 +394,10 @@ def align(docs: DataFrame, byte_file: str, piece_file: str) -> DataFrame:
 
     # a third of the records may lie in one bucket: its runs are dealt over tasks by themselves
     work = runs.join(counts, "bucket").select("path", "head", "postings", "done", "counts", "bucket")
-    work = work.repartition("path", "bucket").select("path", "head", "postings", "done", "counts")
+    n = runs.select("path").distinct().count()
+    work = work.repartition(max(1, min(MOST_TASKS, n * BUCKETS // 8)), "path", "bucket").select("path", "head", "postings", "done", "counts")
     sums = work.mapInArrow(back, "path string, sums binary")
-    per_run = sums.groupBy("path").agg(F.collect_list("sums").alias("sums"))  # one list of BUCKETS blobs a run
+    per_run = sums.repartition(max(1, min(MOST_TASKS, n)), "path").groupBy("path").agg(F.collect_list("sums").alias("sums"))  # one list of BUCKETS blobs a run
     return per_run.mapInArrow(finish, SCHEMA)
 
 
