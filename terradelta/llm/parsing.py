@@ -194,7 +194,7 @@ def in_ranges(docs: DataFrame) -> DataFrame:
             rows = b.take(pa.array(at))
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(tail, pa.int32()), *rows.columns], names=["part", "tail", "id", "tie", "text"])
 
-    dealt = rows.mapInArrow(deal, "part int, tail int, id long, tie long, text string").repartition(max(1, len(bounds)), "part")
+    dealt = rows.mapInArrow(deal, "part int, tail int, id long, tie long, text string").repartitionById(max(1, len(bounds)), "part")
     dealt = dealt.sortWithinPartitions("part", "tail", F.desc("id"), F.desc("tie"))
     return dealt.select("part", "tail", F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "text")
 
