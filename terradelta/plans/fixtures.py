@@ -97,6 +97,13 @@ SELECT event_id AS seq, CASE event_type WHEN 'click' THEN 'flood' WHEN 'view' TH
        CASE WHEN k % 3 = 0 THEN NULL ELSE k * 0.01e0 END AS half_deg
 FROM (SELECT event_id, event_type, user_id, ts, {_K} AS k FROM {{events}}) x"""
 
+# Reports around some five hundred places of the globe, both sides of the date line and the far north among them.
+SQL["spread_reports"] = f"""
+SELECT event_id AS seq, CASE event_type WHEN 'click' THEN 'flood' WHEN 'view' THEN 'wildfire' ELSE 'vegetation' END AS hazard,
+       (user_id % 41) * 9e0 - 181e0 + (event_id % 29) * 0.11e0 AS lon, (user_id % 13) * 13e0 - 70e0 + (k % 17) * 0.13e0 AS lat,
+       CAST(ts AS DATE) AS start_date
+FROM (SELECT event_id, event_type, user_id, ts, {_K} AS k FROM {{events}}) x"""
+
 # The title of a document is its first line.
 SQL["articles"] = """
 SELECT doc_id, source AS outlet, lang, split_part(text, chr(10), 1) AS title, DATE '2024-01-01' + CAST(doc_id % 30 AS INT) AS pub_date, text FROM {documents}"""

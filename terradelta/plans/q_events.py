@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from terradelta import constants as K
 from terradelta.functions import text
 from terradelta.operators import cases as C
+from terradelta.operators import clusters
 from terradelta.operators import jobs as J
 from terradelta.operators import merge as MG
 from terradelta.operators import verify as V
@@ -322,6 +323,15 @@ def q_merge(spark, sf):
     return flat(merged(spark, sf)[0]).drop("pos")
 
 
+@book.query("cluster_events", """WITH RECURSIVE p AS (SELECT hazard, lon, lat, start_date, min(seq) AS id FROM spread_reports GROUP BY ALL),
+e AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.hazard = b.hazard AND a.id <> b.id AND abs(a.start_date - b.start_date) <= 10
+  WHERE 2 * 6371.0088e0 * asin(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))) <= 50),
+l(id, cluster) USING KEY (id) AS (SELECT id, id FROM p UNION SELECT e.b, min(l.cluster) FROM l JOIN e ON e.a = l.id JOIN recurring.l o ON o.id = e.b WHERE l.cluster < o.cluster GROUP BY e.b)
+SELECT seq, r.hazard, cluster FROM spread_reports r JOIN p ON p.hazard = r.hazard AND p.lon = r.lon AND p.lat = r.lat AND p.start_date = r.start_date JOIN l ON l.id = p.id""", "spread_reports")
+def q_clusters(spark, sf):
+    return clusters.cluster_events(fixture(spark, sf, "spread_reports"))
+
+
 # Sources of a case when a case is a hazard and start day.
 _CASEKEY = "hazard || '-' || CAST(start_date AS VARCHAR(10))"
 
