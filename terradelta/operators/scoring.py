@@ -13,6 +13,7 @@ from terradelta import constants as K
 from terradelta.functions import physics as P
 from terradelta.operators import grids
 from terradelta.operators import maps as M
+from terradelta.operators.ordinals import ordinals
 
 
 def _all_valid(names) -> Column:
@@ -164,11 +165,16 @@ def baseline_card(spark: SparkSession) -> DataFrame:
         F.array(*[F.lit(t) for t in K.TASKS]).alias("tasks"), F.lit(None).cast("timestamp").alias("created"))
 
 
+def registered(trained: DataFrame) -> DataFrame:
+    """The baseline's card and the trained ones."""
+    return baseline_card(trained.sparkSession).withColumn("is_baseline", F.lit(True)).unionByName(
+        trained.select("model_id", "version", "tasks", "created").withColumn("is_baseline", F.lit(False)))
+
+
 def model_registry(trained: DataFrame) -> DataFrame:
     """Baseline first, then trained cards, newest first; ``position`` numbers the list."""
-    cards = baseline_card(trained.sparkSession).withColumn("is_baseline", F.lit(True)).unionByName(
-        trained.select("model_id", "version", "tasks", "created").withColumn("is_baseline", F.lit(False)))
-    return cards
+    listed = [F.col("is_baseline").desc(), F.col("created").desc_nulls_last(), F.col("model_id"), F.col("version")]
+    return ordinals(registered(trained), listed, name="position")
 
 
 def resolve_model(requests: DataFrame, trained: DataFrame) -> DataFrame:
@@ -178,7 +184,7 @@ def resolve_model(requests: DataFrame, trained: DataFrame) -> DataFrame:
     The best card per task and per name is found on the small card table first, so each request meets at most one row
     per join.
     """
-    per_task = model_registry(trained).withColumn("task", F.explode("tasks"))
+    per_task = registered(trained).withColumn("task", F.explode("tasks"))
     newest = [F.col("is_baseline").asc(), F.col("created").desc_nulls_last(), F.col("model_id"), F.col("version")]
     listed = [F.col("is_baseline").desc(), F.col("created").desc_nulls_last(), F.col("model_id"), F.col("version")]
     first = lambda df, keys, order: df.withColumn(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terradelta import constants as K
 from terradelta.functions import geometry, text
+from terradelta.operators.ordinals import ordinals
 
 CANDIDATE = ("hazard", "lon", "lat", "bbox", "start_date", "end_date", "place", "country", "kind", "source_id", "url", "title",
              "date", "detail")
@@ -162,10 +163,12 @@ def dedup_urls(articles: DataFrame, channel_rank: str, order: str) -> DataFrame:
 
 
 def interleave_hazards(articles: DataFrame, order, per_hazard: int | None = None) -> DataFrame:
-    """Reading order: one flood, one wildfire, one vegetation story in turn; with ``per_hazard`` at most that many of each."""
+    """Reading order: one flood, one wildfire, one vegetation story in turn; with ``per_hazard`` at most that many of each.
+
+    There are three hazards, so stories are numbered by a range sort instead of a window over a hazard.
+    """
     turn = F.array_position(F.array(*[F.lit(h) for h in K.HAZARD_TURNS]), F.col("hazard")).cast("int")
-    w = Window.partitionBy("hazard").orderBy(*order)
-    ranked = articles.withColumn("round", F.row_number().over(w)).withColumn("turn", turn)
+    ranked = ordinals(articles, order, ["hazard"], "round").withColumn("round", F.col("round").cast("int")).withColumn("turn", turn)
     return ranked if per_hazard is None else ranked.where(F.col("round") <= per_hazard)
 
 
