@@ -1,4 +1,4 @@
-"""Benchmark labels, tile statistics and the leakage audit."""
+"""Benchmark labels, tile statistics and duplicate ids."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from terradelta import constants as K
 from terradelta.operators import grids
-from terradelta.operators.scenes import cells_of
 
 
 def mtbs_labels(severity: Column) -> Column:
@@ -108,26 +107,3 @@ def dataset_index(events: DataFrame, stats: DataFrame, dataset: str, version: st
 def audit_duplicates(events: DataFrame, key: str) -> DataFrame:
     """Event ids that appear more than once."""
     return events.groupBy(key).agg(F.count("*").alias("times")).where("times > 1")
-
-
-def audit_leakage(events: DataFrame, key: str, cell_deg: float = 0.05) -> DataFrame:
-    """Events whose box overlaps a box of another split; ``conflict_id`` is the smallest such event id.
-
-    Boxes are cut at the borders of small cells and equal pieces of a split are merged, keeping the smallest id: in a
-    crowded place most pieces fill their cell, so few distinct pieces meet in the join however many events there are.
-    Touching boxes do not overlap.
-    """
-    x, y = F.col("cell.cx") * cell_deg, F.col("cell.cy") * cell_deg
-    pieces = events.select(
-        key, "split", "w", "s", "e", "n", F.explode(cells_of(F.col("w"), F.col("s"), F.col("e"), F.col("n"), cell_deg)).alias("cell")
-    ).select(key, "split", "cell", F.greatest("w", x).alias("pw"), F.greatest("s", y).alias("ps"),
-             F.least("e", x + cell_deg).alias("pe"), F.least("n", y + cell_deg).alias("pn"))
-    shape = ["split", "cell", "pw", "ps", "pe", "pn"]
-    distinct = pieces.groupBy(*shape).agg(F.min(key).alias("first_id"))
-    a, b = distinct.alias("a"), distinct.alias("b")
-    overlap = ((F.col("a.cell") == F.col("b.cell")) & (F.col("a.split") != F.col("b.split"))
-               & (F.col("a.pw") < F.col("b.pe")) & (F.col("b.pw") < F.col("a.pe"))
-               & (F.col("a.ps") < F.col("b.pn")) & (F.col("b.ps") < F.col("a.pn")))
-    clash = a.join(b, overlap).groupBy(*[F.col(f"a.{c}").alias(c) for c in shape]).agg(F.min("b.first_id").alias("conflict_id"))
-    hit = pieces.join(clash, shape).groupBy(key, "split").agg(F.min("conflict_id").alias("conflict_id"))
-    return hit

@@ -10,6 +10,7 @@ from terradelta import constants as K
 from terradelta.operators import evaluate as E
 from terradelta.operators import grids as G
 from terradelta.operators import labels as L
+from terradelta.operators import leakage
 from terradelta.operators import maps as M
 from terradelta.operators import scoring as X
 from terradelta.operators import terrain
@@ -164,12 +165,7 @@ CARDS_CTE = f"""cards AS (SELECT 'm' || p_partkey AS model_id, p_size || '.0' AS
 
 @book.query("model_registry", f"WITH {CARDS_CTE} SELECT CAST(row_number() OVER (ORDER BY base DESC, p_size DESC, model_id, version) AS BIGINT) AS position, model_id, version FROM (SELECT model_id, version, p_size, 0 AS base FROM cards UNION ALL SELECT 'threshold-baseline', '1.1.0', NULL, 1) u".replace("base DESC, p_size DESC", "base DESC, p_size DESC NULLS LAST"))
 def q_registry(spark, sf):
-    from pyspark.sql import Window
-
-    listed = X.model_registry(cards(spark, sf))
-    # The position is a number for the check. Cards are a small dimension.
-    w = Window.orderBy(F.col("is_baseline").desc(), F.col("created").desc_nulls_last(), "model_id", "version")
-    return listed.select(F.row_number().over(w).cast("bigint").alias("position"), "model_id", "version")
+    return X.model_registry(cards(spark, sf)).select("position", "model_id", "version")
 
 
 @book.query("resolve_model", f"""WITH {CARDS_CTE}, rq AS (SELECT request_id, task, CASE request_id % 5 WHEN 0 THEN 'auto' WHEN 1 THEN 'threshold-baseline' WHEN 2 THEN 'm' || (request_id % 300) WHEN 3 THEN 'm' || (request_id % 300) || '-v' || (request_id % 50 + 1) || '.0' ELSE 'nope' END AS model FROM requests),
@@ -323,7 +319,7 @@ def q_dupes(spark, sf):
 
 @book.query("audit_leakage", """SELECT a.event_id, a.split, min(b.event_id) AS conflict_id FROM manifest_events a JOIN manifest_events b ON a.split <> b.split AND a.w < b.e AND b.w < a.e AND a.s < b.n AND b.s < a.n GROUP BY ALL""", "manifest_events")
 def q_leakage(spark, sf):
-    return L.audit_leakage(fixture(spark, sf, "manifest_events"), "event_id")
+    return leakage.audit_leakage(fixture(spark, sf, "manifest_events"), "event_id")
 
 
 # ------------------------------------------------------------------------------------------ evaluation

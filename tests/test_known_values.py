@@ -16,6 +16,7 @@ from terradelta.operators import composite as CO
 from terradelta.operators import evaluate as E
 from terradelta.operators import grids as G
 from terradelta.operators import labels as L
+from terradelta.operators import leakage
 from terradelta.operators import maps as M
 from terradelta.operators import post
 from terradelta.operators import requests as R
@@ -331,7 +332,7 @@ def test_gate_weights(spark):
 
 def test_leakage_audit(spark):
     ev = spark.createDataFrame([(1, "train", 0.0, 0.0, 1.0, 1.0), (2, "test", 0.9, 0.9, 2.0, 2.0), (3, "test", 1.0, 0.0, 2.0, 0.5), (4, "train", 0.2, 0.2, 0.3, 0.3)], "event_id INT, split STRING, w DOUBLE, s DOUBLE, e DOUBLE, n DOUBLE")
-    assert {(r.event_id, r.conflict_id) for r in L.audit_leakage(ev, "event_id").collect()} == {(1, 2), (2, 1)}  # touching boxes do not leak
+    assert {(r.event_id, r.conflict_id) for r in leakage.audit_leakage(ev, "event_id").collect()} == {(1, 2), (2, 1)}  # touching boxes do not leak
 
 
 ARTICLE = ("Marwick cut off", "The river Tolme left its bed on Sunday 12 April 2026 and put the lower streets of Marwick, a port in the Eastvale district of Norland, under "
