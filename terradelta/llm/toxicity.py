@@ -4,13 +4,16 @@ Features of a text: densities of a lexicon (words, and word beginnings of ``STEM
 lexicon hits near a second-person pronoun, capitals, punctuation, and obfuscation (digits and marks inside words, masked
 letters, stretched letters, hits that only show after undoing such spelling).
 
-The lexicon, the trees and the calibration are learnt on disjoint parts of at most ``SAMPLE`` labelled documents (the
-first in the order of a hash of their id, outside the held-out fold): terms that mark toxic documents on the first part,
-trees on the second, calibration on the third. Terms are counted by Spark; only the lexicon (at most ``TERMS`` rows)
-reaches the driver. Scoring is one pass over the documents without a shuffle.
-
-Defined cases: null and empty texts have zero features and get the score of such a text; conflicting labels of one
-document count as the lower; without both labels in a part every score is the share of toxic labels (0 without labels).
+All is learnt from at most ``SAMPLE`` labelled documents (the first in the order of a hash of their id, outside the
+held-out fold), in ``PARTS`` parts: a part's features come from the lexicon of the other parts, so the trees see hits as new
+texts have them, and the calibration is learnt from every part's scores by trees of the other parts. The scoring lexicon
+and trees are then learnt from all parts. Terms are counted by Spark; only the lexicon (at most ``TERMS`` rows) reaches the
+driver. Scoring is one pass over the documents without a shuffle.
+
+Defined cases: null and empty texts have zero features and get the score of such a text; texts are read whole, whatever
+their length; repeated rows get equal scores; conflicting labels of one document count as the lower; where the other parts
+of a part do not have both labels, every score is the share of toxic labels (0 without labels); an empty table gives no row.
+Only id and text are read, other columns may have any name.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ from terradelta.llm.common import crc_fold, joined, stored, text_blocks, word_ha
 from terradelta.llm.mil import training_ids
 
 SAMPLE = 20_000
+PARTS = 3
 TERMS = 400
 STEM = 5
 FOLDS, HELD = 4, 2
@@ -220,19 +224,28 @@ class ToxicityModel:
 def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held: int = HELD, sample: int = SAMPLE, trees: int = 40) -> ToxicityModel:
     ids = training_ids(docs, labels, "toxic", folds, held, sample)
     chosen = docs.select(docs["doc_id"].cast("long"), "text").join(F.broadcast(ids), "doc_id").select("doc_id", F.col("y").cast("long").alias("y"), "text")
-    part = F.pmod(F.xxhash64(F.concat(F.lit("part"), F.col("doc_id").cast("string"))), F.lit(20))
+    part = F.pmod(F.xxhash64(F.concat(F.lit("part"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), F.lit(PARTS))
     chosen = stored(chosen.withColumn("part", part), "toxic-sample")
-    model = ToxicityModel(Lexicon(learn_lexicon(chosen.where("part < 9"))))
-    held_rows = stored(model.rows(chosen.where("part >= 9"), "doc_id", "y", "part"), "toxic-features")
-    n, bad = held_rows.agg(F.count("*"), F.sum("y")).first()
-    tree_rows, own_rows = held_rows.where("part < 16"), held_rows.where("part >= 16")
-    if min(tree_rows.select("y").distinct().count(), own_rows.select("y").distinct().count()) < 2:
-        model.rate = (bad or 0) / n if n else 0.0
+    n, bad = chosen.agg(F.count("*"), F.sum("y")).first()
+    per = {(r["part"], r["y"]) for r in chosen.select("part", "y").distinct().collect()}
+    model = ToxicityModel(Lexicon({}), rate=(bad or 0) / n if n else 0.0)
+    if any({y for p, y in per if p != k} != {0, 1} for k in range(PARTS)):
         return model
-    gbt = GBTClassifier(featuresCol="features", labelCol="y", maxIter=trees, maxDepth=4, stepSize=0.15, subsamplingRate=1.0, seed=5, maxBins=32, minInstancesPerNode=5, cacheNodeIds=False)
-    model.trees = gbt.fit(tree_rows.coalesce(2))
+    # features of a part by the lexicon of the others, scores of a part by the trees of the others
+    rows = None
+    for k in range(PARTS):
+        own = ToxicityModel(Lexicon(learn_lexicon(chosen.where(F.col("part") != k)))).rows(chosen.where(F.col("part") == k), "doc_id", "y", "part")
+        rows = own if rows is None else rows.unionByName(own)
+    rows = stored(rows, "toxic-features")
+    gbt = GBTClassifier(featuresCol="features", labelCol="y", maxIter=trees, maxDepth=3, stepSize=0.1, subsamplingRate=1.0, seed=5, maxBins=32, minInstancesPerNode=5, cacheNodeIds=False)
+    raw = None
+    for k in range(PARTS):
+        model.trees = gbt.fit(rows.where(F.col("part") != k).coalesce(2))
+        own = model.raw(rows.where(F.col("part") == k))
+        raw = own if raw is None else raw.unionByName(own)
     iso = IsotonicRegression(featuresCol="raw", labelCol="y", predictionCol="score")
-    model.calibration = iso.fit(model.raw(own_rows).withColumn("y", F.col("y").cast("double")).coalesce(1))
+    model.calibration = iso.fit(stored(raw.withColumn("y", F.col("y").cast("double")), "toxic-raw").coalesce(1))
+    model.lexicon, model.trees = Lexicon(learn_lexicon(chosen)), gbt.fit(rows.coalesce(2))
     return model
 
 

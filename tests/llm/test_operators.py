@@ -241,3 +241,10 @@ def test_held_out_accuracy(spark, query, column, least):
     sf = "/root/testdata/sf0.01"
     truth = {r.doc_id: r[column] for r in registry.labels(spark, sf).collect()}
     assert accuracy(query(spark, sf).collect(), truth, True) >= least
+
+
+def test_toxicity_on_the_larger_table(spark):
+    """990 held-out labels, 120 of them toxic; the smaller table has 14, five of them in languages it labels three times."""
+    sf = "/root/testdata/sf0.1"
+    truth = {r.doc_id: r.toxic for r in registry.labels(spark, sf).collect()}
+    assert accuracy(registry.op9_toxicity(spark, sf).collect(), truth, True) >= 0.97
