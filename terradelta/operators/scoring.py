@@ -102,7 +102,10 @@ Scorer = Callable[[pd.DataFrame, int], pd.DataFrame]
 
 def score_tiles(pixels: DataFrame, grid_size: DataFrame, key: str, scorer: Scorer, columns,
                 tile: int = K.WINDOW_SIZE, stride: int = K.WINDOW_STRIDE, passes: int = 1) -> DataFrame:
-    """Score overlapping windows: one row per (key, window, pixel, pass).
+    """Score overlapping windows: one row per (key, window, pixel), whatever the passes.
+
+    Probabilities are means over the passes, added up pass by pass; the fusion weights are those of the first pass, as they do
+    not depend on what a pass drops.
 
     Every pixel is copied to the windows it lies in (at most four when stride >= tile / 2), by arithmetic on its
     position. A window is one group of at most tile x tile rows: that bound, not the size of a request, limits a task.
@@ -116,24 +119,27 @@ def score_tiles(pixels: DataFrame, grid_size: DataFrame, key: str, scorer: Score
     )
     schema = T.StructType([
         placed.schema[key], T.StructField("win_r", T.IntegerType()), T.StructField("win_c", T.IntegerType()),
-        T.StructField("pass", T.IntegerType()), T.StructField("r", T.IntegerType()), T.StructField("c", T.IntegerType()),
+        T.StructField("r", T.IntegerType()), T.StructField("c", T.IntegerType()),
         *[T.StructField(n, T.DoubleType()) for n in ("p_target", "p_change", "w_s1", "w_s2")],
     ])
 
     def run(window: pd.DataFrame) -> pd.DataFrame:
         window = window.sort_values(["r", "c"], ignore_index=True)
-        ids = window[[key, "win_r", "win_c", "r", "c"]]
-        parts = []
-        for k in range(passes):
-            scored = scorer(window, k)
-            parts.append(pd.concat([ids.assign(**{"pass": k}), scored.reset_index(drop=True)], axis=1))
-        return pd.concat(parts)[[f.name for f in schema.fields]]
+        sums = None
+        for k in range(max(passes, 1)):
+            scored = scorer(window, k).reset_index(drop=True)
+            if sums is None:
+                out, sums = scored, scored[["p_target", "p_change"]]
+            else:
+                sums = sums + scored[["p_target", "p_change"]]
+        out = window[[key, "win_r", "win_c", "r", "c"]].join(out[["w_s1", "w_s2"]]).join(sums / max(passes, 1))
+        return out[[f.name for f in schema.fields]]
 
     return placed.groupBy(key, "win_r", "win_c").applyInPandas(run, schema)
 
 
 def blend_windows(scored: DataFrame, key: str) -> DataFrame:
-    """Average of all windows and passes that saw a pixel: Monte-Carlo mean and overlap blend in one aggregate."""
+    """Average of all windows that saw a pixel."""
     avg = {"p_target": "target", "p_change": "change", "w_s1": "w_s1", "w_s2": "w_s2"}
     return scored.groupBy(key, "r", "c").agg(*[F.avg(a).alias(b) for a, b in avg.items()])
 

@@ -67,13 +67,13 @@ TILE, STRIDE = 16, 12
 
 
 def contrast_scorer(window: pd.DataFrame, k: int) -> pd.DataFrame:
-    """A stand-in model: SAR darkness against the window's mean; each pass shifts the threshold a little."""
+    """A stand-in model: SAR darkness against the window's mean; each pass shifts the threshold and the weights a little."""
     vv = window["s1_post_vv"].fillna(-9.0)
     nir = window["s2_post_b08"].fillna(0.3)
     z = (vv.mean() - vv) / 2 - 0.1 * k
     p = 1 / (1 + (-z).map(math.exp))
     seen = window["s1_post_vv"].notna()
-    return pd.DataFrame({"p_target": p, "p_change": (0.5 * p + nir).clip(0, 1), "w_s1": seen * 0.6, "w_s2": 1 - seen * 0.6})
+    return pd.DataFrame({"p_target": p, "p_change": (0.5 * p + nir).clip(0, 1), "w_s1": seen * (0.6 - 0.2 * k), "w_s2": 1 - seen * (0.6 - 0.2 * k)})
 
 
 def grid_sizes(px: DataFrame) -> DataFrame:
@@ -93,15 +93,16 @@ SCORED = f"""gs AS (SELECT request_id, max(c) + 1 AS width, max(r) + 1 AS height
   pw AS (SELECT p.*, wr.o AS win_r, wc.o AS win_c, coalesce(s1_post_vv, -9e0) AS vv, coalesce(s2_post_b08, 0.3e0) AS nir FROM pix p JOIN wr ON wr.request_id = p.request_id AND p.r >= wr.o AND p.r < wr.o + {TILE}
          JOIN wc ON wc.request_id = p.request_id AND p.c >= wc.o AND p.c < wc.o + {TILE}),
   pm AS (SELECT *, avg(vv) OVER (PARTITION BY request_id, win_r, win_c) AS m FROM pw),
-  ps AS (SELECT pm.*, k.pass, 1 / (1 + exp(-((m - vv) / 2 - 0.1e0 * k.pass))) AS p_target, CASE WHEN s1_post_vv IS NOT NULL THEN 0.6e0 ELSE 0e0 END AS w_s1 FROM pm, (VALUES (0), (1)) k(pass)),
-  sc AS (SELECT request_id, win_r, win_c, pass, r, c, p_target, greatest(least(0.5e0 * p_target + nir, 1e0), 0e0) AS p_change, w_s1, 1 - w_s1 AS w_s2 FROM ps),
+  ps AS (SELECT pm.*, k.pass, 1 / (1 + exp(-((m - vv) / 2 - 0.1e0 * k.pass))) AS p_target, CASE WHEN s1_post_vv IS NOT NULL THEN 0.6e0 - 0.2e0 * k.pass ELSE 0e0 END AS w_s1 FROM pm, (VALUES (0), (1)) k(pass)),
+  sc AS (SELECT request_id, win_r, win_c, r, c, avg(p_target) AS p_target, avg(greatest(least(0.5e0 * p_target + nir, 1e0), 0e0)) AS p_change,
+         max(w_s1) FILTER (WHERE pass = 0) AS w_s1, max(1 - w_s1) FILTER (WHERE pass = 0) AS w_s2 FROM ps GROUP BY request_id, win_r, win_c, r, c),
   bl AS (SELECT request_id, r, c, avg(p_target) AS target, avg(p_change) AS change, avg(w_s1) AS w_s1, avg(w_s2) AS w_s2 FROM sc GROUP BY ALL),
   fin AS (SELECT bl.request_id, bl.r, bl.c, o.observed, CASE WHEN observed THEN target END AS target, CASE WHEN observed THEN change END AS change, w_s1, w_s2
           FROM bl JOIN (SELECT request_id, r, c, {_valid('s1', 'post')} OR {_valid('s2', 'post')} AS observed FROM pix) o USING (request_id, r, c))"""
 _SC = ("p_target", "p_change", "w_s1", "w_s2")
 
 
-@book.query("score_tiles", f"WITH {SCORED} SELECT request_id, CAST(win_r AS INTEGER) AS win_r, CAST(win_c AS INTEGER) AS win_c, pass, r, c, {r6(*_SC)} FROM sc", "pix")
+@book.query("score_tiles", f"WITH {SCORED} SELECT request_id, CAST(win_r AS INTEGER) AS win_r, CAST(win_c AS INTEGER) AS win_c, r, c, {r6(*_SC)} FROM sc", "pix")
 def q_score(spark, sf):
     return rounded(scored(spark, sf))
 
