@@ -260,6 +260,19 @@ class PieceModel:
     def segment(self, texts: list[str], n: int) -> Iterator[tuple[np.ndarray, list[float], list[np.ndarray], list[tuple[str, tuple]]]]:
         """Of every text (with a space put before it): best ids, the scores of the n best paths, their ids, and what other
         ids they have for which chunks."""
+        for ids, scores, edits in self.edited(texts, n):
+            paths = []
+            for moved in edits:
+                parts, at = [], 0
+                for start, size, other, _ in moved:
+                    parts += [ids[at:start], np.array(other, dtype=np.int64)]
+                    at = start + size
+                paths.append(np.concatenate([*parts, ids[at:]]) if parts else ids)
+            yield ids, scores, paths, [(chunk, other) for moved in edits for _, _, other, chunk in moved]
+
+    def edited(self, texts: list[str], n: int) -> Iterator[tuple[np.ndarray, list[float], list[list[tuple[int, int, tuple, str]]]]]:
+        """Of every text: best ids, the scores of the n best paths, and each path as edits of the best ids (first place,
+        number of ids that go, ids that come, their chunk), in order."""
         if len(self.at) > CACHE_CHUNKS:
             self.trim()
         if len(self.found) > CACHE_SEARCHES:
@@ -282,17 +295,12 @@ class PieceModel:
                     self.found[i] = self.nbest(self.chunks[i], n)
                 options.append(self.found[i])
             offsets = np.cumsum(size) - size
-            scores, paths, others = [], [], []
+            scores, edits = [], []
             for total, pick in _combine(options, n):
                 scores.append(top + total)
                 moved = sorted((int(places[k]), options[k][j][1]) for k, j in enumerate(pick) if j)
-                parts, at = [], 0
-                for place, other in moved:
-                    parts += [ids[at : offsets[place]], np.array(other, dtype=np.int64)]
-                    others.append((cs[place], other))
-                    at = offsets[place] + size[place]
-                paths.append(np.concatenate([*parts, ids[at:]]) if parts else ids)
-            yield ids, scores, paths, others
+                edits.append([(int(offsets[place]), int(size[place]), other, cs[place]) for place, other in moved])
+            yield ids, scores, edits
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text of ids, without the space put before it."""
@@ -381,6 +389,59 @@ def segmented(docs: DataFrame, path: str, n: int = N_BEST) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(run, SCHEMA)
 
 
+EDITS = "doc_id long, ids array<int>, nbest_scores array<double>, nbest_edits array<array<struct<at: int, size: int, ids: array<int>>>>, n_chars long, round_trip boolean"
+
+
+def segmented_edits(docs: DataFrame, path: str, n: int = N_BEST) -> DataFrame:
+    """As :func:`segmented`, the n best paths as edits of the best ids (the first has none): a long text's paths differ in a
+    few ids only."""
+    kind = pa.list_(pa.list_(pa.struct([("at", pa.int32()), ("size", pa.int32()), ("ids", pa.list_(pa.int32()))])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = model(path)
+        for b in batches:
+            for first, raw in text_blocks(b.column(1)):
+                texts = [t.decode() for t in raw]
+                best, scores, edits, same = [], [], [], []
+                for t, (ids, values, moves) in zip(raw, lattice.edited(texts, n)):
+                    same.append(lattice.decode(ids) == t and all(lattice.spells(c, other) for moved in moves for _, _, other, c in moved))
+                    best.append(ids)
+                    scores.append(values)
+                    edits.append([[{"at": at, "size": size, "ids": other} for at, size, other, _ in moved] for moved in moves])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(raw)), _id_lists(best), pa.array(scores, type=pa.list_(pa.float64())), pa.array(edits, type=kind),
+                                                  pa.array([len(t) for t in texts], type=pa.int64()), pa.array(same)], names=_edit_names())
+
+    return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(run, EDITS)
+
+
+def _edit_names() -> list[str]:
+    return ["doc_id", "ids", "nbest_scores", "nbest_edits", "n_chars", "round_trip"]
+
+
+def edit_digests(rows: DataFrame) -> DataFrame:
+    """:func:`digests` of rows of :func:`segmented_edits`: the paths' ids are put together one document at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            doc, ids, scores, edits, chars, same = b.columns
+            at, flat = ids.offsets.to_numpy().tolist(), memoryview(ids.values.to_numpy().astype("<u4").tobytes())
+            crc = []
+            for lo, hi, paths in zip(at, at[1:], edits.to_pylist()):
+                whole, own = flat[4 * lo : 4 * hi], []
+                for moved in paths:
+                    value, done = 0, 0
+                    for e in moved:
+                        value = zlib.crc32(np.array(e["ids"], dtype="<u4").tobytes(), zlib.crc32(whole[4 * done : 4 * e["at"]], value))
+                        done = e["at"] + e["size"]
+                    own.append(zlib.crc32(whole[4 * done :], value))
+                crc.append(own)
+            sizes = pa.array(np.diff(ids.offsets.to_numpy()).astype(np.int64))
+            top = pa.array([x[0] for x in scores.to_pylist()], type=pa.float64())
+            yield pa.RecordBatch.from_arrays([doc, sizes, top, pa.array([x[0] for x in crc], type=pa.int64()), scores, pa.array(crc, type=pa.list_(pa.int64())), chars, same], names=_names(DIGESTS))
+
+    return rows.select(*_edit_names()).mapInArrow(run, DIGESTS)
+
+
 def decoded(rows: DataFrame, path: str, column: str = "ids") -> DataFrame:
     """doc_id, text: ``column`` (ids as :func:`segmented` gives them) as text again; null ids give a null text."""
 

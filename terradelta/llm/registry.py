@@ -36,7 +36,7 @@ def op4_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.digests(pieces.segmented(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model")))
+    return pieces.edit_digests(pieces.segmented_edits(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model")))
 
 
 def op6_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:

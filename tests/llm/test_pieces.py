@@ -29,3 +29,10 @@ def test_ids_leave_the_operator(spark, docs, nothing):
     assert pieces.decoded(pieces.segmented(nothing, path), path).count() == 0 and pieces.digests(pieces.segmented(nothing, path)).count() == 0
     last = corpus_pipeline.piece_encoding(spark, docs, "")
     assert {"ids", "nbest_ids", "nbest_scores"} <= set(last.columns)
+
+
+def test_edits_give_the_same_digests(docs, odd, nothing):
+    path = registry.tokenizer_path("piece_bpe_32k.model")
+    want = sorted(map(tuple, pieces.digests(pieces.segmented(docs, path)).collect()), key=repr)
+    assert sorted(map(tuple, pieces.edit_digests(pieces.segmented_edits(odd, path)).collect()), key=repr) == want
+    assert pieces.edit_digests(pieces.segmented_edits(nothing, path)).count() == 0
