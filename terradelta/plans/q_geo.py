@@ -116,10 +116,11 @@ def q_bounds(spark, sf):
     return df.select("request_id", geometry.bounds(F.col("p")).alias("b")).select("request_id", "b.*")
 
 
-@book.query("bbox_of", f"""WITH {AOI_CTE} SELECT request_id, CAST(w AS DOUBLE) AS w, CAST(s AS DOUBLE) AS s, CAST(e AS DOUBLE) AS e, CAST(n AS DOUBLE) AS n,
-  CAST(w AS DOUBLE) AS wkt_w, CAST(n AS DOUBLE) AS wkt_n FROM aj WHERE kind < 4""", "requests")
+@book.query("bbox_of", f"""WITH {AOI_CTE} SELECT request_id, CAST(CASE kind WHEN 4 THEN 1 ELSE least(w, e) END AS DOUBLE) AS w, CAST(CASE kind WHEN 4 THEN 2 ELSE s END AS DOUBLE) AS s,
+  CAST(CASE kind WHEN 4 THEN 1 ELSE greatest(w, e) END AS DOUBLE) AS e, CAST(CASE kind WHEN 4 THEN 2 ELSE n END AS DOUBLE) AS n, CAST(least(w, e) AS DOUBLE) AS wkt_w, CAST(n AS DOUBLE) AS wkt_n FROM aj""", "requests")
 def q_bbox(spark, sf):
-    df = aoi_json(spark, sf).where("kind < 4")
+    """The box of every request's coordinates, whatever holds them: a point is a box without size, a collection has one box."""
+    df = aoi_json(spark, sf)
     wkt = F.concat(F.lit("POLYGON (("), F.concat_ws(", ", *[F.concat_ws(" ", F.col(a).cast("string"), F.col(b).cast("string")) for a, b in ("ws", "es", "en", "wn", "ws")]), F.lit("))"))
     df = df.select("request_id", geometry.bbox_json(F.col("aoi")).alias("b"), geometry.bbox_wkt(wkt).alias("k"))
     return df.select("request_id", "b.*", F.col("k.w").alias("wkt_w"), F.col("k.n").alias("wkt_n"))
