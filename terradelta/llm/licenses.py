@@ -11,8 +11,8 @@ licences of either count. The identifiers are those of the reading with more kno
 those only the other reading has.
 
 Defined cases: null and empty texts have no sentence and no licence; all of a text is read; equal texts get equal
-values; repeated notices give repeated identifiers and each licence once. Only id and text are read. No shuffle: a
-document is scanned in its own row, and the rule tables are literals of the plan.
+values; repeated notices give repeated identifiers and each licence once; repeated rows are scanned each; an empty table
+gives no row. Only id and text are read, other columns may have any name. No shuffle: a document is scanned in its own row, and the rule tables are literals of the plan.
 """
 
 from __future__ import annotations
@@ -37,7 +37,6 @@ SENTENCES = {
     "licensed under the apache license, version 2.0": "Apache-2-notice",
     "licensed under the apache license, version 2.0 (the license)": "Apache-2-notice",
     "you may not use this file except in compliance with the license": "Apache-2-comply",
-    "you may obtain a copy of the license at http: www.apache.org licenses license-2.0": "Apache-2-link",
     "unless required by applicable law or agreed to in writing, software distributed under the license is distributed on an as is basis, without warranties or conditions of any kind, either express or implied": "Apache-2-as-is",
     "see the license for the specific language governing permissions and limitations under the license": "Apache-2-see",
     "this work is licensed under the gnu general public license, version 3": "GPL-3-notice",
@@ -58,7 +57,6 @@ SENTENCES = {
     "this work is licensed under a creative commons attribution 4.0 international license": "CC-BY-4-notice",
     "this work is licensed under a creative commons attribution-sharealike 4.0 international license": "CC-BY-SA-4-notice",
     "this work is licensed under a creative commons attribution-noncommercial 4.0 international license": "CC-BY-NC-4-notice",
-    "this source code form is subject to the terms of the mozilla public license, v. 2.0": "MPL-2-notice",
     "all rights reserved": "all-rights",
 }
 
@@ -114,6 +112,24 @@ PUBLISHED = {
     "If a copy of the MPL was not distributed with this file, You can obtain one at http:": "MPL-2-obtain",
     "If a copy of the MPL was not distributed with this file, You can obtain one at https:": "MPL-2-obtain",
     "mozilla.org/MPL/2.0/.": "MPL-2-link",
+    "ISC License": "ISC-title",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.": "ISC-grant",
+    'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.': "ISC-as-is",
+    "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.": "ISC-liability",
+    "This is free and unencumbered software released into the public domain.": "Unlicense-free",
+    "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.": "Unlicense-anyone",
+    "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation;": "LGPL-terms",
+    "either version 2.1 of the License, or (at your option) any later version.": "GNU-2.1-plus",
+    "This library is free software;": "LGPL-free",
+    "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;": "LGPL-hope",
+    "See the GNU Lesser General Public License for more details.": "LGPL-see",
+    "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": "AGPL-3-plus-terms",
+    "See the GNU Affero General Public License for more details.": "AGPL-see",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https:": "EPL-2-notice",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at http:": "EPL-2-notice",
+    "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.": "CC0-dedicated",
+    "This software is distributed without any warranty.": "CC0-no-warranty",
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.': "BSD-as-is",
 }
 
 
@@ -122,8 +138,15 @@ def cut(text: str) -> list[str]:
     return [s for s in (x.strip(" ") for x in re.split(CLOSE, re.sub(MARKS, " ", text.lower()))) if s]
 
 
-# What sentences are looked up in: keys as the normalisation leaves them; a key that it splits is never met and left out.
-KNOWN = {cut(k)[0]: v for k, v in (SENTENCES | PUBLISHED).items() if len(cut(k)) == 1}
+def table_of(entries: dict[str, str]) -> dict[str, str]:
+    """``entries`` with keys as the normalisation leaves them; a key that it splits could never be met and is an error."""
+    split = [k for k in entries if len(cut(k)) != 1]
+    if split:
+        raise ValueError(f"no single sentence after normalisation: {split}")
+    return {cut(k)[0]: v for k, v in entries.items()}
+
+
+KNOWN = table_of(SENTENCES | PUBLISHED)  # what sentences are looked up in
 
 ALL_RULES = (
     *RULES[:2],
@@ -133,6 +156,17 @@ ALL_RULES = (
     (("GPL-free", "GPL-terms", "GPL-3-plus"), "GPL-3.0-or-later"),
     (("GPL-free", "GPL-terms", "GPL-2-plus"), "GPL-2.0-or-later"),
     (("MPL-2-notice", "MPL-2-obtain", "MPL-2-link"), "MPL-2.0"),
+    (("GPL-free", "AGPL-3-plus-terms", "GPL-hope", "GPL-implied", "AGPL-see"), "AGPL-3.0-or-later"),
+    (("GPL-free", "AGPL-3-plus-terms"), "AGPL-3.0-or-later"),
+    (("LGPL-free", "LGPL-terms", "GNU-2.1-plus", "LGPL-hope", "GPL-implied", "LGPL-see"), "LGPL-2.1-or-later"),
+    (("GPL-free", "LGPL-terms", "GPL-3-plus", "GPL-hope", "GPL-implied", "LGPL-see"), "LGPL-3.0-or-later"),
+    (("ISC-title", "ISC-grant", "ISC-as-is", "ISC-liability"), "ISC"),
+    (("ISC-grant", "ISC-as-is", "ISC-liability"), "ISC"),
+    (("Unlicense-free", "Unlicense-anyone"), "Unlicense"),
+    (("CC0-dedicated", "CC0-no-warranty"), "CC0-1.0"),
+    (("EPL-2-notice",), "EPL-2.0"),
+    (("BSD-grant", "BSD-source", "BSD-binary", "BSD-endorse", "BSD-as-is"), "BSD-3-Clause"),
+    (("BSD-grant", "BSD-source", "BSD-binary", "BSD-as-is"), "BSD-2-Clause"),
     *RULES[2:],
 )
 
@@ -171,29 +205,30 @@ def scan(docs: DataFrame, table: dict[str, str] = KNOWN, rules: tuple = ALL_RULE
     return df.select("doc_id", "n_sentences", "n_known", "sentence_ids", licenses.alias("licenses"), unmatched.cast("long").alias("n_unmatched"))
 
 
-def oracle(table: dict[str, str] = SENTENCES, rules: tuple = RULES) -> str:
-    """The scan in the check engine's SQL."""
+def oracle(table: dict[str, str] = KNOWN, rules: tuple = ALL_RULES) -> str:
+    """The scan of both readings in the check engine's SQL."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
     marks = r"""'[ \t\r\n\f*#/"''`\x{201c}\x{201d}\x{2018}\x{2019}]+'"""
     cut = lambda text: (f"list_filter(list_transform(regexp_split_to_array(regexp_replace({text}, {marks}, ' ', 'g'), '{CLOSE}'), "
                         "lambda s: trim(s, ' ')), lambda s: s <> '')")
     rows = ", ".join(f"({q(k)}, {q(v)})" for k, v in table.items())
-    left = "left_"
     steps = []
     for i, (run, name) in enumerate(rules):
-        text = "".join(f";{x};" for x in run)
-        steps.append(f"r{i + 1} AS (SELECT * REPLACE (CASE WHEN contains({left}, {q(text)}) THEN hits || {q(name + ',')} ELSE hits END AS hits, "
-                     f"replace({left}, {q(text)}, '|') AS {left}) FROM r{i})")
+        text = q("".join(f";{x};" for x in run))
+        steps.append(f"r{i + 1} AS (SELECT * REPLACE (CASE WHEN contains(left_, {text}) OR contains(left_other, {text}) THEN hits || {q(name + ',')} ELSE hits END AS hits, "
+                     f"replace(left_, {text}, '|') AS left_, replace(left_other, {text}, '|') AS left_other) FROM r{i})")
+    run_of = lambda c: f"CASE WHEN len({c}) > 0 THEN ';' || array_to_string({c}, ';;') || ';' ELSE '' END"
     return f"""WITH known(k, id) AS (VALUES {rows}),
 low AS (SELECT row_number() OVER () AS r, doc_id, lower(coalesce(text, '')) AS t FROM documents),
 cuts AS (SELECT r, doc_id, {cut(f"regexp_replace(t, '{EMPTY_LINE}', '. ', 'g')")} AS runs, {cut("regexp_replace(t, '[' || chr(13) || chr(10) || ']+', '. ', 'g')")} AS lines FROM low),
-hit_a AS (SELECT r, list(id ORDER BY i) AS ids FROM (SELECT r, unnest(runs) AS s, generate_subscripts(runs, 1) AS i FROM cuts) JOIN known ON s = k GROUP BY r),
-hit_b AS (SELECT r, list(id ORDER BY i) AS ids FROM (SELECT r, unnest(lines) AS s, generate_subscripts(lines, 1) AS i FROM cuts) JOIN known ON s = k GROUP BY r),
-best AS (SELECT c.doc_id, len(runs)::BIGINT AS n_sentences, CASE WHEN coalesce(len(b.ids), 0) > coalesce(len(a.ids), 0) THEN b.ids ELSE coalesce(a.ids, []) END AS ids
-  FROM cuts c LEFT JOIN hit_a a USING (r) LEFT JOIN hit_b b USING (r)),
-r0 AS (SELECT doc_id, n_sentences, len(ids)::BIGINT AS n_known, array_to_string(ids, ',') AS sentence_ids,
-  CASE WHEN len(ids) > 0 THEN ';' || array_to_string(ids, ';;') || ';' ELSE '' END AS {left}, '' AS hits FROM best),
-{", ".join(steps)}
-SELECT doc_id, n_sentences, n_known, sentence_ids,
-  array_to_string(list_transform(list_filter(list_zip(string_split(hits, ','), range(len(string_split(hits, ',')))), lambda x: x[1] <> '' AND list_position(string_split(hits, ','), x[1]) = x[2] + 1), lambda x: x[1]), ',') AS licenses,
-  ((length({left}) - length(replace({left}, ';', ''))) // 2)::BIGINT AS n_unmatched FROM r{len(rules)}"""
+hit_a AS (SELECT r, list(id ORDER BY i) AS a FROM (SELECT r, unnest(runs) AS s, generate_subscripts(runs, 1) AS i FROM cuts) JOIN known ON s = k GROUP BY r),
+hit_b AS (SELECT r, list(id ORDER BY i) AS b FROM (SELECT r, unnest(lines) AS s, generate_subscripts(lines, 1) AS i FROM cuts) JOIN known ON s = k GROUP BY r),
+met AS (SELECT doc_id, len(runs)::BIGINT AS n_sentences, coalesce(a, []) AS a, coalesce(b, []) AS b FROM cuts LEFT JOIN hit_a USING (r) LEFT JOIN hit_b USING (r)),
+best AS (SELECT doc_id, n_sentences, CASE WHEN len(b) > len(a) THEN b ELSE a END AS ids, CASE WHEN len(b) > len(a) THEN a ELSE b END AS other FROM met),
+more AS (SELECT *, list_filter(other, lambda x, i: NOT list_contains(ids, x) AND list_position(other, x) = i) AS extra FROM best),
+r0 AS (SELECT doc_id, n_sentences, (len(ids) + len(extra))::BIGINT AS n_known, array_to_string(ids || extra, ',') AS sentence_ids, extra,
+  {run_of('ids')} AS left_, {run_of('other')} AS left_other, '' AS hits FROM more),
+{", ".join(steps)},
+named AS (SELECT *, string_split(hits, ',') AS names, regexp_split_to_array(left_other, '[;|]+') AS rest FROM r{len(rules)})
+SELECT doc_id, n_sentences, n_known, sentence_ids, array_to_string(list_filter(names, lambda x, i: x <> '' AND list_position(names, x) = i), ',') AS licenses,
+  ((length(left_) - length(replace(left_, ';', ''))) // 2 + len(list_filter(extra, lambda x: list_contains(rest, x))))::BIGINT AS n_unmatched FROM named"""
