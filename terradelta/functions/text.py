@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,10 +12,20 @@ from terradelta import constants as K
 
 # White space as Unicode defines it, for engines whose \s is ASCII only.
 SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+# The same, one by one, but for the blank.
+SPACES = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 NOT_WORD = r"[^\p{L}\p{N}_]+"
 MARKUP = "[*_`#>\"\u201c\u201d\u2018\u2019']"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once a row, however often ``use`` names it, also in a lambda over an array.
+
+    A column made a layer below is put back into a lambda by the optimiser and then computed for every element; a bound variable is not.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _accent_table() -> tuple[str, str]:
     """Accented Latin letters and the single letters they decompose to."""
     src, dst = [], []
@@ -44,7 +55,8 @@ def title_key(title: Column) -> Column:
 
 
 def norm_text(s: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(s, MARKUP, ""), SPACE, " ")))
+    """Without markup and quotes, white space as single blanks, lower case: one pass for the characters, one for runs of blanks."""
+    return F.lower(F.trim(F.regexp_replace(F.translate(s, SPACES + MARKUP[1:-1], " " * len(SPACES)), " {2,}", " ")))
 
 
 def is_speculative(s: Column) -> Column:
@@ -81,8 +93,11 @@ def page_text(html: Column) -> Column:
 
     Scripts, styles, comments, images and menus go; links keep their words; blank lines collapse.
     """
-    clean = F.regexp_replace(html, DROPPED, "")
-    article, main = _readable(_element(clean, "article")), _readable(_element(clean, "main"))
-    picked = (F.when(F.length(article) > K.MIN_SELECTED_CHARS, article)
-              .when(F.length(main) > K.MIN_SELECTED_CHARS, main).otherwise(_readable(clean)))
-    return F.regexp_replace(picked, r"^[\s]+|[\s]+$", "")
+    def long_enough(element: Column, otherwise: Column) -> Column:
+        return once(element, lambda t: F.when(F.length(t) > K.MIN_SELECTED_CHARS, t).otherwise(otherwise))
+
+    def pick(clean: Column) -> Column:
+        main = long_enough(_readable(_element(clean, "main")), _readable(clean))
+        return F.regexp_replace(long_enough(_readable(_element(clean, "article")), main), r"^[\s]+|[\s]+$", "")
+
+    return once(F.regexp_replace(html, DROPPED, ""), pick)

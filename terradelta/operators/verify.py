@@ -19,11 +19,9 @@ def parse_extraction(raw: Column) -> Column:
 
 def verify_quotes(evidence: Column, body: Column) -> Column:
     """Quotes longer than 20 characters that stand word for word in the normalised ``body`` (final dots ignored)."""
-    def real(q):
-        n = text.norm_text(q)
-        return (F.length(n) > K.MIN_QUOTE_CHARS) & F.contains(body, F.regexp_replace(n, r"\.+$", ""))
-
-    return F.filter(F.coalesce(evidence, F.array().cast("array<string>")), real)
+    quotes = F.coalesce(evidence, F.array().cast("array<string>"))
+    real = lambda n, b: (F.length(n) > K.MIN_QUOTE_CHARS) & F.contains(b, F.regexp_replace(n, r"\.+$", ""))
+    return text.once(body, lambda b: F.filter(quotes, lambda q: text.once(text.norm_text(q), lambda n: real(n, b))))
 
 
 def drop_speculative(quotes: Column) -> Column:
@@ -32,22 +30,30 @@ def drop_speculative(quotes: Column) -> Column:
 
 def verify_places(locations: Column, support: Column) -> Column:
     """Locations whose place occurs in the normalised title and factual quotes."""
-    def named(loc):
+    def named(loc, support):
         return F.coalesce((loc["place"] != "") & F.contains(support, text.norm_text(loc["place"])), F.lit(False))
 
-    return F.filter(locations, named)
+    return text.once(support, lambda s: F.filter(locations, lambda loc: named(loc, s)))
+
+
+def read_pages(pages: DataFrame, *keep: str, min_chars: int = K.MIN_ARTICLE_CHARS) -> DataFrame:
+    """``keep`` and the story ``text`` of pages ``(html, ...)`` whose story has at least ``min_chars`` characters.
+
+    The story leaves a generator, so that a filter on it is not moved below and the page read a second time.
+    """
+    story = F.filter(F.array(text.page_text(F.col("html"))), lambda t: F.length(t) >= min_chars)
+    return pages.select(*keep, F.explode(story).alias("text"))
 
 
 def verify(df: DataFrame) -> DataFrame:
     """Judge extractions ``(title, text, pub_date, x STRUCT)``: adds quotes, facts, places, verdict, reason, dates.
 
-    Each step is its own layer, so the long normalised text is built once per article. The whole text is searched.
+    The whole text is searched; an article and its support are normalised once, however many quotes and places there are.
     """
-    df = df.withColumn("__body", text.norm_text(F.concat_ws(" ", "title", "text")))
-    df = df.withColumn("quotes", verify_quotes(F.col("x.evidence"), F.col("__body"))).drop("__body")
+    df = df.withColumn("quotes", verify_quotes(F.col("x.evidence"), text.norm_text(F.concat_ws(" ", "title", "text"))))
     df = df.withColumn("facts", drop_speculative(F.col("quotes")))
-    df = df.withColumn("__support", text.norm_text(F.concat_ws(" ", F.concat(F.array("title"), F.col("facts")))))
-    df = df.withColumn("places", verify_places(F.col("x.locations"), F.col("__support"))).drop("__support")
+    support = text.norm_text(F.concat_ws(" ", F.concat(F.array("title"), F.col("facts"))))
+    df = df.withColumn("places", verify_places(F.col("x.locations"), support))
     reason = (
         F.when(~F.coalesce(F.col("x.hazard").isin(*K.HAZARD_TURNS), F.lit(False)), "not about a mapped hazard")
         .when(~F.coalesce("x.has_happened", F.lit(False)), "not happened (forecast, warning or general story)")

@@ -122,8 +122,7 @@ _ELEM = lambda t: f"array_to_string(regexp_extract_all(clean, '(?is)<{t}\\b[^>]*
   t AS (SELECT page_id, regexp_replace(CASE WHEN length(a) > 500 THEN a WHEN length(m) > 500 THEN m ELSE b END, '^[\\s]+|[\\s]+$', '', 'g') AS text FROM r)
   SELECT page_id, length(text)::INTEGER AS chars, md5(text) AS digest FROM t WHERE length(text) >= 400""")
 def q_news(spark, sf):
-    t = table(spark, sf, "pages").select("page_id", text.page_text(F.col("html")).alias("text"))
-    return t.where(F.length("text") >= K.MIN_ARTICLE_CHARS).select("page_id", F.length("text").alias("chars"), F.md5("text").alias("digest"))
+    return V.read_pages(table(spark, sf, "pages"), "page_id").select("page_id", F.length("text").alias("chars"), F.md5("text").alias("digest"))
 
 
 TITLES = f"t AS (SELECT event_id, user_id, event_type, {_TITLE} AS title FROM (SELECT event_id, user_id, event_type, {_K} AS k FROM {{events}}) x)"
