@@ -54,9 +54,10 @@ def make_grid(df: DataFrame, key: str, box: str = "box", res: str = "res") -> Da
     """Grid of every box struct(w, s, e, n): (key, epsg, res, x0, y0, width, height), edges snapped to the resolution.
 
     Boxes are spread by key before their edges are densified, so the 88 points of a box are made, projected and reduced
-    where the box is: one shuffle, of one row per box.
+    where the box is: one shuffle, of one row per box. It names its number of tasks, as by their bytes these rows would be
+    gathered into few, while the work on them is in computing.
     """
-    df = df.repartition(key)
+    df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
     b = lambda f: F.col(f"{box}.{f}")
     base = df.select(key, box, F.col(res).alias("res"), geo.utm_epsg((b("w") + b("e")) / 2, (b("s") + b("n")) / 2).alias("epsg"))
     steps = base.withColumn("t", F.explode(F.transform(F.sequence(F.lit(0), F.lit(EDGE_POINTS + 1)),
