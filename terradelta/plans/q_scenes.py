@@ -77,7 +77,7 @@ def q_alias(spark, sf):
 # ------------------------------------------------------------------------------------------ selection
 
 def _closest(spark, sf):
-    return S.select_closest(found(spark, sf).where("sensor <> 'dem'"), ["area_id", "sensor"], ["ts", "scene_id"])
+    return S.search_closest(fixture(spark, sf, "scene_catalog"), searches(spark, sf), ["area_id", "sensor"])
 
 
 @book.query("select_closest", f"""WITH {FOUND} SELECT area_id, sensor, period, scene_id, CAST(row_number() OVER (PARTITION BY area_id, sensor, period ORDER BY seq) AS INTEGER) AS scene_rank
@@ -144,8 +144,8 @@ def q_status(spark, sf):
 
 def stacks(spark, sf) -> DataFrame:
     """Scenes found per area, sensor and period; the clear-sky share stands in for the valid fraction."""
-    got = found(spark, sf).where("sensor <> 'dem'").groupBy(F.col("area_id").alias("request_id"), "sensor", "period").agg(
-        F.count("*").alias("scenes"), (1 - F.avg(F.coalesce("cloud", F.lit(0.0))) / 30).alias("valid_fraction"))
+    got = S.search_counts(fixture(spark, sf, "scene_catalog"), searches(spark, sf).where("sensor <> 'dem'")).select(
+        F.col("area_id").alias("request_id"), "sensor", "period", "scenes", (1 - F.col("cloud") / 30).alias("valid_fraction"))
     areas = fixture(spark, sf, "areas").select(
         F.col("area_id").alias("request_id"), F.array(F.lit("s1"), F.lit("s2")).alias("sensors"),
         F.element_at(F.array(*[F.lit(t) for t in K.TASKS]), (F.col("area_id") % 3 + 1).cast("int")).alias("task"))
@@ -182,7 +182,8 @@ def q_feasible(spark, sf):
 @book.query("scene_count_summary", f"WITH {FOUND} SELECT area_id, sensor || '_' || period AS key, count(*) AS scenes FROM found GROUP BY ALL",
             "areas", "scene_catalog")
 def q_scene_counts(spark, sf):
-    return found(spark, sf).groupBy("area_id", F.concat_ws("_", "sensor", "period").alias("key")).agg(F.count("*").alias("scenes"))
+    counts = S.search_counts(fixture(spark, sf, "scene_catalog"), searches(spark, sf))
+    return counts.select("area_id", F.concat_ws("_", "sensor", "period").alias("key"), "scenes")
 
 
 # ------------------------------------------------------------------------------------------ masks and composites
