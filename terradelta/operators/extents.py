@@ -72,7 +72,7 @@ def _join_low(edges: DataFrame, key: str, low: DataFrame, salts: int) -> DataFra
     """Edges with the value ``low`` has for their node u; the edges of a node with very many are spread over salts."""
     many = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int"))
     few = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return many.join(few, [key, "u", "salt"]).drop("salt")
+    return many.join(few.hint("merge"), [key, "u", "salt"]).drop("salt")  # copies, which the planner does not count
 
 
 def join_labels(edges: DataFrame, key: str, salts: int = 8) -> DataFrame:

@@ -44,7 +44,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def persist_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once below the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write ``df`` once below the shared folder and read it back: cuts lineage and survives lost executors.
+
+    Joins with the table, or with rows listed from it, merge: the planner knows the packed files' size only, so that it would
+    broadcast tables that are a hundred times larger in memory. A ``broadcast`` hint on top still counts.
+    """
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).hint("merge")

@@ -2,8 +2,13 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
+from terradelta.operators import clusters as CL
+from terradelta.operators import extents as X
 from terradelta.operators import merge as MG
 from terradelta.plans import q_geo
+from terradelta.session import persist_table
 
 
 def plan(df) -> str:
@@ -27,3 +32,12 @@ def test_first_case_joins_points_not_reports(spark):
 def test_layer_does_not_broadcast_pixels(spark, sf):
     top = next(x for x in plan(q_geo.q_layer(spark, sf)).splitlines() if "Join [area_id" in x and "r#" in x)
     assert "SortMergeJoin" in top
+
+
+def test_persisted_tables_are_not_broadcast(spark, sf):
+    """Cells of reports with their neighbours, and labels with their copies per salt."""
+    points = spark.range(50).selectExpr("'flood' AS hazard", "id AS cell", "0L AS y", "id AS x", "0L AS b", "id * 0.2 AS lon", "0.1D AS lat", "1 AS day", "id AS seq")
+    cells = persist_table(CL._boxes(points, [*CL._CELL, "cell"]), "cells")
+    assert "Broadcast" not in plan(CL._neighbours(cells))
+    low = points.selectExpr("hazard", "cell AS u", "seq AS m").groupBy("hazard", "u").agg(F.min("m").alias("m"))
+    assert "Broadcast" not in plan(X._join_low(points.selectExpr("hazard", "cell AS u", "seq AS v"), "hazard", low, 8))
