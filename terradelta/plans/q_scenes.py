@@ -92,7 +92,7 @@ def q_closest(spark, sf):
   SELECT area_id, sensor, period, scene_id, CAST(row_number() OVER (PARTITION BY area_id, sensor, period ORDER BY seq) AS INTEGER) AS scene_rank FROM k""",
             "areas", "scene_catalog")
 def q_spread(spark, sf):
-    return S.select_spread(found(spark, sf).where("sensor <> 'dem'"), ["area_id", "sensor"], ["ts", "scene_id"]).select(
+    return S.search_spread(fixture(spark, sf, "scene_catalog"), searches(spark, sf).where("sensor <> 'dem'")).select(
         "area_id", "sensor", "period", "scene_id", "scene_rank")
 
 

@@ -52,6 +52,12 @@ def test_search_equals_the_plain_list(world, block, monkeypatch):
     assert rows_of(S.search(*world, limit=5).select(*cols)) == rows_of(want.where("seq <= 5"))
 
 
+def test_spread_equals_the_plain_selection(world):
+    cols = ["area_id", "sensor", "period", "scene_id", "scene_rank"]
+    want = S.select_spread(plain(*world), ["area_id", "sensor"], ["ts", "scene_id"]).select(*cols)
+    assert rows_of(S.search_spread(*world).select(*cols)) == rows_of(want)
+
+
 def above_the_last_join(df):
     """The optimized plan's lines above its first join: what is done to joined rows."""
     plan = df._jdf.queryExecution().optimizedPlan().toString()
@@ -60,3 +66,7 @@ def above_the_last_join(df):
 
 def test_found_scenes_are_not_ranked_after_the_join(spark, sf):
     assert not {"Window", "Aggregate", "Sort"} & set(above_the_last_join(q_scenes.q_search(spark, sf)).split())
+
+
+def test_spread_does_not_shuffle_what_is_found(spark, sf):
+    assert not {"Window", "Aggregate", "Sort"} & set(above_the_last_join(q_scenes.q_spread(spark, sf)).split())
