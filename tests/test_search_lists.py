@@ -58,6 +58,16 @@ def test_spread_equals_the_plain_selection(world):
     assert rows_of(S.search_spread(*world).select(*cols)) == rows_of(want)
 
 
+@pytest.mark.parametrize("n", [1, 4])
+def test_orbits_equal_the_plain_match(world, n):
+    cols = ["area_id", "sensor", "period", "scene_id"]
+    s1 = plain(*world).where("sensor = 's1'")
+    post = S.select_closest(s1, ["area_id", "sensor"], ["ts", "scene_id"], n).where("period = 'post'")
+    want = S.match_orbits(s1, post, ["area_id"]).select(*cols)
+    got = S.search_orbits(*[t.where("sensor = 's1'") for t in world], ["area_id"], n).select(*cols)
+    assert rows_of(got) == rows_of(want) and 0 < want.count() < s1.count()
+
+
 def above_the_last_join(df):
     """The optimized plan's lines above its first join: what is done to joined rows."""
     plan = df._jdf.queryExecution().optimizedPlan().toString()
@@ -68,5 +78,6 @@ def test_found_scenes_are_not_ranked_after_the_join(spark, sf):
     assert not {"Window", "Aggregate", "Sort"} & set(above_the_last_join(q_scenes.q_search(spark, sf)).split())
 
 
-def test_spread_does_not_shuffle_what_is_found(spark, sf):
+def test_match_and_spread_do_not_shuffle_what_is_found(spark, sf):
     assert not {"Window", "Aggregate", "Sort"} & set(above_the_last_join(q_scenes.q_spread(spark, sf)).split())
+    assert not {"Window", "Aggregate", "Sort"} & set(above_the_last_join(q_scenes.q_orbits(spark, sf)).split())
