@@ -63,19 +63,20 @@ def case_title(df: DataFrame) -> Column:
 def plan_case(cases: DataFrame, today: Column, key: str = "id") -> DataFrame:
     """Study area, windows, title and area of every case; status 'too recent' where no window fits.
 
-    The planned request goes through the ordinary request rules; a broken one would show in ``error``.
+    The planned request goes through the ordinary request rules; a broken one would show in ``error``. Cases are dealt by key
+    once, and their areas meet them there.
     """
     c = F.col
     planned = study_area(case_windows(cases, today)).withColumn("title", case_title(cases))
     planned = planned.withColumn("polys", geometry.box_polygon(*[c(f"aoi_{k}") for k in "wsen"]))
-    area = grids.polygon_area_km2(planned, key, "polys").withColumnRenamed("aoi_km2", "km2")
+    planned = grids.dealt(planned, key)
+    area = grids.polygon_area_km2(planned, key, "polys", spread=False).withColumnRenamed("aoi_km2", "km2")
     planned = planned.join(area, key)
     recent = c("before_start").isNull()
     req = planned.select(
-        key, c("hazard").alias("task"), F.array(F.lit("s1"), F.lit("s2")).alias("sensors"), F.lit(None).cast("string").alias("aoi_error"),
+        F.struct("*").alias("planned"), c("hazard").alias("task"), F.array(F.lit("s1"), F.lit("s2")).alias("sensors"), F.lit(None).cast("string").alias("aoi_error"),
         c("km2").alias("aoi_km2"), "before_start", "before_end", "after_start", "after_end", F.lit(10.0).alias("resolution"))
-    checked = requests.validate_request(req).select(key, "error")
-    out = planned.join(checked, key)
+    out = requests.validate_request(req).select("planned.*", "error")
     return out.select(
         *cases.columns, "title", c("hazard").alias("task"), *[f"aoi_{k}" for k in "wsen"], F.when(~recent, F.round("km2", 3)).alias("aoi_km2"), "before_start", "before_end",
         "after_start", "after_end", F.when(recent, "too recent").alias("status"), F.when(~recent, c("error")).alias("error"))
