@@ -8,6 +8,7 @@ import pytest
 
 from terradelta import constants as K
 from terradelta.operators import clusters as CL
+from terradelta.session import persist_table
 
 DAY0 = dt.date(2026, 9, 1)
 SCHEMA = "seq BIGINT, hazard STRING, lon DOUBLE, lat DOUBLE, start_date DATE"
@@ -70,6 +71,16 @@ def test_no_reports(spark):
     assert CL.cluster_events(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_pairs_within_one_set_are_left_alone(spark, monkeypatch):
+    """Cells that chains over other cells join are not cut into quarters, although many of their pairs are undecided."""
+    written = []
+    monkeypatch.setattr(CL, "persist_table", lambda df, name: written.append(name) or persist_table(df, name))
+    rows = [(i, "flood", 3 + (i % 30) * 0.07, 45 + i // 30 * 0.07, DAY0) for i in range(600)]
+    got = CL.cluster_events(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(got) == 600 and {r.cluster for r in got} == {0}
+    assert "cell-pairs" in written and "cell-parts" not in written
+
+
 def test_members_of_a_cell_link(spark):
     """The cover's promise: no cell is wider than 50 km across."""
     for y in range(-300, 300, 7):
